@@ -157,11 +157,11 @@ def train_language_model(
     return langs, probability, model
 
 
-def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, bytes], *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, bytes], *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The language of every whole text: ``lang_pred`` and ``score``, the posterior under equal priors.
 
     ``und`` with score 0 for a text that is null or has no letter, or where no language was learnt. Of equally likely
-    languages the first by name counts. Each input row gives one output row; ``keep`` names columns to carry along.
+    languages the first by name counts. Each input row gives one output row; ``keep`` names columns to carry along, ``names`` the two new columns.
     """
     langs, probability, model = trained
     shipped = docs.sparkSession.sparkContext.broadcast((langs, probability, vocabulary(model)))
@@ -196,12 +196,12 @@ def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, byte
                 best = logs.argmax(1)
                 pred[known] = np.array(langs, object)[best[known]]
                 score[known] = (1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1))[known]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*b.schema.names[:-1], *names])
 
     carried = [id_col, *[c for c in keep or [] if c != id_col]]
     source = docs.select(*carried, F.col(text_col).alias("_kb_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def id_bucket(id_col: str, buckets: int) -> Column:

@@ -93,16 +93,17 @@ def _slice_paths(ids: list, texts: list, memo: Memo, window: int) -> tuple[list[
     return words, join(doc, np.int64), join(at, np.int64), join(cls, np.int64), join(digest, np.uint64)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_paths: int = 3_000_000, slice_words: int = 500_000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_paths: int = 3_000_000, slice_words: int = 500_000, keep_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every word that lies in a window of ``window`` words which also starts in a document with a smaller id.
 
     One row per input row: ``n_words``, ``n_removed``, ``kept_sha256`` of the kept words joined by one space, and
-    with ``keep_text`` those as ``kept_text``. Windows are judged on the input, not on what is left of it. A null text has
+    with ``keep_text`` those as ``kept_text``; ``keep`` names other columns to carry along. Windows are judged on the input, not on what is left of it. A null text has
     no words; texts with fewer words than a window lose none. Rows with a null id keep all words and take none from
     others; rows with equal ids are one document's and take none from each other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carried = [f"carried_{i}" for i in range(len(keep or []))]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep or [], carried, strict=True)])
     kind = source.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["class", "n"])
 
     counts = np.zeros(CLASSES, np.int64)
-    for r in source.mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows at most
+    for r in source.select("id", "text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows at most
         counts[r["class"]] = r["n"]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = int(counts.sum())
@@ -122,7 +123,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = max(least, -(-total // (4 * slice_words)))
     n_slices = max(4 * parts, -(-total // slice_words))
     # Both readers of this exchange are in one plan, so the texts are shuffled once.
-    dealt = source.select(F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int").alias("slice"), "id", "text").repartition(parts, "slice")
+    dealt = source.select(F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int").alias("slice"), "id", "text", *carried).repartition(parts, "slice")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan_, memo = plan.value, word_memo()
@@ -151,7 +152,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         schema_id = pa.int64()
         for b in batches:  # a partition holds a few slices, each of a bounded number of words
             schema_id = b.schema.field(1).type
-            for s, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for s, i, t in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
                 if i is not None:
                     held.setdefault(s, []).append((i, t))
         while held:
@@ -210,7 +211,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             sha.append(hashlib.sha256(whole).hexdigest())
             kept.append(whole.decode())
         out = {"id": left.column("id"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        out |= {c: left.column(c) for c in carried}
         return pa.table(out | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}))
 
-    out = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
-    return out.withColumnRenamed("id", id_col)
+    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
+    out = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string{kinds}" + ", kept_text string" * keep_text)
+    return out.withColumnsRenamed({"id": id_col} | dict(zip(carried, keep or [], strict=True)))
