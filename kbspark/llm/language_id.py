@@ -46,28 +46,54 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+class Trie:
+    """The pieces as a trie: the sorted keys (node, character) of its edges, where they lead, and each node's piece (-1: none)."""
+
+    def __init__(self, vocab: dict[str, int]):
+        edges: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for p, i in vocab.items():
+            node = 0
+            for c in p:
+                node = edges.setdefault(node << 21 | ord(c), len(edges) + 1)
+            ends[node] = i
+        self.keys = np.array(sorted(edges), np.int64)
+        self.leads = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.piece = np.full(len(edges) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that edges lead to, -1 where there is no such edge."""
+        key = node << 21 | char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.leads[at], -1)
+
+
 class Lattice:
     """The segmentations of many words at once: the edges from position s to e, by their end."""
 
-    def __init__(self, words: list[str], prefixes: dict[str, int]):
+    def __init__(self, words: list[str], trie: Trie):
         self.size = np.array([len(w) for w in words], np.int64)
-        top = int(self.size.max(initial=0))
-        rows, starts, pieces = ([[] for _ in range(top + 1)] for _ in range(3))
-        get = prefixes.get
-        for i, w in enumerate(words):
-            n = len(w)
-            for s in range(n):
-                for e in range(s + 1, n + 1):
-                    found = get(w[s:e])
-                    if found is None:
-                        if e == s + 1:  # an unknown character is a piece of its own
-                            rows[e].append(i), starts[e].append(s), pieces[e].append(-1)
-                        break
-                    if found >= 0:
-                        rows[e].append(i), starts[e].append(s), pieces[e].append(found)
-                    elif e == s + 1:
-                        rows[e].append(i), starts[e].append(s), pieces[e].append(-1)
-        self.edges = [tuple(np.array(x[e], np.int64) for x in (rows, starts, pieces)) for e in range(top + 1)]
+        top, n = int(self.size.max(initial=0)), len(words)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(n), self.size)
+        start = np.arange(len(chars)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        for length in range(1, top + 1):
+            node = trie.step(node, chars[at + length - 1])
+            piece = np.where(node >= 0, trie.piece[node], -1)
+            # an unknown character is a piece of its own
+            edge = slice(None) if length == 1 else piece >= 0
+            found.append((row[at][edge], start[at][edge], piece[edge], np.full(len(at), length)[edge]))
+            more = (node >= 0) & (start[at] + length < self.size[row[at]])
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+        rows, starts, pieces, lengths = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+        ends = starts + lengths
+        order = np.argsort((ends * n + rows) * (top + 1) + starts)
+        edges = np.searchsorted(ends[order], np.arange(top + 2))
+        self.edges = [tuple(x[order[edges[e] : edges[e + 1]]] for x in (rows, starts, pieces)) for e in range(top + 1)]
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Sums over the segmentations of each prefix: words x positions x languages; the last row of ``probability`` is the unknown piece's."""
@@ -97,14 +123,9 @@ class Lattice:
         return out
 
 
-def _prefixes(vocab: dict[str, int]) -> dict[str, int]:
-    """Every prefix of a piece; -1 unless it is itself a piece."""
-    out: dict[str, int] = {}
-    for p, i in vocab.items():
-        for k in range(1, len(p)):
-            out.setdefault(p[:k], -1)
-        out[p] = i
-    return out
+def _prefixes(vocab: dict[str, int]) -> Trie:
+    """Every prefix of a piece, as a trie."""
+    return Trie(vocab)
 
 
 def train_language_model(
@@ -140,13 +161,13 @@ def train_language_model(
 
         def step(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             vocab, langs, p = shipped.value
-            prefixes, sums = _prefixes(vocab), np.zeros((len(langs), len(vocab) + 1))
+            trie, sums = _prefixes(vocab), np.zeros((len(langs), len(vocab) + 1))
             for b in slices(batches, 4096):
                 lang, word, n = (np.array(b.column(i).to_pylist(), kind) for i, kind in enumerate((object, object, float)))
                 for k, name in enumerate(langs):
                     mine = lang == name
                     if mine.any():
-                        sums[k] += Lattice(list(word[mine]), prefixes).expected(p[:, k : k + 1], n[mine])
+                        sums[k] += Lattice(list(word[mine]), trie).expected(p[:, k : k + 1], n[mine])
             k, piece = np.nonzero(sums[:, :-1])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(sums[k, piece])], ["lang", "piece", "n"])
 
@@ -168,7 +189,7 @@ def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, probability, vocab = shipped.value
-        prefixes, width = _prefixes(vocab), len(langs) + 1
+        trie, width = _prefixes(vocab), len(langs) + 1
         memo: dict[str, int] = {}
         table = np.zeros((0, width))  # of each chunk: log likelihood by language, and its number of words
         for b in slices(batches):
@@ -181,7 +202,7 @@ def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, byte
                 distinct = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
                 words, likely = list(distinct), np.zeros((len(distinct), len(langs)))
                 for i in range(0, len(words), 20_000):
-                    likely[i : i + 20_000] = Lattice(words[i : i + 20_000], prefixes).log_likelihood(probability)
+                    likely[i : i + 20_000] = Lattice(words[i : i + 20_000], trie).log_likelihood(probability)
                 more = np.zeros((len(new), width))
                 owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
                 which = np.array([distinct[w] for p in parts for w in p], np.int64)
