@@ -40,7 +40,7 @@ class Model(NamedTuple):
     ids: list
     toxic: np.ndarray
     weight: np.ndarray
-    starts: np.ndarray  # of each feature's postings
+    offsets: np.ndarray  # where each feature's postings of each block start: features x (blocks + 1)
     postings: np.ndarray  # example numbers
     values: np.ndarray
     block_max: np.ndarray  # features x blocks
@@ -50,6 +50,11 @@ class Model(NamedTuple):
     steps: np.ndarray  # calibration: upper ends of the vote's steps, and their scores
     scores: np.ndarray
 
+    @property
+    def starts(self) -> np.ndarray:
+        """Where each feature's postings start, and the end of the last."""
+        return np.append(self.offsets[:, 0], len(self.postings))
+
 
 def _vector(found: list[tuple[int, int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     which = np.array([f for f, _ in found], np.int64)
@@ -60,20 +65,19 @@ def _vector(found: list[tuple[int, int]], idf: np.ndarray) -> tuple[np.ndarray,
 def nearest(model: Model, which: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k examples with the largest cosine over 0 (ties: smaller example number), exactly."""
     upper = w @ model.block_max[which]
-    best, sims = np.zeros(0, np.int64), np.zeros(0)
-    spans = [(model.postings[model.starts[f] : model.starts[f + 1]], model.values[model.starts[f] : model.starts[f + 1]], x) for f, x in zip(which, w, strict=True)]
-    for b in np.argsort(-upper, kind="stable"):
-        if upper[b] <= 0 or len(sims) == k and upper[b] < sims[-1] - 1e-12:
-            break
-        low, high = b * model.block, (b + 1) * model.block
-        total = np.zeros(model.block)
-        for post, value, x in spans:
-            i, j = np.searchsorted(post, (low, high))
-            total[post[i:j] - low] += value[i:j] * x
+    blocks = np.argsort(-upper, kind="stable")
+    blocks, offsets = blocks[upper[blocks] > 0], model.offsets[which]
+    best, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+    while at < len(blocks) and not (len(sims) == k and upper[blocks[at]] < sims[-1] - 1e-12):
+        now = blocks[at : at + step]  # the next best blocks, more at a time the longer it takes
+        low, high = offsets[:, now].ravel(), offsets[:, now + 1].ravel()
+        n = high - low
+        place = np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
+        total = np.bincount(model.postings[place], model.values[place] * np.repeat(np.repeat(w, len(now)), n))
         hit = np.flatnonzero(total > 0)
-        best, sims = np.r_[best, hit + low], np.r_[sims, total[hit].round(12)]
+        best, sims = np.r_[best, hit], np.r_[sims, total[hit].round(12)]
         order = np.lexsort((best, -sims))[:k]
-        best, sims = best[order], sims[order]
+        best, sims, at, step = best[order], sims[order], at + step, 2 * step
     return best, sims
 
 
@@ -186,7 +190,8 @@ def score_toxicity(
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
-        memo = Memo(lambda chunk: tuple(known[f] for w in WORD.findall(chunk) for f in word_features(w) if f in known))
+        heads = {f.rstrip("*")[: STARTS[0]] for f in known}  # no feature of a word has another start
+        memo = Memo(lambda chunk: tuple(known[f] for w in WORD.findall(chunk) if w[: STARTS[0]] in heads for f in word_features(w) if f in known))
         for b in slices(batches):
             which, times = [], []
             for text in b.column(1).to_pylist():
@@ -251,8 +256,10 @@ def _index(rows: list, features: dict[str, int], idf: np.ndarray, share: dict[in
     order = np.lexsort((owner, which))
     block_max = np.zeros((len(features), max(1, -(-len(rows) // block))))
     np.maximum.at(block_max, (which, owner // block), values)
-    starts = np.searchsorted(which[order], np.arange(len(features) + 1))
-    model = Model(features, idf, [r["id"] for r in rows], toxic, weight, starts, owner[order], values[order], block_max, block, k, base, np.zeros(0), np.zeros(0))
+    blocks = block_max.shape[1]
+    edges = np.arange(len(features))[:, None] * blocks + np.arange(blocks + 1)
+    offsets = np.searchsorted(which[order] * blocks + owner[order] // block, edges)
+    model = Model(features, idf, [r["id"] for r in rows], toxic, weight, offsets, owner[order], values[order], block_max, block, k, base, np.zeros(0), np.zeros(0))
     seen: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     votes = np.zeros(len(rows))
     for i, r in enumerate(rows):
