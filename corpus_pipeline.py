@@ -35,8 +35,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
-    dropped = near_duplicate_documents(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    """Keep the document with the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    dropped = near_duplicate_documents(docs, width=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
