@@ -2,8 +2,9 @@
 
 Every tree of the forest sorts the documents by its own run of min-hash values. Documents that share a prefix of that
 order are a region; a region with few members is taken at the least depth, one with many is followed to a deeper prefix,
-so each region finds the depth at which it is small. Within a region the whole signatures estimate every pair's
-similarity, and the pairs well within reach join candidate clusters. Each cluster then compares full shingle sets: every
+so each region finds the depth at which it is small. A document that would be alone at the deeper prefix still meets its
+whole region, and a region that stays dense at the last depth is compared in blocks. Within a region the whole signatures
+estimate every pair's similarity, and the pairs well within reach join candidate clusters. Each cluster then compares full shingle sets: every
 link is confirmed, and the triangle inequality of the Jaccard distance spares comparisons that cannot link.
 
 Documents with equal shingle sets are one class from the start, so groups of copies count once.
@@ -83,6 +84,20 @@ def likely_edges(signature: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def block_edges(guests: np.ndarray, guest_parts: np.ndarray, hosts: np.ndarray, host_parts: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs (guest, host) estimated at ``least`` or more that connect all parts which such pairs connect."""
+    parts, at = np.unique(np.r_[guest_parts, host_parts], return_inverse=True)
+    forest, out = Forest(len(parts)), []
+    mine, theirs = at[: len(guests)], at[len(guests) :]
+    for i in range(len(guests)):
+        near = np.flatnonzero(((hosts == guests[i]).mean(1) >= least) & (theirs != mine[i]))
+        for j in near[np.unique(theirs[near], return_index=True)[1]].tolist():
+            if forest.find(int(mine[i])) != forest.find(int(theirs[j])):
+                forest.union(int(mine[i]), int(theirs[j]))
+                out.append((i, j))
+    return out
+
+
 def _overlap(one: np.ndarray, whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of one set with each set of a concatenation."""
     at = np.minimum(np.searchsorted(one, whole), len(one) - 1)
@@ -156,9 +171,11 @@ def near_duplicate_documents(
     words than ``width`` are one shingle. Equal sets are linked. Rows that repeat an id are rows of their own; with a null
     id ``kept`` is false. An empty table gives an empty result.
 
-    For pairs whose signature of 72 values estimates within ``margin`` of the threshold, candidates are found with
-    probability 1 - (1 - J**d)**12 for regions of depth d: at J = 0.85, 1 - 1e-5 where d = 3 and 0.997 where a dense region
-    goes down to d = 6 (0.97 at J = 0.8), unless other documents connect the pair. Links are exact.
+    For pairs whose signature of 72 values estimates within ``margin`` of the threshold, candidates are found with at
+    least the probability 1 - (1 - J**d)**12 for regions of depth d: at J = 0.85, 1 - 1e-5 where d = 3 and 0.997 where a
+    dense region goes down to d = 6 (0.97 at J = 0.8), unless other documents connect the pair. All pairs of a region at
+    its last depth are estimated, however large it is, and all pairs of a region with a member that is alone at the next
+    depth, so in dense regions the work grows with the square of the members that nothing connects. Links are exact.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -194,8 +211,9 @@ def near_duplicate_documents(
     longs = ", ".join(f"{d} long" for d in depths)
     level = materialise(classes.select("node", "signature").mapInArrow(plant, f"node long, tree int, {longs}"))
     # Regions by depth: one with over region_rows members goes on to the next prefix; at the last depth it is dealt into
-    # chunks that all hold the region's first member, so that they stay connected.
-    regions = []
+    # chunks that all hold the region's first member. ``dense`` are the large regions' members, with those marked that
+    # the next prefix leaves alone (at the last depth all), for the blocks below.
+    regions, dense = [], []
     for d, key in enumerate(depths):
         last = d + 1 == len(depths)
         sizes = level.groupBy("tree", key).agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
@@ -208,11 +226,16 @@ def near_duplicate_documents(
             every = F.explode(F.sequence(F.lit(0), chunks - 1))
             placed = placed.union(big.select(F.col("first").alias("node"), "tree", F.lit(d).alias("depth"), F.col(key).alias("key"), every.alias("chunk")))
         regions.append(placed)
-        if not last:
-            level = within.filter(F.col("members") > region_rows).drop("members", "first")
-            level = materialise(level)
-            if level.isEmpty():
-                break
+        level = materialise(within.filter(F.col("members") > region_rows).drop("members", "first"))
+        if level.isEmpty():
+            break
+        if last:
+            marked = level.withColumn("lone", F.lit(True))
+        else:
+            after = depths[d + 1]
+            alone = level.groupBy("tree", after).agg(F.count("*").alias("beside")).filter("beside = 1").select("tree", after, F.lit(True).alias("lone"))
+            marked = level.join(alone, ["tree", after], "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
+        dense.append(marked.select("node", "tree", F.lit(d).alias("depth"), F.col(key).alias("key"), "lone"))
     members = regions[0]
     for more in regions[1:]:
         members = members.union(more)
@@ -233,6 +256,9 @@ def near_duplicate_documents(
         return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
     likely = members.groupBy("task").applyInArrow(estimate, "a long, b long")
+    if dense:
+        likely = materialise(likely)
+        likely = likely.union(_dense_edges(dense, likely, classes.select("node", "signature"), least, 8 * region_rows))
     clusters = materialise(connected_components(likely).join(classes.select("node", "id", "n", "digest"), "node"))
     links = _confirm(source, clusters, width, percent, cluster_shingles)
     parts = connected_components(links)
@@ -245,6 +271,55 @@ def near_duplicate_documents(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _dense_edges(dense: list[DataFrame], likely: DataFrame, signed: DataFrame, least: float, block_rows: int) -> DataFrame:
+    """Edges ``(a, b)`` of large regions: every pair with a ``lone`` member that ``likely`` does not connect is estimated.
+
+    ``dense``: node, tree, depth, key, lone. Guests (lone members) meet hosts (all members) in blocks of at most about
+    ``block_rows`` a side. Members of the region's largest part are connected already, so guests among them meet only
+    hosts outside it.
+    """
+    spark = signed.sparkSession
+    members = dense[0]
+    for more in dense[1:]:
+        members = members.union(more)
+    region = ["tree", "depth", "key"]
+    parts = connected_components(likely).withColumnRenamed("component", "part")
+    members = materialise(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    count = members.groupBy(*region, "part").agg(F.count("*").alias("n"))
+    main = count.groupBy(*region).agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"))
+    members = members.join(main, region).withColumn("inside", F.col("part") == F.col("main"))
+    # kind 0: guests outside the largest part with all hosts; kind 1: guests inside it with the hosts outside.
+    guests = members.filter("lone").withColumn("kind", F.col("inside").cast("int"))
+    hosts = members.withColumn("kind", F.explode(F.when(F.col("inside"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    block = [*region, "kind"]
+    chunks = lambda df, name: df.groupBy(*block).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    plan = chunks(guests, "lefts").join(chunks(hosts, "rights"), block)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = guests.join(plan, block).withColumn("left", own("lefts")).withColumn("right", every("rights")).withColumn("guest", F.lit(True))
+    right = hosts.join(plan, block).withColumn("right", own("rights")).withColumn("left", every("lefts")).withColumn("guest", F.lit(False))
+    names = [*block, "left", "right", "node", "part", "guest"]
+    placed = materialise(left.select(names).union(right.select(names)))
+    tasks = task_partitions(spark, placed.count(), 2 * block_rows)
+    placed = placed.join(signed, "node").withColumn("task", F.pmod(F.xxhash64(*block, "left", "right"), F.lit(tasks)).cast("int"))
+
+    def estimate(table: pa.Table) -> pa.Table:
+        where: dict[tuple, list[int]] = {}
+        for i, k in enumerate(zip(*(table.column(c).to_pylist() for c in names[:6]), strict=True)):
+            where.setdefault(k, []).append(i)
+        nodes, parts, guest = (table.column(c).to_numpy() for c in ("node", "part", "guest"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, TREES * DEPTH)
+        found = []
+        for at in where.values():
+            at = np.array(at)
+            a, b = at[guest[at]], at[~guest[at]]
+            found += [(nodes[a[i]], nodes[b[j]]) for i, j in block_edges(signature[a], parts[a], signature[b], parts[b], least)]
+        got = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
+
+    return materialise(placed.groupBy("task").applyInArrow(estimate, "a long, b long"))
+
+
 def digest(s: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     return xxhash.xxh3_128_digest(s.tobytes())

@@ -152,6 +152,28 @@ def test_minhash_dedup(spark):
     assert minhash_dedup.near_duplicate_documents(df.limit(0)).count() == 0
 
 
+def test_a_document_alone_at_the_next_depth_meets_its_region(spark):
+    """Pairs that share 75 of 135 shingles (0.556) are linked wherever they share the least prefix in any tree."""
+    rng = random.Random(17)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        shared = new(79)
+        rows += [(2 * i, " ".join(shared + new(30))), (2 * i + 1, " ".join(shared + new(30)))]
+    memo = minhash_dedup.word_memo()
+    first = minhash_dedup.prefix_keys(minhash_dedup.signatures([minhash_dedup.shingles(t, memo, 5) for _, t in rows]))[:, :, 0]
+    want = [2 * i + 1 for i in range(40) if (first[2 * i] == first[2 * i + 1]).any()]
+    got = minhash_dedup.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=50, margin=0.5, region_rows=1).collect()
+    assert len(want) > 25 and sorted(r["doc_id"] for r in got if not r["kept"]) == want
+
+
+def test_blocks_connect_what_an_estimate_connects():
+    whole = np.random.default_rng(3).integers(0, 2, (60, 72)).astype("<u4")
+    hosts, parts = np.repeat(whole, 2, 0), np.arange(120) // 2
+    assert minhash_dedup.block_edges(whole[:5], np.arange(200, 205), hosts, parts, 0.99) == [(i, 2 * i) for i in range(5)]
+    assert minhash_dedup.block_edges(whole[:5], np.arange(5), hosts, parts, 0.99) == []
+
+
 def test_forward_sums_all_segmentations():
     vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     p = np.array([[0.2], [0.1], [0.3], [0.15], [0.05], [1e-7]])
