@@ -5,7 +5,7 @@ order are a region; a region with few members is taken at the least depth, one w
 so each region finds the depth at which it is small. A document that would be alone at the deeper prefix still meets its
 whole region, and a region that stays dense at the last depth is compared in blocks. Within a region the whole signatures
 estimate every pair's similarity, and the pairs well within reach join candidate clusters. Each cluster then compares full shingle sets: every
-link is confirmed, and the triangle inequality of the Jaccard distance spares comparisons that cannot link.
+link is confirmed, and sets whose rarest shingles differ, which cannot link, are spared the comparison.
 
 Documents with equal shingle sets are one class from the start, so groups of copies count once.
 """
@@ -104,52 +104,38 @@ def _overlap(one: np.ndarray, whole: np.ndarray, starts: np.ndarray) -> np.ndarr
     return np.add.reduceat((one[at] == whole).astype(np.int64), starts)
 
 
-def exact_links(sets: list[np.ndarray], percent: int, pivots: list[int] | None = None) -> list[tuple[int, int]]:
+def exact_links(sets: list[np.ndarray], percent: int, guests: np.ndarray | None = None, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (100 * intersection >= percent * union) that connect all linked sets; every link is between two given sets.
 
-    Sets that are not yet linked become pivots and meet all others. Two members of different components may link too;
-    with distance 1 - Jaccard, they cannot if one of them is farther than twice the linking distance from the other's
-    pivot, and only the pairs left are compared. With ``pivots`` only these meet all others.
+    A linked set shares at least ``percent`` of its own shingles. With the shingles of all sets in one order, rarest first,
+    two linked sets therefore meet among the first shingles of both, as many as may be missing and one more, and only
+    sets that do are compared. Memory is in proportion to the shingles. With ``guests`` only pairs with one of these are
+    compared; sets of equal ``parts`` are connected already.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    whole, starts = np.concatenate(sets), np.cumsum(np.r_[0, size[:-1]])
-    forest, out, distance, owner = Forest(n), [], {}, np.full(n, -1)
-    for p in range(n) if pivots is None else pivots:
-        if pivots is None and owner[p] >= 0:
+    label = np.arange(n) if parts is None else np.unique(parts, return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), size)
+    _, rank, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((rank, times[rank], owner))
+    length = size + 1 - -(-percent * size // 100)
+    early = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) < length[owner]
+    token, holder = rank[order][early], owner[early]
+    begin = np.cumsum(length) - length
+    by = np.argsort(token, kind="stable")
+    held, low, high = holder[by], np.searchsorted(token[by], token), np.searchsorted(token[by], token, "right")
+    out = []
+    for i in range(n) if guests is None else np.flatnonzero(guests).tolist():
+        at = slice(begin[i], begin[i] + length[i])
+        near = np.unique(np.concatenate([held[x:y] for x, y in zip(low[at], high[at], strict=True)]))
+        near = near[(label[near] != label[i]) & (100 * size[near] >= percent * size[i]) & (100 * size[i] >= percent * size[near])]
+        if not len(near):
             continue
-        inter = _overlap(sets[p], whole, starts)
-        union = size + size[p] - inter
-        distance[p] = 1 - inter / union
-        linked = np.flatnonzero(100 * inter >= percent * union)
-        for j in linked.tolist():
-            if forest.find(p) != forest.find(j):
-                forest.union(p, j)
-                out.append((p, j))
-        owner[p] = p
-        owner[linked[owner[linked] < 0]] = p
-    if pivots is not None:
-        return out
-    reach = 2 * (1 - percent / 100) + 1e-9
-    heads = list(distance)
-    for a, p in enumerate(heads):
-        for q in heads[a + 1 :]:
-            if distance[p][q] > 2 * reach:
-                continue
-            left = np.flatnonzero((owner == p) & (distance[q] <= reach))
-            right = np.flatnonzero((owner == q) & (distance[p] <= reach))
-            if not len(right):
-                continue
-            part = np.concatenate([sets[j] for j in right])
-            begin = np.cumsum(np.r_[0, size[right][:-1]])
-            for i in left.tolist():
-                if forest.find(p) == forest.find(q):
-                    break
-                inter = _overlap(sets[i], part, begin)
-                hit = right[100 * inter >= percent * (size[i] + size[right] - inter)]
-                if len(hit):
-                    forest.union(i, int(hit[0]))
-                    out.append((i, int(hit[0])))
+        inter = _overlap(sets[i], np.concatenate([sets[j] for j in near]), np.cumsum(np.r_[0, size[near][:-1]]))
+        linked = near[100 * inter >= percent * (size[i] + size[near] - inter)]
+        labels, first = np.unique(label[linked], return_index=True)
+        out += [(i, int(j)) for j in linked[first]]
+        label[np.isin(label, labels)] = label[i]
     return out
 
 
@@ -325,48 +311,59 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, most: int, most_sets: int = 8192) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect whatever is linked within each cluster.
 
-    A cluster with over ``most`` shingles is dealt into chunks. Its chunks meet its first members, and whoever is then
-    not in the cluster's largest component meets all of its chunks, so that no link between chunks is lost.
+    A cluster with over ``most`` shingles or ``most_sets`` sets is dealt into chunks. Its chunks meet its first member, and
+    whoever is then not in the cluster's largest component meets all of its chunks, so that no link between chunks is
+    lost: chunks of such guests and of all members are compared in blocks, each bounded on both sides.
     """
     spark = source.sparkSession
-    sizes = clusters.groupBy("component").agg(F.sum("n").alias("total"), F.min("node").alias("head"))
-    split = clusters.join(sizes, "component").withColumn("chunks", F.ceil(F.col("total") / most).cast("int"))
-    split = split.withColumn("home", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    split = materialise(split)
-    tasks = max(task_partitions(spark, 0, 1), split.select("component").distinct().count() // 500)
-
-    def compare(members: DataFrame, pivots_only: bool) -> DataFrame:
-        """Links within each (component, chunk); with ``pivots_only`` just those of members marked ``guest``."""
-        placed = members.withColumn("task", F.pmod(F.xxhash64("component", "chunk"), F.lit(tasks)).cast("int"))
+    bound = lambda total, sets: F.ceil(F.greatest(total / most, sets / most_sets)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = clusters.groupBy("component").agg(bound(F.sum("n"), F.count("*")).alias("chunks"), F.min("node").alias("head"))
+    split = materialise(clusters.join(sizes, "component").withColumn("home", own("chunks")))
+    clustered = split.select("component").distinct().count()
+    names = ["component", "left", "right", "node", "id", "n", "digest", "guest", "part"]
+
+    def compare(members: DataFrame, whole: bool) -> DataFrame:
+        """Links within each (component, left, right); unless ``whole`` just those of members marked ``guest``."""
+        rows, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        tasks = max(task_partitions(spark, 0, 1), clustered // 500, -(-total // most), -(-rows // most_sets))
+        placed = members.withColumn("task", F.pmod(F.xxhash64("component", "left", "right"), F.lit(tasks)).cast("int"))
         # The smallest id of a class holds its text; other rows of that id have other digests.
-        texts = placed.join(source, "id").select("task", "component", "chunk", "node", "digest", "guest", "text")
+        texts = placed.join(source, "id").select("task", "component", "left", "right", "node", "digest", "guest", "part", "text")
 
         def link(table: pa.Table) -> pa.Table:
             memo, where = word_memo(), {}
-            columns = (table.column(c).to_pylist() for c in ("component", "chunk", "node", "digest", "guest", "text"))
-            for component, chunk, node, wanted, guest, text in zip(*columns, strict=True):
-                s = shingles(text, memo, width)
-                if digest(s) == wanted:
-                    where.setdefault((component, chunk), {})[node] = (s, guest)
+            for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("component", "left", "right")), strict=True)):
+                where.setdefault(key, []).append(i)
             found = []
-            for group in where.values():
+            for at in where.values():  # a block's sets at a time
+                group: dict[int, list] = {}
+                rows = table.take(pa.array(at))
+                for node, wanted, guest, part, text in zip(*(rows.column(c).to_pylist() for c in ("node", "digest", "guest", "part", "text")), strict=True):
+                    if node in group:
+                        group[node][1] |= guest
+                        continue
+                    s = shingles(text, memo, width)
+                    if digest(s) == wanted:
+                        group[node] = [s, guest, part]
+                if len(group) < 2:
+                    continue
                 nodes = sorted(group)
-                sets = [group[x][0] for x in nodes]
-                pivots = [i for i, x in enumerate(nodes) if group[x][1]] if pivots_only else None
-                found += [(nodes[i], nodes[j]) for i, j in exact_links(sets, percent, pivots)]
+                sets, guests, parts = zip(*(group[x] for x in nodes), strict=True)
+                found += [(nodes[i], nodes[j]) for i, j in exact_links(list(sets), percent, None if whole else np.array(guests), np.array(parts))]
             got = np.array(found, np.int64).reshape(-1, 2)
             return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
         return texts.groupBy("task").applyInArrow(link, "a long, b long")
 
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    core = ["component", "node", "id", "digest"]
-    own = split.select(*core, F.col("home").alias("chunk"), F.lit(False).alias("guest"))
-    heads = split.filter("chunks > 1 and node = head").select(*core, every.alias("chunk"), F.lit(False).alias("guest"))
-    links = materialise(compare(own.union(heads), False))
+    alone = [F.lit(0).alias("right"), "node", "id", "n", "digest", F.lit(False).alias("guest"), F.col("node").alias("part")]
+    home = split.select("component", F.col("home").alias("left"), *alone)
+    heads = split.filter("chunks > 1 and node = head").select("component", every("chunks").alias("left"), *alone)
+    links = materialise(compare(home.union(heads), True))
     large = split.filter("chunks > 1")
     if large.isEmpty():
         return links
@@ -376,6 +373,8 @@ def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, m
     count = state.groupBy("component", "part").agg(F.count("*").alias("members"))
     main = count.groupBy("component").agg(F.max_by("part", F.struct("members", -F.col("part"))).alias("main"))
     rest = state.join(main, "component").filter("part <> main")
-    guests = rest.select(*core, every.alias("chunk"), F.lit(True).alias("guest"))
-    hosts = state.join(rest.select("component").distinct(), "component", "left_semi").select(*core, F.col("home").alias("chunk"), F.lit(False).alias("guest"))
-    return links.union(materialise(compare(guests.union(hosts), True)))
+    lefts = rest.groupBy("component").agg(bound(F.sum("n"), F.count("*")).alias("lefts"))
+    guests = rest.join(lefts, "component").withColumn("left", own("lefts")).withColumn("right", every("chunks")).withColumn("guest", F.lit(True))
+    hosts = state.join(lefts, "component").withColumn("left", every("lefts")).withColumn("right", F.col("home")).withColumn("guest", F.lit(False))
+    blocks = materialise(guests.select(names).union(hosts.select(names)))
+    return links.union(materialise(compare(blocks, False)))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -174,6 +175,48 @@ def test_blocks_connect_what_an_estimate_connects():
     assert minhash_dedup.block_edges(whole[:5], np.arange(5), hosts, parts, 0.99) == []
 
 
+def test_exact_links_are_bounded_and_complete():
+    rng = np.random.default_rng(8)
+    template = rng.integers(0, 1 << 60, 80, np.uint64)
+    fresh = lambda n: rng.integers(0, 1 << 60, n, np.uint64)
+    hot = [np.unique(np.r_[template, fresh(20)]) for _ in range(1500)]  # 0.667 to each other: candidates without a link
+    tracemalloc.start()
+    assert minhash_dedup.exact_links(hot, 85) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(hot) ** 2  # no table of distances
+    for percent in (1, 50, 80, 85, 100):
+        sets = [np.unique(rng.choice(template, rng.integers(1, 80))) for _ in range(60)] + [template, template]
+        sets += [np.r_[x[:-1], fresh(1)] for x in sets[:20]]
+        sets = [np.unique(x) for x in sets]
+        links = minhash_dedup.exact_links(sets, percent)
+        part = minhash_dedup.Forest(len(sets))
+        for i, j in links:
+            part.union(i, j)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(np.intersect1d(x, y))
+                linked = 100 * both >= percent * (len(x) + len(y) - both)
+                assert not linked or part.find(i) == part.find(j)
+                assert linked or not {(i, j), (j, i)} & set(links)
+
+
+def test_clusters_in_blocks_keep_every_link(spark):
+    """One candidate cluster of a hot template, dealt into many chunks: only the planted pairs link."""
+    rng = random.Random(4)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    template = new(60)
+    texts = [template + new(30) for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + [t[:-2] + new(2) for t in texts])]
+    memo = minhash_dedup.word_memo()
+    sets = [minhash_dedup.shingles(t, memo, 5) for _, t in rows]
+    members = [(i, 0, i, len(s), minhash_dedup.digest(s)) for i, s in enumerate(sets)]
+    clusters = spark.createDataFrame(members, "node long, component long, id long, n long, digest binary")
+    source = spark.createDataFrame(rows, "id long, text string")
+    got = minhash_dedup._confirm(source, clusters, 5, 85, 800, 16).collect()
+    assert {tuple(sorted(r)) for r in got} == {(i, i + 20) for i in range(20)}
+
+
 def test_forward_sums_all_segmentations():
     vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     p = np.array([[0.2], [0.1], [0.3], [0.15], [0.05], [1e-7]])
