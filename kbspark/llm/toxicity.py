@@ -109,12 +109,23 @@ def _select(rows: DataFrame, max_features: int, min_docs: int, ratio: float) ->
     p, q = (F.col("toxic") + 0.5) / (F.col("all_toxic") + 1), (F.col("clean") + 0.5) / (F.col("all_clean") + 1)
     telling = rows.filter(F.col("docs") >= min_docs).withColumn("gain", F.col("toxic") * F.log(p / q)).filter((p > ratio * q) & (F.col("gain") > 0))
     got = telling.orderBy(F.desc("gain"), F.length("feature"), "feature").limit(max_features).select("feature", "toxic", "clean").collect()
-    kept, seen = [], set()
-    for r in got:
-        key = (r["feature"][:3], r["toxic"], r["clean"])
-        if key not in seen:
-            seen.add(key)
-            kept.append(r["feature"])
+    return distinct([(r["feature"], (r["toxic"], r["clean"])) for r in got])
+
+
+def distinct(features: list[tuple[str, tuple]]) -> list[str]:
+    """The features that no earlier one with the same counts contains.
+
+    The documents of a start are all those of its longer starts and of the words beyond it, so with equal counts they are
+    the same. A word and the start of the same letters are of different documents, as are words that are no starts of
+    each other.
+    """
+    kept: list[str] = []
+    seen: set[tuple] = set()
+    for f, counts in features:
+        stem = f.rstrip("*")
+        if not any((stem[:k] + "*", counts) in seen for k in range(1, len(stem))):
+            kept.append(f)
+        seen.add((f, counts))
     return kept
 
 

@@ -256,6 +256,13 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, known.limit(0)).toPandas().score.max() == 0 and toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def test_only_a_start_of_a_feature_stands_for_it(spark):
+    counts = {"stupid": (5, 0), "stupi*": (5, 0), "stubborn": (5, 0), "stubbo*": (5, 0), "stupid*": (5, 0), "stub*": (6, 0)}
+    rows = spark.createDataFrame([(f, t, c, t + c, 100.0, 100.0) for f, (t, c) in counts.items()], "feature string, toxic long, clean long, docs long, all_toxic double, all_clean double")
+    assert toxicity._select(rows, 100, 4, 4.0) == ["stub*", "stupi*", "stubbo*"]
+    assert toxicity.distinct([("stupid", (5, 0)), ("stupid*", (5, 0))]) == ["stupid", "stupid*"]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     rows = [{"id": i, "toxic": int(i % 3 == 0), "which": sorted(rng.choice(12, rng.integers(1, 5), False).tolist()), "times": None} for i in range(300)]
