@@ -33,7 +33,7 @@ def word_features(word: str) -> list[str]:
 
 
 class Model(NamedTuple):
-    """All that scoring needs; its size is bounded by ``max_examples`` and ``max_features``."""
+    """All that scoring needs; its size is bounded by ``max_examples``, and by ``max_features`` if given."""
 
     features: dict[str, int]
     idf: np.ndarray
@@ -100,16 +100,17 @@ def _calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np
     return np.array([p[0] for p in pools]), np.array([(p[1]) / (p[2]) for p in pools])
 
 
-def _select(rows: DataFrame, max_features: int, min_docs: int, ratio: float) -> list[str]:
-    """The features that toxic examples have ``ratio`` times as often as others, the most telling ones first.
+def _select(rows: DataFrame, max_features: int | None, min_docs: int, ratio: float) -> list[str]:
+    """The features that one class of examples has ``ratio`` times as often as the other, the most telling ones first.
 
     ``rows``: feature, toxic and clean (weighted documents that have it), docs, and the two totals. A feature and a
-    start of it that the same documents have are one; the shorter stays.
+    start of it that the same documents have are one; the shorter stays. Only distinct features count for the limit.
     """
     p, q = (F.col("toxic") + 0.5) / (F.col("all_toxic") + 1), (F.col("clean") + 0.5) / (F.col("all_clean") + 1)
-    telling = rows.filter(F.col("docs") >= min_docs).withColumn("gain", F.col("toxic") * F.log(p / q)).filter((p > ratio * q) & (F.col("gain") > 0))
-    got = telling.orderBy(F.desc("gain"), F.length("feature"), "feature").limit(max_features).select("feature", "toxic", "clean").collect()
-    return distinct([(r["feature"], (r["toxic"], r["clean"])) for r in got])
+    gain = F.when(p > q, F.col("toxic") * F.log(p / q)).otherwise(F.col("clean") * F.log(q / p))
+    telling = rows.filter(F.col("docs") >= min_docs).withColumn("gain", gain).filter(((p > ratio * q) | (q > ratio * p)) & (F.col("gain") > 0))
+    got = telling.orderBy(F.desc("gain"), F.length("feature"), "feature").select("feature", "toxic", "clean").collect()  # bounded by the examples
+    return distinct([(r["feature"], (r["toxic"], r["clean"])) for r in got])[:max_features]
 
 
 def distinct(features: list[tuple[str, tuple]]) -> list[str]:
@@ -138,7 +139,7 @@ def score_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_examples: int = 6000,
-    max_features: int = 4096,
+    max_features: int | None = None,
     k: int = 15,
     min_docs: int = 4,
     ratio: float = 4.0,
@@ -148,7 +149,8 @@ def score_toxicity(
 
     ``learn`` (a condition on the id) says which labels may be learnt from. Examples are at most about ``max_examples``
     documents per class, chosen by a hash of the id and weighted back to the class's share; that bound is a
-    parameter. Document frequencies cover all documents. A null or empty text, or one without any feature, scores the
+    parameter. The cosine is over the features that at least ``min_docs`` examples have and one class has ``ratio`` times
+    as often as the other, all of them unless ``max_features`` is given. Document frequencies cover all documents. A null or empty text, or one without any feature, scores the
     base rate of examples without any. Rows with null labels teach nothing; an id with several labels is toxic if one is.
     Without examples of both classes every score is the share of toxic examples (0 without any). One row per input row:
     ``score``, ``predicted`` (1 from 0.5 on), ``evidence``. Repeated and null ids stay.

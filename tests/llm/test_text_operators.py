@@ -263,6 +263,13 @@ def test_only_a_start_of_a_feature_stands_for_it(spark):
     assert toxicity.distinct([("stupid", (5, 0)), ("stupid*", (5, 0))]) == ["stupid", "stupid*"]
 
 
+def test_features_of_both_classes_and_duplicates_before_the_limit(spark):
+    counts = {"bad": (9, 0), "dreadful": (8, 0), "dread*": (8, 0), "dre*": (8, 0), "awful": (5, 0), "kind": (0, 7), "the": (50, 50)}
+    rows = spark.createDataFrame([(f, t, c, t + c, 100.0, 100.0) for f, (t, c) in counts.items()], "feature string, toxic long, clean long, docs long, all_toxic double, all_clean double")
+    assert toxicity._select(rows, None, 4, 4.0) == ["bad", "dre*", "kind", "awful"]
+    assert toxicity._select(rows, 4, 4, 4.0) == ["bad", "dre*", "kind", "awful"]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
     rows = [{"id": i, "toxic": int(i % 3 == 0), "which": sorted(rng.choice(12, rng.integers(1, 5), False).tolist()), "times": None} for i in range(300)]
