@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, read_bytes, slices
+from .common import BatchMemo, read_bytes, slices
 
 #: One character for each byte; the block has no spaces, marks or combining forms that any normaliser would touch.
 BYTE_CHARS = "".join(chr(0x4E00 + b) for b in range(256))
@@ -79,23 +79,21 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.ranks = sorted(ranks.values())
         self.whole = {token.decode(): (rank,) for token, rank in ranks.items() if _is_text(token)}
-        self.memo = dict(self.whole)
+        self.memo = BatchMemo(self._merge, self.whole, lambda ids: 64 + 8 * len(ids))
         self.bytes_of = {rank: token for token, rank in ranks.items()}
 
-    def _learn(self, found: set[str]) -> None:
-        new = list(found - self.memo.keys())
-        if len(self.memo) - len(self.whole) > MEMO_ENTRIES:
-            self.memo = dict(self.whole)
-            new = list(found - self.memo.keys())
+    def _merge(self, new: list[str]) -> Iterator[tuple[int, ...]]:
         ids = self.sp.encode([to_chars(p.encode()) for p in new], num_threads=1)
-        self.memo.update((p, tuple(self.ranks[i - 1] for i in x)) for p, x in zip(new, ids, strict=True))
+        return (tuple(self.ranks[i - 1] for i in x) for x in ids)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the matches of the pattern are encoded one by one."""
         split = [self.split(t) for t in texts]
-        self._learn(set().union(*split))
+        self.memo.learn(set().union(*split))
         get = self.memo.__getitem__
-        return [list(chain.from_iterable(map(get, s))) for s in split]
+        out = [list(chain.from_iterable(map(get, s))) for s in split]
+        self.memo.settle()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a sequence of ids."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,18 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows handled at once inside a task; bounds a Python worker's memory whatever the Arrow batch size.
 SLICE_ROWS = 512
-#: Entries of a per-worker memo before it is emptied.
-MEMO_ENTRIES = 300_000
+#: Bytes that a per-worker memo may take before it is emptied, and the longest key that it keeps.
+MEMO_BYTES, MEMO_KEY = 64 << 20, 256
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    It is the one that the cluster names in ``spark.checkpoint.dir``. Only in local mode, where driver and executors are
+    one process, a temporary folder takes its place; a cluster without the setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_kbspark_shared", None) or tempfile.mkdtemp(prefix="kbspark-")
         spark._kbspark_shared = root
     return root.rstrip("/")
@@ -37,7 +41,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kbspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kbspark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._kbspark_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -48,19 +62,55 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 class Memo(dict):
-    """A bounded memo: ``compute(key)`` on a miss, emptied at ``limit`` entries."""
+    """A memo bounded in bytes: ``compute(key)`` on a miss; emptied when it is full, and long keys are never kept.
+
+    ``size`` tells the bytes of a value; without it values count as small.
+    """
 
-    def __init__(self, compute: Callable, limit: int = MEMO_ENTRIES):
+    def __init__(self, compute: Callable, limit: int = MEMO_BYTES, size: Callable = lambda value: 100):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.size, self.held = compute, limit, size, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= MEMO_KEY:
+            self.held += sys.getsizeof(key) + self.size(value) + 100
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self[key] = value
         return value
 
 
+class BatchMemo(dict):
+    """A memo that is filled for a batch of keys at once: ``compute(keys)`` gives the values of those it lacks.
+
+    ``base`` stays for good. After a batch ``settle`` drops long keys, and all but ``base`` once the rest is full.
+    """
+
+    def __init__(self, compute: Callable, base: dict, size: Callable = lambda value: 32, limit: int = MEMO_BYTES):
+        super().__init__(base)
+        self.compute, self.base, self.size, self.limit, self.held, self.long = compute, base, size, limit, 0, []
+
+    def learn(self, found: set) -> None:
+        new = list(found - self.keys())
+        for key, value in zip(new, self.compute(new), strict=True):
+            self[key] = value
+            if len(key) > MEMO_KEY:
+                self.long.append(key)
+            else:
+                self.held += sys.getsizeof(key) + self.size(value) + 100
+
+    def settle(self) -> None:
+        for key in self.long:
+            del self[key]
+        self.long.clear()
+        if self.held > self.limit:
+            self.clear()
+            self.update(self.base)
+            self.held = 0
+
+
 def read_bytes(path: str) -> bytes:
     """A small vocabulary file, read on the driver and shipped with a broadcast (its size is fixed)."""
     with open(path, "rb") as f:

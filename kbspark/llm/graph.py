@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     links = edges.filter("u <> v")
-    state = None
+    state = before = None
     while True:
         # large-star: every larger neighbour of a node moves to the node's smallest neighbour
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,6 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         links = materialise(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if before is not None:
+            discard(before)  # the last step's edges are read for the last time
+        before = links
         if now == state:
             break
         state = now

@@ -2,13 +2,14 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum
 over all its segmentations into pieces of the product of their probabilities, which a forward pass over the word's
-positions computes; a text scores the sum of its words' log probabilities. The piece probabilities come from a few
+positions computes, rescaled on its way so that words of any length are scored whole; a text scores the sum of its words' log probabilities. The piece probabilities come from a few
 rounds of expectation-maximisation over word counts; the rounds run as Spark jobs over the distinct words and bring
 back no more than one number for each piece and language.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,13 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, materialise, read_bytes, slices
+from .common import MEMO_BYTES, MEMO_KEY, materialise, read_bytes, slices
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Longer words are scored in parts of so many characters, which keeps products within a double's range.
-PART = 32
+#: Positions between two rescalings, which keep products within a double's range.
+RESCALE = 8
+#: Cells (words x positions) and characters that a lattice holds at most, but for a word longer than that alone.
+CELLS = 1 << 19
 #: The probability of a character that the vocabulary lacks, in every language.
 UNKNOWN = 1e-7
 START = "▁"
@@ -38,12 +41,19 @@ def vocabulary(model: bytes) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text in lower case, each with the sign for its start, cut into parts of at most ``PART``."""
-    out = []
-    for word in WORD.findall(text.lower()):
-        word = START + word
-        out += [word] if len(word) <= PART else [word[i : i + PART] for i in range(0, len(word), PART)]
-    return out
+    """The words of a text in lower case, each with the sign for its start."""
+    return [START + word for word in WORD.findall(text.lower())]
+
+
+def lattices(words: list[str], trie: Trie) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Lattices of bounded size over all words, words of like lengths together: their positions in ``words``, and the lattice."""
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + max(1, int(np.searchsorted((np.arange(at, len(order)) - at + 1) * (size[order[at:]] + 1), CELLS, "right")))
+        yield order[at:end], Lattice([words[i] for i in order[at:end]], trie)
+        at = end
 
 
 class Trie:
@@ -91,35 +101,58 @@ class Lattice:
                 break
         rows, starts, pieces, lengths = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
         ends = starts + lengths
+        self.reach = int(lengths.max(initial=1))
         order = np.argsort((ends * n + rows) * (top + 1) + starts)
         edges = np.searchsorted(ends[order], np.arange(top + 2))
         self.edges = [tuple(x[order[edges[e] : edges[e + 1]]] for x in (rows, starts, pieces)) for e in range(top + 1)]
 
-    def forward(self, probability: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of each prefix: words x positions x languages; the last row of ``probability`` is the unknown piece's."""
+    def forward(self, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the segmentations of each prefix, words x positions x languages, and the logarithms of their scales.
+
+        The last row of ``probability`` is the unknown piece's.
+        """
         alpha = np.zeros((len(self.size), len(self.edges) or 1, probability.shape[1]))
+        scale = np.zeros_like(alpha)
         alpha[:, 0] = 1
         for e, (row, start, piece) in enumerate(self.edges):
+            if e:
+                scale[:, e] = scale[:, e - 1]
             if len(row):
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 alpha[row[first], e] = np.add.reduceat(alpha[row, start] * probability[piece], first)
-        return alpha
+            if e and e % RESCALE == 0:  # what later edges start at has one scale
+                low = max(0, e - self.reach)
+                top = alpha[:, low : e + 1].max(1, keepdims=True)
+                top[top == 0] = 1
+                alpha[:, low : e + 1] /= top
+                scale[:, low : e + 1] += np.log(top)
+        return alpha, scale
 
     def log_likelihood(self, probability: np.ndarray) -> np.ndarray:
         """Words x languages."""
-        return np.log(self.forward(probability)[np.arange(len(self.size)), self.size])
+        end = np.arange(len(self.size)), self.size
+        alpha, scale = self.forward(probability)
+        return np.log(alpha[end]) + scale[end]
 
     def expected(self, probability: np.ndarray, count: np.ndarray) -> np.ndarray:
         """How often each piece is expected in words seen ``count`` times, under one language's probabilities."""
-        alpha = self.forward(probability)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(self.size)), self.size] = count / alpha[np.arange(len(self.size)), self.size]
+        alpha, scale = (x[:, :, 0] for x in self.forward(probability))
+        end = np.arange(len(self.size)), self.size
+        whole = np.log(alpha[end]) + scale[end]
+        beta, now = np.zeros_like(alpha), np.zeros(len(self.size))
+        beta[end] = count
         out = np.zeros(len(probability))
         for e in range(len(self.edges) - 1, 0, -1):
             row, start, piece = self.edges[e]
             through = beta[row, e] * probability[piece, 0]
-            np.add.at(out, piece, through * alpha[row, start])
+            np.add.at(out, piece, through * alpha[row, start] * np.exp(scale[row, start] + now[row] - whole[row]))
             np.add.at(beta, (row, start), through)
+            if e % RESCALE == 0:
+                low = max(0, e - self.reach)
+                top = beta[:, low:e].max(1)
+                top[(top == 0) | (self.size < e)] = 1  # a word that has not begun keeps its own scale
+                beta[:, low:e] /= top[:, None]
+                now += np.log(top)
         return out
 
 
@@ -166,8 +199,8 @@ def train_language_model(
                 lang, word, n = (np.array(b.column(i).to_pylist(), kind) for i, kind in enumerate((object, object, float)))
                 for k, name in enumerate(langs):
                     mine = lang == name
-                    if mine.any():
-                        sums[k] += Lattice(list(word[mine]), trie).expected(p[:, k : k + 1], n[mine])
+                    for at, lattice in lattices(list(word[mine]), trie):
+                        sums[k] += lattice.expected(p[:, k : k + 1], n[mine][at])
             k, piece = np.nonzero(sums[:, :-1])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(sums[k, piece])], ["lang", "piece", "n"])
 
@@ -191,18 +224,19 @@ def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, byte
         langs, probability, vocab = shipped.value
         trie, width = _prefixes(vocab), len(langs) + 1
         memo: dict[str, int] = {}
+        held = 0
         table = np.zeros((0, width))  # of each chunk: log likelihood by language, and its number of words
         for b in slices(batches):
             chunks = [(t or "").lower().split() for t in b.column(b.num_columns - 1).to_pylist()]
-            if len(memo) > MEMO_ENTRIES:
-                memo, table = {}, np.zeros((0, width))
+            if held + table.nbytes > MEMO_BYTES:
+                memo, held, table = {}, 0, np.zeros((0, width))
             new = list(set().union(*chunks) - memo.keys())
             if new:
                 parts = [words_of(c) for c in new]
                 distinct = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
                 words, likely = list(distinct), np.zeros((len(distinct), len(langs)))
-                for i in range(0, len(words), 20_000):
-                    likely[i : i + 20_000] = Lattice(words[i : i + 20_000], trie).log_likelihood(probability)
+                for at, lattice in lattices(words, trie):
+                    likely[at] = lattice.log_likelihood(probability)
                 more = np.zeros((len(new), width))
                 owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
                 which = np.array([distinct[w] for p in parts for w in p], np.int64)
@@ -210,6 +244,11 @@ def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, byte
                 memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                 table = np.concatenate([table, more])
             total = np.array([table[np.fromiter(map(memo.__getitem__, c), np.int64, len(c))].sum(0) for c in chunks]).reshape(-1, width)
+            for c in new:  # long chunks are not kept
+                if len(c) > MEMO_KEY:
+                    del memo[c]
+                else:
+                    held += sys.getsizeof(c) + 100
             known = (total[:, -1] > 0) & bool(langs)
             pred, score = np.full(len(total), "und", object), np.zeros(len(total))
             if langs:

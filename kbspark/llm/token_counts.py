@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, read_bytes, slices
+from .common import BatchMemo, read_bytes, slices
 
 SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -54,24 +54,18 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class _Counter:
-    """Counts tokens; keeps the counts of merged pre-tokens within a bound."""
+    """Counts tokens; remembers the counts of merged pre-tokens within a bound."""
 
     def __init__(self, model: bytes, whole: frozenset[str]):
-        self.sp, self.known = _processor(model), dict.fromkeys(whole, 1)
-        self.base = len(whole)
-
-    def add(self, found: set[str]) -> None:
-        new = list(found - self.known.keys())
-        if len(self.known) - self.base > MEMO_ENTRIES:
-            for seg in list(self.known)[self.base :]:  # dicts keep their order: the proven ones stay
-                del self.known[seg]
-            new = list(found - self.known.keys())
-        self.known.update(zip(new, map(len, self.sp.encode([s[1:] for s in new], num_threads=1)), strict=True))
+        merge = _processor(model).encode
+        self.known = BatchMemo(lambda new: map(len, merge([s[1:] for s in new], num_threads=1)), dict.fromkeys(whole, 1))
 
     def count(self, texts: list[str]) -> list[int]:
         split = [pre_tokens(t) for t in texts]
-        self.add(set().union(*split))
-        return [sum(map(self.known.__getitem__, s)) for s in split]
+        self.known.learn(set().union(*split))
+        out = [sum(map(self.known.__getitem__, s)) for s in split]
+        self.known.settle()
+        return out
 
 
 def token_counts(
