@@ -1,11 +1,13 @@
 """MinHash near-dedup by an LSH forest.
 
-Every tree of the forest sorts the documents by its own run of min-hash values. Documents that share a prefix of that
-order are a region; a region with few members is taken at the least depth, one with many is followed to a deeper prefix,
-so each region finds the depth at which it is small. A document that would be alone at the deeper prefix still meets its
-whole region, and a region that stays dense at the last depth is compared in blocks. Within a region the whole signatures
-estimate every pair's similarity, and the pairs well within reach join candidate clusters. Each cluster then compares full shingle sets: every
-link is confirmed, and sets whose rarest shingles differ, which cannot link, are spared the comparison.
+Every tree of the forest is one sorted order of all signatures: the order by the signature read from the tree's own
+place on, around its end. Each order is dealt by ranges, so a hot region spreads over tasks like any other. In sorted
+order the longest common prefixes of neighbours give the regions: documents that share a prefix of the least depth form
+one, and a region with many members is followed to deeper prefixes until it is small, so each region finds its own
+depth. The pairs of a small region, and every document and its two neighbours of longest common prefix, are estimated
+from their signatures; those well within reach join candidate clusters, and so does, unestimated, a region that stays
+large at the last depth. Each cluster then compares full shingle sets: every link is confirmed, and sets whose rarest
+shingles differ, which cannot link, are spared the comparison.
 
 Documents with equal shingle sets are one class from the start, so groups of copies count once.
 """
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, materialise, slices, task_partitions
-from .graph import Forest, connected_components
+from .graph import connected_components
 
-TREES, DEPTH, LEAST_DEPTH = 12, 6, 3
+#: Trees and the values between two trees' places, which make up a signature; depths that regions start and end at.
+TREES, STEP, LEAST_DEPTH, LAST_DEPTH = 16, 6, 3, 8
+VALUES = TREES * STEP
 _RANDOM = np.random.default_rng(104729)
-_MULTIPLY = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2)
+_MULTIPLY = _RANDOM.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RANDOM.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2)
 _PLACE = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -54,48 +58,63 @@ def shingles(text: str | None, memo: Memo, width: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Min-hash values of non-empty sets: sets x (TREES * DEPTH)."""
+    """A byte of each min-hash value of non-empty sets: sets x VALUES. Unequal values have equal bytes once in 256 times."""
     whole = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    return np.stack([np.minimum.reduceat(((whole ^ f) * m) >> np.uint64(32), starts) for m, f in zip(_MULTIPLY, _FLIP, strict=True)], 1).astype("<u4")
-
-
-def prefix_keys(signature: np.ndarray) -> np.ndarray:
-    """Hashes of the prefixes of depths LEAST_DEPTH..DEPTH in each tree: documents x trees x depths."""
-    by_tree = signature.reshape(len(signature), TREES, DEPTH).astype(np.uint64)
-    key, out = np.zeros(by_tree.shape[:2], np.uint64), []
-    for d in range(DEPTH):
-        key = _mix(key * _PLACE[0] + by_tree[:, :, d] + np.uint64(d + 1))
-        if d + 1 >= LEAST_DEPTH:
-            out.append(key)
-    return np.stack(out, 2).view(np.int64)
-
-
-def likely_edges(signature: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A spanning forest over the pairs whose estimated similarity is ``least`` or more."""
-    n = len(signature)
-    forest, out = Forest(n), []
-    for i in range(n - 1):
-        near = np.flatnonzero((signature[i + 1 :] == signature[i]).mean(1) >= least) + i + 1
-        for j in near.tolist():
-            if forest.find(i) != forest.find(j):
-                forest.union(i, j)
-                out.append((i, j))
+    least = np.stack([np.minimum.reduceat((whole ^ f) * m, starts) for m, f in zip(_MULTIPLY, _FLIP, strict=True)], 1)
+    return (_mix(least) * _PLACE[0] >> np.uint64(56)).astype(np.uint8)
+
+
+def lcp_before(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The length of the prefix that each row of a sorted order shares with the row before it, 0 across trees."""
+    same = keys[1:] == keys[:-1]
+    length = np.where(same.all(1), keys.shape[1], same.argmin(1))
+    length[tree[1:] != tree[:-1]] = 0
+    return np.r_[0, length] if len(keys) else np.zeros(0, np.int64)
+
+
+def regions(lcp: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a sorted order that share a prefix: of the least depth at which they have ``most`` rows or fewer, or the last."""
+    todo = [(0, len(lcp), LEAST_DEPTH)]
+    while todo:
+        low, high, depth = todo.pop()
+        starts = np.r_[low, low + 1 + np.flatnonzero(lcp[low + 1 : high] < depth), high]
+        sizes = np.diff(starts)
+        for at in np.flatnonzero(sizes > 1):
+            if sizes[at] <= most or depth == LAST_DEPTH:
+                yield int(starts[at]), int(starts[at + 1])
+            else:
+                todo.append((int(starts[at]), int(starts[at + 1]), depth + 1))
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect whatever a symmetric matrix of booleans connects."""
+    label, out = np.arange(len(near)), []
+    for i, row in enumerate(near):
+        other = np.flatnonzero(row & (label != label[i]))
+        if len(other):
+            labels, first = np.unique(label[other], return_index=True)
+            out += [(i, int(j)) for j in other[first]]
+            label[np.isin(label, labels)] = label[i]
     return out
 
 
-def block_edges(guests: np.ndarray, guest_parts: np.ndarray, hosts: np.ndarray, host_parts: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs (guest, host) estimated at ``least`` or more that connect all parts which such pairs connect."""
-    parts, at = np.unique(np.r_[guest_parts, host_parts], return_inverse=True)
-    forest, out = Forest(len(parts)), []
-    mine, theirs = at[: len(guests)], at[len(guests) :]
-    for i in range(len(guests)):
-        near = np.flatnonzero(((hosts == guests[i]).mean(1) >= least) & (theirs != mine[i]))
-        for j in near[np.unique(theirs[near], return_index=True)[1]].tolist():
-            if forest.find(int(mine[i])) != forest.find(int(theirs[j])):
-                forest.union(int(mine[i]), int(theirs[j]))
-                out.append((i, j))
-    return out
+def forest_edges(tree: np.ndarray, keys: np.ndarray, least: float, most: int) -> np.ndarray:
+    """Candidate edges between positions of a sorted order: n x 2."""
+    lcp = lcp_before(tree, keys)
+    beside = np.flatnonzero(lcp >= LEAST_DEPTH)
+    beside = beside[(keys[beside] == keys[beside - 1]).mean(1) >= least]
+    found = [np.c_[beside - 1, beside]]
+    for low, high in regions(lcp, most):
+        if high - low > most:
+            found.append(np.c_[np.full(high - low - 1, low), np.arange(low + 1, high)])
+        elif high - low > 2:
+            part = keys[low:high]
+            near = (part[:, None] == part[None]).mean(2) >= least
+            edges = spanning(near)
+            if edges:
+                found.append(np.array(edges) + low)
+    return np.concatenate(found)
 
 
 def _overlap(one: np.ndarray, whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -124,6 +143,11 @@ def exact_links(sets: list[np.ndarray], percent: int, guests: np.ndarray | None
     begin = np.cumsum(length) - length
     by = np.argsort(token, kind="stable")
     held, low, high = holder[by], np.searchsorted(token[by], token), np.searchsorted(token[by], token, "right")
+    # the sets of every shingle, and each set's shingles that others share
+    sharers = owner[np.argsort(rank, kind="stable")]
+    ends = np.cumsum(times)
+    shared = times[rank] > 1
+    mine, edge = rank[shared], np.searchsorted(owner[shared], np.arange(n + 1))
     out = []
     for i in range(n) if guests is None else np.flatnonzero(guests).tolist():
         at = slice(begin[i], begin[i] + length[i])
@@ -131,7 +155,11 @@ def exact_links(sets: list[np.ndarray], percent: int, guests: np.ndarray | None
         near = near[(label[near] != label[i]) & (100 * size[near] >= percent * size[i]) & (100 * size[i] >= percent * size[near])]
         if not len(near):
             continue
-        inter = _overlap(sets[i], np.concatenate([sets[j] for j in near]), np.cumsum(np.r_[0, size[near][:-1]]))
+        own = mine[edge[i] : edge[i + 1]]
+        if times[own].sum() < 16 * size[near].sum():
+            inter = np.bincount(np.concatenate([sharers[ends[r] - times[r] : ends[r]] for r in own.tolist()]), minlength=n)[near]
+        else:
+            inter = _overlap(sets[i], np.concatenate([sets[j] for j in near]), np.cumsum(np.r_[0, size[near][:-1]]))
         linked = near[100 * inter >= percent * (size[i] + size[near] - inter)]
         labels, first = np.unique(label[linked], return_index=True)
         out += [(i, int(j)) for j in linked[first]]
@@ -146,8 +174,8 @@ def near_duplicate_documents(
     text_col: str = "text",
     width: int = 5,
     percent: int = 85,
-    margin: float = 0.2,
-    region_rows: int = 512,
+    margin: float = 0.17,
+    region_rows: int = 256,
     cluster_shingles: int = 3_000_000,
 ) -> DataFrame:
     """Link documents with 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
@@ -157,11 +185,11 @@ def near_duplicate_documents(
     words than ``width`` are one shingle. Equal sets are linked. Rows that repeat an id are rows of their own; with a null
     id ``kept`` is false. An empty table gives an empty result.
 
-    For pairs whose signature of 72 values estimates within ``margin`` of the threshold, candidates are found with at
-    least the probability 1 - (1 - J**d)**12 for regions of depth d: at J = 0.85, 1 - 1e-5 where d = 3 and 0.997 where a
-    dense region goes down to d = 6 (0.97 at J = 0.8), unless other documents connect the pair. All pairs of a region at
-    its last depth are estimated, however large it is, and all pairs of a region with a member that is alone at the next
-    depth, so in dense regions the work grows with the square of the members that nothing connects. Links are exact.
+    A pair is a candidate where it shares a region in one of the 16 trees, with a probability of at least
+    1 - (1 - J**d)**16 for regions of depth d: at J = 0.85 over 0.999999 where d = 3, and 0.994 (0.95 at J = 0.8) in the
+    densest regions, of d = 8, unless other documents or neighbours in an order connect it. The estimate of 96 values may
+    fall short by ``margin``, over four standard deviations. There is no bound on a region's or cluster's members: a
+    region over ``region_rows`` at the last depth is one candidate cluster. Links are exact.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -187,64 +215,27 @@ def near_duplicate_documents(
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
-            signature = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, TREES * DEPTH)
-            keys = prefix_keys(signature).reshape(-1, DEPTH - LEAST_DEPTH + 1)
-            node = np.repeat(b.column(0).to_numpy(), TREES)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), len(signature))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(tree), *map(pa.array, keys.T)], ["node", "tree", *depths])
-
-    depths = [f"k{d}" for d in range(LEAST_DEPTH, DEPTH + 1)]
-    longs = ", ".join(f"{d} long" for d in depths)
-    level = materialise(classes.select("node", "signature").mapInArrow(plant, f"node long, tree int, {longs}"))
-    # Regions by depth: one with over region_rows members goes on to the next prefix; at the last depth it is dealt into
-    # chunks that all hold the region's first member. ``dense`` are the large regions' members, with those marked that
-    # the next prefix leaves alone (at the last depth all), for the blocks below.
-    regions, dense = [], []
-    for d, key in enumerate(depths):
-        last = d + 1 == len(depths)
-        sizes = level.groupBy("tree", key).agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
-        within = level.join(sizes, ["tree", key])
-        here = within if last else within.filter(F.col("members") <= region_rows)
-        chunks = F.ceil(F.col("members") / region_rows).cast("int")
-        placed = here.select("node", "tree", F.lit(d).alias("depth"), F.col(key).alias("key"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-        if last:
-            big = sizes.filter(F.col("members") > region_rows)
-            every = F.explode(F.sequence(F.lit(0), chunks - 1))
-            placed = placed.union(big.select(F.col("first").alias("node"), "tree", F.lit(d).alias("depth"), F.col(key).alias("key"), every.alias("chunk")))
-        regions.append(placed)
-        level = materialise(within.filter(F.col("members") > region_rows).drop("members", "first"))
-        if level.isEmpty():
-            break
-        if last:
-            marked = level.withColumn("lone", F.lit(True))
-        else:
-            after = depths[d + 1]
-            alone = level.groupBy("tree", after).agg(F.count("*").alias("beside")).filter("beside = 1").select("tree", after, F.lit(True).alias("lone"))
-            marked = level.join(alone, ["tree", after], "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
-        dense.append(marked.select("node", "tree", F.lit(d).alias("depth"), F.col(key).alias("key"), "lone"))
-    members = regions[0]
-    for more in regions[1:]:
-        members = members.union(more)
-    rows = classes.count()
-    tasks = task_partitions(spark, rows, 20_000)
-    members = members.distinct().join(classes.select("node", "signature"), "node")
-    members = members.withColumn("task", F.pmod(F.xxhash64("tree", "depth", "key", "chunk"), F.lit(tasks)).cast("int"))
+            signature = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
+            for t in range(TREES):
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(VALUES), len(signature), [None, pa.py_buffer(np.roll(signature, -t * STEP, 1).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(signature), t, np.int32)), keys.cast(pa.binary()), b.column(0)], ["tree", "key", "node"])
+
+    planted = classes.select("node", "signature").mapInArrow(plant, "tree int, key binary, node long")
+    tasks = task_partitions(spark, classes.count() * TREES, 65_536)
     least = percent / 100 - margin
 
-    def estimate(table: pa.Table) -> pa.Table:
-        where: dict[tuple, list[int]] = {}
-        for i, k in enumerate(zip(*(table.column(c).to_pylist() for c in ("tree", "depth", "key", "chunk")), strict=True)):
-            where.setdefault(k, []).append(i)
-        nodes = table.column("node").to_numpy()
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, TREES * DEPTH)
-        found = [(nodes[at[i]], nodes[at[j]]) for at in where.values() for i, j in likely_edges(signature[at], least)]
-        got = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": got[:, 0], "b": got[:, 1]})
-
-    likely = members.groupBy("task").applyInArrow(estimate, "a long, b long")
-    if dense:
-        likely = materialise(likely)
-        likely = likely.union(_dense_edges(dense, likely, classes.select("node", "signature"), least, 8 * region_rows))
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)  # a range of an order, of a bounded number of rows
+        if rows:
+            table = pa.Table.from_batches(rows)
+            keys = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
+            edges = table.column(2).to_numpy()[forest_edges(table.column(0).to_numpy(), keys, least, region_rows)]
+            edges = np.unique(np.sort(edges, 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    # The node spreads equal keys over ranges.
+    orders = planted.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    likely = orders.mapInArrow(estimate, "a long, b long")
     clusters = materialise(connected_components(likely).join(classes.select("node", "id", "n", "digest"), "node"))
     links = _confirm(source, clusters, width, percent, cluster_shingles)
     parts = connected_components(links)
@@ -257,69 +248,21 @@ def near_duplicate_documents(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _dense_edges(dense: list[DataFrame], likely: DataFrame, signed: DataFrame, least: float, block_rows: int) -> DataFrame:
-    """Edges ``(a, b)`` of large regions: every pair with a ``lone`` member that ``likely`` does not connect is estimated.
-
-    ``dense``: node, tree, depth, key, lone. Guests (lone members) meet hosts (all members) in blocks of at most about
-    ``block_rows`` a side. Members of the region's largest part are connected already, so guests among them meet only
-    hosts outside it.
-    """
-    spark = signed.sparkSession
-    members = dense[0]
-    for more in dense[1:]:
-        members = members.union(more)
-    region = ["tree", "depth", "key"]
-    parts = connected_components(likely).withColumnRenamed("component", "part")
-    members = materialise(members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
-    count = members.groupBy(*region, "part").agg(F.count("*").alias("n"))
-    main = count.groupBy(*region).agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"))
-    members = members.join(main, region).withColumn("inside", F.col("part") == F.col("main"))
-    # kind 0: guests outside the largest part with all hosts; kind 1: guests inside it with the hosts outside.
-    guests = members.filter("lone").withColumn("kind", F.col("inside").cast("int"))
-    hosts = members.withColumn("kind", F.explode(F.when(F.col("inside"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    block = [*region, "kind"]
-    chunks = lambda df, name: df.groupBy(*block).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    plan = chunks(guests, "lefts").join(chunks(hosts, "rights"), block)
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = guests.join(plan, block).withColumn("left", own("lefts")).withColumn("right", every("rights")).withColumn("guest", F.lit(True))
-    right = hosts.join(plan, block).withColumn("right", own("rights")).withColumn("left", every("lefts")).withColumn("guest", F.lit(False))
-    names = [*block, "left", "right", "node", "part", "guest"]
-    placed = materialise(left.select(names).union(right.select(names)))
-    tasks = task_partitions(spark, placed.count(), 2 * block_rows)
-    placed = placed.join(signed, "node").withColumn("task", F.pmod(F.xxhash64(*block, "left", "right"), F.lit(tasks)).cast("int"))
-
-    def estimate(table: pa.Table) -> pa.Table:
-        where: dict[tuple, list[int]] = {}
-        for i, k in enumerate(zip(*(table.column(c).to_pylist() for c in names[:6]), strict=True)):
-            where.setdefault(k, []).append(i)
-        nodes, parts, guest = (table.column(c).to_numpy() for c in ("node", "part", "guest"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, TREES * DEPTH)
-        found = []
-        for at in where.values():
-            at = np.array(at)
-            a, b = at[guest[at]], at[~guest[at]]
-            found += [(nodes[a[i]], nodes[b[j]]) for i, j in block_edges(signature[a], parts[a], signature[b], parts[b], least)]
-        got = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": got[:, 0], "b": got[:, 1]})
-
-    return materialise(placed.groupBy("task").applyInArrow(estimate, "a long, b long"))
-
-
 def digest(s: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, most: int, most_sets: int = 8192) -> DataFrame:
+def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, most: int, most_sets: int = 8192, least_sets: int = 256) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect whatever is linked within each cluster.
 
-    A cluster with over ``most`` shingles or ``most_sets`` sets is dealt into chunks. Its chunks meet its first member, and
+    A cluster is dealt into chunks of ``most`` shingles and ``most_sets`` sets at most, and of as few as ``least_sets``
+    while there are under 16, so that a large cluster is not one task. Its chunks meet its first member, and
     whoever is then not in the cluster's largest component meets all of its chunks, so that no link between chunks is
     lost: chunks of such guests and of all members are compared in blocks, each bounded on both sides.
     """
     spark = source.sparkSession
-    bound = lambda total, sets: F.ceil(F.greatest(total / most, sets / most_sets)).cast("int")
+    bound = lambda total, sets: F.ceil(F.greatest(total / most, sets / most_sets, F.least(sets / least_sets, F.lit(16.0)))).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = clusters.groupBy("component").agg(bound(F.sum("n"), F.count("*")).alias("chunks"), F.min("node").alias("head"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import tracemalloc
 import zlib
@@ -13,7 +14,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from kbspark.llm import byte_bpe, html_extraction, language_id, minhash_dedup, packing, substring_dedup, token_counts, toxicity
+from kbspark.llm import byte_bpe, graph, html_extraction, language_id, minhash_dedup, packing, substring_dedup, token_counts, toxicity
 
 ODD = ["", None, " ", "a", "  two  spaces ", "tab\tand\nline", "▁ mark ▁▁", "<s> </s> <|endoftext|> <unk>", "日本語 テキスト", "🙂 é́ ½ Ａ", "x" * 3000, "word " * 900, "same text", "same text"]
 
@@ -162,17 +163,49 @@ def test_a_document_alone_at_the_next_depth_meets_its_region(spark):
         shared = new(79)
         rows += [(2 * i, " ".join(shared + new(30))), (2 * i + 1, " ".join(shared + new(30)))]
     memo = minhash_dedup.word_memo()
-    first = minhash_dedup.prefix_keys(minhash_dedup.signatures([minhash_dedup.shingles(t, memo, 5) for _, t in rows]))[:, :, 0]
-    want = [2 * i + 1 for i in range(40) if (first[2 * i] == first[2 * i + 1]).any()]
+    signed = minhash_dedup.signatures([minhash_dedup.shingles(t, memo, 5) for _, t in rows])
+    first = np.stack([np.roll(signed, -t * minhash_dedup.STEP, 1)[:, : minhash_dedup.LEAST_DEPTH] for t in range(minhash_dedup.TREES)], 1)
+    want = [2 * i + 1 for i in range(40) if (first[2 * i] == first[2 * i + 1]).all(1).any()]
     got = minhash_dedup.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=50, margin=0.5, region_rows=1).collect()
     assert len(want) > 25 and sorted(r["doc_id"] for r in got if not r["kept"]) == want
 
 
-def test_blocks_connect_what_an_estimate_connects():
-    whole = np.random.default_rng(3).integers(0, 2, (60, 72)).astype("<u4")
-    hosts, parts = np.repeat(whole, 2, 0), np.arange(120) // 2
-    assert minhash_dedup.block_edges(whole[:5], np.arange(200, 205), hosts, parts, 0.99) == [(i, 2 * i) for i in range(5)]
-    assert minhash_dedup.block_edges(whole[:5], np.arange(5), hosts, parts, 0.99) == []
+def test_regions_of_sorted_orders():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 3, (400, 12)).astype(np.uint8)
+    tree = np.repeat([0, 1], 200)
+    order = np.lexsort((*keys.T[::-1], tree))
+    keys, tree = keys[order], tree[order]
+    lcp = minhash_dedup.lcp_before(tree, keys)
+    share = lambda i, j: 0 if tree[i] != tree[j] else next((d for d in range(12) if keys[i, d] != keys[j, d]), 12)
+    assert all(lcp[i] == share(i - 1, i) for i in range(1, 400))
+    for most in (3, 10, 1000):
+        inside = np.zeros((400, 400), bool)
+        for low, high in minhash_dedup.regions(lcp, most):
+            inside[low:high, low:high] = True
+        size = lambda i, d: sum(share(i, k) >= d for k in range(400))  # noqa: B023, E731
+        for i in range(0, 400, 23):
+            depth = next((d for d in range(3, 8) if size(i, d) <= most), 8)
+            assert all(inside[i, j] == (share(i, j) >= depth) for j in range(400) if j != i)
+    edges = minhash_dedup.forest_edges(tree, keys, 0.0, 3)
+    assert {tuple(e) for e in edges.tolist()} >= {(i - 1, i) for i in range(1, 400) if lcp[i] >= 3}
+
+
+def test_minhash_recall_at_the_threshold(spark):
+    """Pairs a little over the threshold in families of one template, each family over ``region_rows``: 0.9 at least."""
+    rng = random.Random(29)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], []
+    for family in range(3):
+        template = new(60)
+        for i in range(60):
+            own = new(40)
+            one, two = template + own, template + own[:-7] + new(7)  # 89 of 103
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), region_rows=16).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert len(set(got.values())) >= len(pairs)
 
 
 def test_exact_links_are_bounded_and_complete():
@@ -190,7 +223,7 @@ def test_exact_links_are_bounded_and_complete():
         sets += [np.r_[x[:-1], fresh(1)] for x in sets[:20]]
         sets = [np.unique(x) for x in sets]
         links = minhash_dedup.exact_links(sets, percent)
-        part = minhash_dedup.Forest(len(sets))
+        part = graph.Forest(len(sets))
         for i, j in links:
             part.union(i, j)
         for i, x in enumerate(sets):
@@ -217,11 +250,66 @@ def test_clusters_in_blocks_keep_every_link(spark):
     assert {tuple(sorted(r)) for r in got} == {(i, i + 20) for i in range(20)}
 
 
-def test_forward_sums_all_segmentations():
-    vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
-    p = np.array([[0.2], [0.1], [0.3], [0.15], [0.05], [1e-7]])
-    got = language_id.Lattice(["▁ab", "▁aé"], language_id._prefixes(vocab)).forward(p)
-    assert np.isclose(got[0, 3, 0], 0.2 * 0.1 * 0.3 + 0.2 * 0.15 + 0.05 * 0.3) and np.isclose(got[1, 3, 0], (0.2 * 0.1 + 0.05) * 1e-7)
+def segmentations(word, vocab):
+    """All ways to cut a word into pieces; an unknown character is piece -1."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        if word[:k] in vocab or k == 1:
+            for rest in segmentations(word[k:], vocab):
+                yield [vocab.get(word[:k], -1), *rest]
+
+
+def test_forward_and_expected_against_all_segmentations():
+    vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "bab": 5}
+    trie = language_id._prefixes(vocab)
+    p = np.array([[0.2, 0.1], [0.1, 0.2], [0.3, 0.1], [0.15, 0.2], [0.05, 0.3], [0.1, 0.1], [1e-7, 1e-7]])
+    words = ["▁ab", "▁aé", "▁babababababab", "b", "▁ababbabaab"]
+    count = np.array([1.0, 2.0, 5.0, 1.0, 3.0])
+    likely, expected = np.zeros((len(words), 2)), np.zeros(len(p))
+    for i, w in enumerate(words):
+        ways = list(segmentations(w, vocab))
+        product = np.array([p[way].prod(0) for way in ways])
+        likely[i] = np.log(product.sum(0))
+        for way, share in zip(ways, product[:, 0] / product[:, 0].sum(), strict=True):
+            np.add.at(expected, way, share * count[i])
+    lattice = language_id.Lattice(words, trie)
+    assert np.allclose(lattice.log_likelihood(p), likely) and np.allclose(lattice.expected(p[:, :1], count), expected)
+
+
+def test_long_words_are_scored_whole():
+    vocab = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "bab": 5}
+    p = np.array([[0.2], [0.1], [0.3], [0.15], [0.05], [0.1], [1e-7]])
+    rng = random.Random(6)
+    words = ["▁" + "".join(rng.choice("abé") for _ in range(n)) for n in (3, 2000, 40, 700)]
+    for w in words:
+        logs = [0.0]
+        for e in range(1, len(w) + 1):
+            ways = [logs[e - k] + math.log(p[vocab[w[e - k : e]], 0] if w[e - k : e] in vocab else 1e-7) for k in (1, 2, 3) if k <= e and (k == 1 or w[e - k : e] in vocab)]
+            logs.append(max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways)))
+        got = language_id.Lattice([w], language_id._prefixes(vocab)).log_likelihood(p)[0, 0]
+        assert math.isclose(got, logs[-1], rel_tol=1e-9)
+    whole = np.zeros((len(words), 1))
+    for at, lattice in language_id.lattices(words, language_id._prefixes(vocab)):
+        whole[at] = lattice.log_likelihood(p)
+        expected = lattice.expected(p, np.ones(len(at)))
+        chars = sum(len(words[i]) for i in at)  # the expected pieces spell the words
+        assert math.isclose(expected @ [1, 1, 1, 2, 2, 3, 1], chars, rel_tol=1e-9)
+    assert np.isfinite(whole).all()
+
+
+def test_prediction_is_the_most_likely_language(spark):
+    """Every text's language and score against sums over its words one by one."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat and the dog", "der Hund und die Katze", "the Hund", "", "x" * 500, "日本語" * 90])], "doc_id long, text string")
+    train = spark.createDataFrame([("en", "the cat and a dog " * 5), ("de", "der Hund und die Katze " * 5)], "lang string, text string")
+    langs, p, model = trained = language_id.train_language_model(train)
+    trie = language_id._prefixes(language_id.vocabulary(model))
+    for r, text in zip(language_id.predict_language(docs, trained).collect(), [r["text"] for r in docs.collect()], strict=True):
+        total = sum((language_id.Lattice([w], trie).log_likelihood(p)[0] for w in language_id.words_of(text)), np.zeros(2))
+        if not text:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == langs[total.argmax()] and math.isclose(r["score"], 1 / np.exp(total - total.max()).sum(), rel_tol=1e-9)
 
 
 def test_language_id(spark):
