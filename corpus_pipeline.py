@@ -28,10 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that are not predicted toxic; of an id with several rows, all go if one is."""
+    """Keep documents that are not predicted toxic. Rows are judged one by one, null and repeated ids included."""
     scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rejected = scored.filter("predicted = 1").select(F.col("doc_id").alias("_kb_id"), F.col("text_hash").alias("_kb_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_kb_id")) & (F.xxhash64("text") == F.col("_kb_hash"))
+    return docs.join(rejected, same, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
