@@ -1,12 +1,12 @@
 """The text operators against brute force, on small tables with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
-import json
 import math
 import random
 import tracemalloc
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -442,4 +442,89 @@ def test_html_extraction(spark):
     assert got[0]["text"] == "Cats & dogs\nFirst bold text here.\nYes." and got[0]["n_chars"] == len(got[0]["text"])
     assert got[1]["text"] == got[2]["text"] == "" and got[3]["text"] == "cut off tex" and got[4]["text"] == "a\nb"
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
-    json.dumps(html_extraction.grow_tree(*html_extraction.labelled_table()))
+    clash = df.selectExpr("page_id", "url", "html", "'x' as text", "1 as id", "2 as n_chars")
+    assert html_extraction.extract_main_text(clash).columns == ["page_id", "url", "text", "n_chars"]
+    long_ = spark.createDataFrame([(1, "u", "<article>" + "<p>one two" * 100_000 + "</article>")], "page_id long, url string, html string")
+    assert html_extraction.extract_main_text(long_).first()["n_chars"] == 8 * 100_000 - 1
+
+
+def test_pages_that_nearly_lose_their_article():
+    tree = html_extraction.grow_tree(*html_extraction.labelled_table())
+    words = lambda n: " ".join(["word"] * n)
+    for page, want in [
+        ("<article><p>Before icon <svg viewBox='0 0'/> after</p><p>next</p></article>", "Before icon after\nnext"),
+        ("<article><p>a b <iframe src=x> lost</p><p>next</p></article>", "a b\nnext"),
+        ("<article><p>x <button> y</p><p>z</p></article>", "x\nz"),
+        ("<article><p>x <select><option>o</select> y</p><object><p>fallback</p></object><p>z</p></article>", "x y\nz"),
+        (f"<body><form><div><p>{words(80)}</p><p>{words(60)}</p></div><input type=hidden></form></body>", f"{words(80)}\n{words(60)}"),
+        ("<article class='post share-enabled'><p>kept</p></article>", "kept"),
+        (f"<div class='social-policy'><p>{words(30)}</p></div>", words(30)),
+        (f"<article><p>{words(30)}</p><form><label>Mail</label><input></form><div id=comment-list><p>{words(40)}</p></div></article>", words(30)),
+        ("<article><p>one</p><script>var a='<p>no</p>';</script><title>t</title><p>two &amp; 3</p>", "one\ntwo & 3"),
+        ("<article><p>short one</p><p><a>a link of several words here</a></p></article>", "short one\na link of several words here"),
+    ]:
+        assert html_extraction.main_text(page, tree) == want
+
+
+def test_the_tree_uses_words_densities_and_neighbours():
+    tree, used = html_extraction.grow_tree(*html_extraction.labelled_table()), set()
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        if node[0] != "leaf":
+            used.add(html_extraction.FEATURES[node[0]])
+            todo += node[2:]
+    assert {"words", "link density", "link density after"} <= used and {"words before", "words after"} & used
+    nav = "<div><a>one</a></div><div><a>two</a></div>"
+    text = "word " * 40
+    page = f"{nav}<div>A heading here</div><div>{text}</div><div>{text}</div><div>More stories</div><div><a>some other story</a></div><div><a>another story</a></div>"
+    assert html_extraction.main_text(page, tree).startswith("A heading here\nword") and "stor" not in html_extraction.main_text(page, tree)
+
+
+class SlowPage(HTMLParser):
+    """Another reading of the pages: texts of blocks in an article that are not in an element left out."""
+
+    BLOCKS = set("article p h1 h2 h3 div section ul li header footer nav aside form blockquote".split())
+    OUT = set("script style nav aside form footer".split())
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.out, self.now = [], [], ""
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        tags = [t for t, _ in self.stack]
+        text, self.now = " ".join(self.now.split()), ""
+        if text and "article" in tags and not self.OUT & set(tags) and not any(c in ("ad", "comments") for _, c in self.stack):
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attributes):
+        if tag in self.BLOCKS:
+            self.flush()
+            if self.stack and self.stack[-1][0] == "p":
+                self.stack.pop()
+            self.stack.append((tag, dict(attributes).get("class")))
+        elif tag in ("script", "style"):
+            self.stack.append((tag, None))
+        elif tag == "br":
+            self.now += " "
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.stack or self.stack[-1][0] not in ("script", "style"):
+            self.now += data
+
+
+def test_every_page_against_a_slow_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got) and all(got[r["page_id"]] == "\n".join(SlowPage(r["html"] or "").out) for r in rows)
