@@ -61,11 +61,34 @@ def test_near_duplicates(spark):
     for i, r in enumerate(rows):
         least[find(i)] = min(least.get(find(i), r[0]), r[0])
     want = sorted((r[0], links[i], least[find(i)], r[0] == least[find(i)]) for i, r in enumerate(rows))
-    for options in ({}, {"block_rows": 8}):
+    for options in ({}, {"block_rows": 8}, {"block_rows": 16, "direct_rows": 10, "bucket_rows": 8}):
         assert sorted(map(tuple, embedding_dedup.near_duplicate_vectors(df, **options).collect())) == want
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_bounds_hold_and_estimates_are_unbiased():
+    rng = np.random.default_rng(2)
+    coder = embedding_dedup.Codes(64, 4)
+    x = rng.standard_normal((300, 64))
+    y = np.vstack([x[:150] + 0.1 * rng.standard_normal((150, 64)), rng.standard_normal((150, 64))])
+    (_, _, parts, step), (code, factor, _, _) = coder.encode(x), coder.encode(y)
+    true = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+    assert (coder.upper(parts, step, code, factor, 6.0) >= true).all()
+    estimate = coder.upper(parts, step, code, factor, 0.0) - np.outer(step * 4, (1 / factor).mean(1)) - 1e-4
+    assert abs((estimate - true).mean()) < 2e-3 and np.std(estimate - true) < 0.06
+
+
+def test_approximation_bounds_hold():
+    rng = np.random.default_rng(7)
+    v, q = rng.integers(-90, 90, (500, 12)), rng.integers(-90, 90, (40, 12))
+    cells = vector_search.Cells(v.min(0), v.max(0), 4)
+    middle, half = cells.bounds(q.astype(float), cells.encode(v))
+    assert (np.abs(q @ v.T - middle) <= half[:, None]).all()
+    i, j = vector_search.contenders(middle, half, np.full(40, -1), 20)
+    kept = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert all((a, b) in kept for a in range(40) for b in np.argsort(-(q @ v.T)[a], kind="stable")[:20].tolist()) and len(kept) < 40 * 500
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, 500), (None, 3)]
