@@ -1,11 +1,14 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 Every word position that begins ``window`` words starts a suffix. Suffixes are split into groups by prefixes of variable
-length: by a hash of their first two words, where few prefixes share a group and a frequent prefix is lengthened, so
-that every group fits a task's memory. Within a group the suffixes are sorted by their path down to depth ``window``;
-runs of one path are the subtree's internal nodes of that depth, and every deeper node (a longer repeat) lies below one
-and covers no other word. A path is a 64-bit digest of its words beside the group's own prefix. The first document of a
-node keeps its words, the others lose them; consecutive nodes of a document make up its maximal repeats.
+length, chosen from counts: rare prefixes of one or two words share a group, a two-word prefix with more suffixes than
+fit a task's memory is lengthened to five words. A suffix travels as its path from the root down to depth ``window``, 64
+bits that begin with the node of its first five words and end with that of all ``window`` words, so that sorting the
+paths of a group sorts its suffixes as a tree does, and the common prefix of neighbours tells the depth of the node
+above both: the group's own, five words, or ``window`` words. Nodes are told apart at these depths only, and words by
+64-bit hashes. The internal nodes of depth ``window`` are the repeats. The first document of such a node keeps its words,
+the others lose them; every deeper node (a longer repeat) lies below one and covers no other word, and the consecutive
+nodes of a document make up its maximal repeats, which ``keep_spans`` returns.
 
 Documents are dealt into slices by a hash of their id. A slice sends each of its distinct paths once, with the smallest
 id that has it, and gets back those that start in a smaller document elsewhere, so a passage that very many documents
@@ -25,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import Memo, slices
 
-#: Prefix classes of two words; a class is the unit that groups are planned in.
-CLASSES = 4096
+#: Bits of a word in a prefix class, of which there is one for each two of these; a class is the unit of the groups' plan.
+WORD_BITS = 8
+CLASSES = 1 << 2 * WORD_BITS
+#: Words of the inner node on a path, and its bits.
+INNER_WORDS, INNER_BITS = 5, 16
 _SEED = np.random.default_rng(7919)
 _ODD = _SEED.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PREFIX = _SEED.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,22 +49,44 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def paths(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix class and path digest of every window of one document's word hashes."""
+    """Prefix class and path of every suffix of one document's word hashes that has ``window`` words."""
     n = len(hashes) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    digest = np.zeros(n, np.uint64)
+    mix = lambda x: (x ^ (x >> np.uint64(29))) * _ODD[0]
+    whole = np.zeros(n, np.uint64)
+    inner = None
     for k in range(window):
-        digest += hashes[k : k + n] * _ODD[k % len(_ODD)]
+        whole += hashes[k : k + n] * _ODD[k % len(_ODD)]
+        if k + 1 == min(INNER_WORDS, window):
+            inner = mix(whole)
         if k % len(_ODD) == len(_ODD) - 1:
-            digest ^= digest >> np.uint64(31)
-    digest = (digest ^ (digest >> np.uint64(29))) * _ODD[0]
-    second = hashes[1 : n + 1] if window > 1 else hashes[:n]
-    return ((hashes[:n] * _PREFIX[0] + second * _PREFIX[1]) >> np.uint64(52)).astype(np.int64), digest
+            whole ^= whole >> np.uint64(31)
+    low = np.uint64(INNER_BITS)
+    path = (inner >> (np.uint64(64) - low) << (np.uint64(64) - low)) | (mix(whole) >> low)
+    word = (hashes * _PREFIX[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    second = word[1 : n + 1] if window > 1 else word[:n]
+    return word[:n] << WORD_BITS | second, path
+
+
+def subtree(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of a group's suffixes, and how deep each meets the one before it: 0 the group's prefix, 1 the
+    inner node's words, 2 all words of the window."""
+    order = np.argsort(path, kind="stable")
+    apart = path[order][1:] ^ path[order][:-1]
+    depth = np.where(apart == 0, 2, np.where(apart >> np.uint64(64 - INNER_BITS) == 0, 1, 0))
+    return order, np.r_[0, depth] if len(path) else depth
+
+
+def deep_nodes(order: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes below internal nodes of the window's depth, and the number of each one's node."""
+    same = depth == 2
+    below = same | np.r_[same[1:], False] if len(same) else same
+    return order[below], np.cumsum(~same[below]) - 1
 
 
 class Plan:
-    """Groups of prefixes: classes that share a group, and by how many bits of the path a frequent class is lengthened."""
+    """Groups of prefixes: classes that share a group, and how many bits of the inner node lengthen a frequent class."""
 
     def __init__(self, counts: np.ndarray, most: int):
         self.base, self.longer = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -66,7 +94,7 @@ class Plan:
         for c, n in enumerate(counts.tolist()):
             if n > most:
                 group += filled > 0
-                self.longer[c] = max(1, (-(-n // most) - 1).bit_length())
+                self.longer[c] = min(INNER_BITS, max(1, (-(-n // most) - 1).bit_length()))
                 self.base[c] = group
                 group, filled = group + (1 << int(self.longer[c])), 0
             else:
@@ -75,9 +103,9 @@ class Plan:
                 self.base[c], filled = group, filled + n
         self.groups = group + 1
 
-    def of(self, cls: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    def of(self, cls: np.ndarray, path: np.ndarray) -> np.ndarray:
         bits = self.longer[cls]
-        return self.base[cls] + np.where(bits > 0, (digest >> np.uint64(32)).astype(np.int64) >> (32 - bits), 0)
+        return self.base[cls] + np.where(bits > 0, (path >> np.uint64(64 - INNER_BITS)).astype(np.int64) >> (INNER_BITS - bits), 0)
 
 
 def _slice_paths(ids: list, texts: list, memo: Memo, window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,13 +121,24 @@ def _slice_paths(ids: list, texts: list, memo: Memo, window: int) -> tuple[list[
     return words, join(doc, np.int64), join(at, np.int64), join(cls, np.int64), join(digest, np.uint64)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_paths: int = 3_000_000, slice_words: int = 500_000, keep_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+def ranks(ids: pa.Array) -> np.ndarray:
+    """The rank of each id among the distinct ones."""
+    if pa.types.is_integer(ids.type):
+        return np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1].reshape(-1)
+    coded = ids.dictionary_encode()
+    place = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable"), kind="stable")
+    return place[coded.indices.to_numpy()]
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_paths: int = 3_000_000, slice_words: int = 500_000, keep_text: bool = False, keep_spans: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every word that lies in a window of ``window`` words which also starts in a document with a smaller id.
 
-    One row per input row: ``n_words``, ``n_removed``, ``kept_sha256`` of the kept words joined by one space, and
-    with ``keep_text`` those as ``kept_text``; ``keep`` names other columns to carry along. Windows are judged on the input, not on what is left of it. A null text has
-    no words; texts with fewer words than a window lose none. Rows with a null id keep all words and take none from
-    others; rows with equal ids are one document's and take none from each other. An empty table gives an empty result.
+    One row per input row: ``n_words``, ``n_removed``, ``kept_sha256`` of the kept words joined by one space, with
+    ``keep_text`` those as ``kept_text``, and with ``keep_spans`` the removed repeats as ``spans`` (first word, number of
+    words); ``keep`` names other columns to carry along, whatever they are called. Windows are judged on the input, not on
+    what is left of it. A null text has no words; texts with fewer words than a window lose none; texts of any length are
+    read whole. Rows with a null id keep all words and take none from others; rows with equal ids are one document's and
+    take none from each other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     carried = [f"carried_{i}" for i in range(len(keep or []))]
@@ -115,8 +154,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["class", "n"])
 
     counts = np.zeros(CLASSES, np.int64)
-    for r in source.select("id", "text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows at most
-        counts[r["class"]] = r["n"]
+    found = source.select("id", "text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # CLASSES rows at most
+    counts[found["class"].to_numpy(int)] = found["n"].to_numpy(int)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = int(counts.sum())
     plan = spark.sparkContext.broadcast(Plan(counts, max(1000, min(group_paths, -(-total // least)))))
@@ -161,17 +200,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sent = dealt.mapInArrow(send, f"slice int, group long, ids array<{kind}>, sizes binary, paths binary")
 
     def resolve(table: pa.Table) -> pa.Table:
-        """The paths of a group that start in a smaller document of another slice, by slice."""
-        digest = [np.frombuffer(p, np.uint64) for p in table.column("paths").to_pylist()]
-        ids = table.column("ids").to_pylist()
-        rank = {x: i for i, x in enumerate(sorted({i for d in ids for i in d}))}
-        first = [np.repeat(np.array([rank[i] for i in d], np.int64), np.frombuffer(s, "<u4")) for d, s in zip(ids, table.column("sizes").to_pylist(), strict=True)]
-        owner = np.repeat(np.arange(len(digest)), [len(d) for d in digest])
-        digest, first = np.concatenate(digest), np.concatenate(first)
-        order = np.argsort(digest, kind="stable")
-        same = digest[order][1:] == digest[order][:-1]
-        inner = order[np.r_[False, same] | np.r_[same, False]]  # the suffixes below internal nodes
-        node = np.cumsum(np.r_[True, digest[inner][1:] != digest[inner][:-1]]) - 1 if len(inner) else inner
+        """The paths of a group's deep nodes that start in a smaller document of another slice, by slice."""
+        path = [np.frombuffer(p, np.uint64) for p in table.column("paths").to_pylist()]
+        rank = ranks(table.column("ids").combine_chunks().flatten())
+        first = np.repeat(rank, np.concatenate([np.frombuffer(s, "<u4") for s in table.column("sizes").to_pylist()]))
+        owner = np.repeat(np.arange(len(path)), [len(d) for d in path])
+        digest = np.concatenate(path)
+        inner, node = deep_nodes(*subtree(digest))
         least = np.full(int(node[-1]) + 1 if len(node) else 0, len(rank))
         np.minimum.at(least, node, first[inner])
         lose = inner[first[inner] > least[node]]
@@ -196,24 +231,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             lose[order] |= rank[order] > rank[order][start][node]
         edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-        removed, sha, kept = [], [], []
+        removed, sha, kept, spans = [], [], [], []
         for i, w in enumerate(words):
             hit = at[edge[i] : edge[i + 1]][lose[edge[i] : edge[i + 1]]]
             if len(hit):
                 step = np.zeros(len(w) + 1, np.int64)
                 np.add.at(step, hit, 1)
                 np.add.at(step, hit + window, -1)
-                left_over = [x for x, c in zip(w, np.cumsum(step[:-1]), strict=True) if not c]
+                gone = np.cumsum(step[:-1]) > 0
+                left_over = [x for x, c in zip(w, gone.tolist(), strict=True) if not c]
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
+                spans.append([{"start": int(a), "length": int(e - a)} for a, e in edges] if keep_spans else None)
             else:
                 left_over = w
+                spans.append([])
             whole = b" ".join(left_over)
             removed.append(len(w) - len(left_over))
             sha.append(hashlib.sha256(whole).hexdigest())
             kept.append(whole.decode())
         out = {"id": left.column("id"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         out |= {c: left.column(c) for c in carried}
-        return pa.table(out | ({"kept_text": pa.array(kept, pa.string())} if keep_text else {}))
+        out |= {"kept_text": pa.array(kept, pa.string())} if keep_text else {}
+        return pa.table(out | ({"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))} if keep_spans else {}))
 
     kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in carried)
-    out = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string{kinds}" + ", kept_text string" * keep_text)
+    out = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string{kinds}" + ", kept_text string" * keep_text + ", spans array<struct<start:int,length:int>>" * keep_spans)
     return out.withColumnsRenamed({"id": id_col} | dict(zip(carried, keep or [], strict=True)))

@@ -109,13 +109,39 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_removed_spans_are_the_maximal_repeats(spark):
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(1, " ".join(passage)), (2, " ".join(["a", "b", *passage[:20], "c", *passage[8:], "d"])), (3, "nothing"), (4, None)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_spans=True).collect()}
+    assert got == {1: [], 2: [(2, 20), (23, 22)], 3: [], 4: []}
+
+
+def test_subtrees_against_the_words_of_suffixes():
+    """Depths of neighbours and deep nodes of a group, from the words themselves."""
+    rng = random.Random(21)
+    words = [rng.choice("abc") for _ in range(3000)] * 2
+    memo = substring_dedup.word_memo()
+    cls, path = substring_dedup.paths(np.array([memo[w] for w in words], np.uint64), 7)
+    mine = np.flatnonzero(cls == cls[0])
+    suffix = [tuple(words[i : i + 7]) for i in mine]
+    order, depth = substring_dedup.subtree(path[mine])
+    shared = [0] + [next((d for d in range(7) if suffix[a][d] != suffix[b][d]), 7) for a, b in zip(order, order[1:], strict=False)]
+    assert [2 if d == 7 else 1 if d >= 5 else 0 for d in shared] == depth.tolist() and min(shared[1:]) >= 2
+    below, node = substring_dedup.deep_nodes(order, depth)
+    groups = {}
+    for s, n in zip(below.tolist(), node.tolist(), strict=True):
+        groups.setdefault(n, set()).add(suffix[s])
+    count = Counter(suffix)
+    assert all(len(g) == 1 for g in groups.values()) and {g.pop() for g in groups.values()} == {s for s, n in count.items() if n > 1}
+
+
 def test_frequent_prefixes_are_lengthened():
     counts = np.zeros(substring_dedup.CLASSES, np.int64)
     counts[[3, 9]] = 1000, 10
     plan = substring_dedup.Plan(counts, 100)
-    digest = np.random.default_rng(0).integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)
-    hot = plan.of(np.full(4000, 3), digest)
-    assert len(np.unique(hot)) == 16 and np.bincount(hot).max() < 400 and plan.of(np.array([9]), digest[:1])[0] not in hot
+    path = np.random.default_rng(0).integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)
+    hot = plan.of(np.full(4000, 3), path)
+    assert len(np.unique(hot)) == 16 and np.bincount(hot).max() < 400 and plan.of(np.array([9]), path[:1])[0] not in hot
 
 
 def test_minhash_dedup(spark):
