@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
@@ -26,10 +26,21 @@ def paragraph_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 40, overlap: int = 8) -> DataFrame:
-    """Windows of all sections with a running chunk number per document and the hash of what is embedded."""
-    windows = word_windows(paragraph_sections(docs, key, text), [key, "ordinal"], "section", size, overlap)
-    number = F.row_number().over(Window.partitionBy(key).orderBy("ordinal", "window")) - 1
-    return windows.select(key, "ordinal", number.alias("chunk"), content_hash(F.col("body")).alias("hash"))
+    """Windows of all sections with a running chunk number per document and the hash of what is embedded.
+
+    A document's windows are numbered in the array that they are made in, so its text never leaves its row.
+    """
+    step = max(1, size - overlap)
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+
+    def windows(line: Column, ordinal: Column) -> Column:
+        words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+        last = F.when(F.size(words) <= size, F.lit(0)).otherwise(F.size(words) - 1)
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(ordinal.alias("ordinal"), content_hash(F.array_join(F.slice(words, s + 1, F.lit(size)), " ")).alias("hash")))
+
+    chunks = docs.select(key, F.posexplode(F.flatten(F.transform(lines, windows))).alias("chunk", "c"))
+    return chunks.select(key, "c.ordinal", "chunk", "c.hash")
 
 
 def incremental_plan(new: DataFrame, old: DataFrame, key: str, hash_col: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versioned import staged
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of ``edges(src, dst)``, without repeats and self-loops."""
@@ -22,7 +24,8 @@ def capped_traversal(edges: DataFrame, seeds: DataFrame, depth: int, cap: int |
     A node takes the least depth, all origins and the smallest rank of its parents in the level before. With ``cap``
     each level keeps the best nodes by (rank, node) until so many nodes are reached, then the traversal ends.
     """
-    both = undirected(edges)
+    # Repeated edges fall together when a level's nodes are grouped, so there is no distinct over all edges.
+    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst")
     level = seeds.groupBy("node").agg(F.array_sort(F.collect_set("origin")).alias("origins"), F.min("seed_rank").alias("seed_rank")).withColumn("depth", F.lit(0))
     reached, count = level, level.count() if cap is not None else 0
     for d in range(1, depth + 1):
@@ -33,20 +36,16 @@ def capped_traversal(edges: DataFrame, seeds: DataFrame, depth: int, cap: int |
         following = following.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("origins")))).alias("origins"), F.min("seed_rank").alias("seed_rank")).withColumn("depth", F.lit(d))
         if cap is not None:
             following = following.orderBy("seed_rank", "node").limit(cap - count)
-        level = following.checkpoint() if _checkpoints(edges) else following
+        level = staged(following)
         if cap is not None:
             count += level.count()
         reached = reached.unionByName(level)
     return reached.select("node", "depth", F.array_join("origins", ",").alias("origins"), "seed_rank")
 
 
-def _checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
-def frontier(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Outgoing and incoming relations of a frontier in the order in which nodes are admitted."""
+def frontier(relations: DataFrame, nodes: DataFrame, limit: int = 200) -> DataFrame:
+    """The first ``limit`` outgoing and incoming relations of a frontier, in the order in which nodes are admitted."""
     out = relations.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").withColumn("direction", F.lit("out"))
     into = relations.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("direction", F.lit("in"))
     order = Window.partitionBy("direction").orderBy("relation_type", "src", "dst")
-    return out.unionByName(into).withColumn("place", F.row_number().over(order))
+    return out.unionByName(into).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

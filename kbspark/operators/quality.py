@@ -36,15 +36,16 @@ def tag_drift(tags: DataFrame) -> DataFrame:
 
 
 def set_revision(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """An order-free revision of a table: the hash of its rows' hashes in key order, built from bounded parts.
+    """An order-free revision of a table: the hash of its size and of the sums of its rows' hashes.
 
-    Rows are first hashed in 4096 classes of their key, so no task gathers the whole table.
+    Sums are associative, so every task sends one row, however large the table is; unlike with exclusive or, repeated
+    rows do not cancel.
     """
-    part = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4096))
-    line = F.concat_ws(":", F.col(key).cast("string"), F.sha2(value, 256))
-    classes = rows.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "\n"), 256)
-    return classes.agg(whole.alias("revision"), F.sum("n").alias("n_rows"))
+    line = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.sha2(value, 256)), 256)
+    part = lambda k: F.sum(F.conv(F.substring("line", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
+    sums = rows.select(line.alias("line")).agg(F.count("*").alias("n_rows"), *[part(k).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)])
+    whole = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n_rows", "s0", "s1", "s2", "s3")])
+    return sums.select(F.sha2(whole, 256).alias("revision"), "n_rows")
 
 
 def evaluate_gates(metrics: DataFrame, gates: DataFrame) -> DataFrame:

@@ -68,7 +68,9 @@ def metrics_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
     got = found.groupBy("case_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"))
     place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("grade"), "key"))
-    ideal = graded.withColumn("place", place).groupBy("case_id").agg(F.count("*").alias("all"), F.sum(F.when(F.col("place") <= k, gain / F.log2(F.col("place") + 1))).alias("best"))
+    # the limit stands right above the ranking, so tasks keep k rows of a case; all of them are counted apart
+    best = graded.withColumn("place", place).filter(F.col("place") <= k).groupBy("case_id").agg(F.sum(gain / F.log2(F.col("place") + 1)).alias("best"))
+    ideal = graded.groupBy("case_id").agg(F.count("*").alias("all")).join(best, "case_id", "left")
     cases = hits.select("case_id").union(relevant.select("case_id")).distinct()
     out = cases.join(ideal, "case_id", "left").join(got, "case_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)

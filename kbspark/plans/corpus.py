@@ -30,7 +30,8 @@ def repeated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_identity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An identity that occurs more than once is unusable; counted before the join, so copies pre-aggregate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
-    return docs.join(docs.groupBy("hash").agg(F.count("*").alias("n")), "hash").select("doc_id", (F.col("n") == 1).alias("usable"))
+    counts = docs.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n"))
+    return docs.join(counts, F.col("hash").eqNullSafe(F.col("h"))).select("doc_id", (F.col("n") == 1).alias("usable"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(lower(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '\s', '-', 'g') AS slug FROM pages")
@@ -152,7 +153,9 @@ def integrity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dangling(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(doc_id || ':' || sha256(coalesce(text, ''))) AS d FROM documents), p AS (SELECT count(*) AS n_rows,
+    sum(('0x' || d[1:15])::HUGEINT) AS a, sum(('0x' || d[16:30])::HUGEINT) AS b, sum(('0x' || d[31:45])::HUGEINT) AS c, sum(('0x' || d[46:60])::HUGEINT) AS e FROM h)
+  SELECT sha256(concat_ws(':', n_rows, a::HUGEINT, b::HUGEINT, c::HUGEINT, e::HUGEINT)) AS revision, n_rows FROM p""")
 def set_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.set_revision(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
 
@@ -194,14 +197,14 @@ def grants_array_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("r_name").agg(names(F.col("n_name")).alias("readable"), names(F.when(F.col("c_acctbal") > 9000, F.col("n_name"))).alias("writable"))
 
 
-@query("""SELECT n_name, count(c_custkey) AS customers, count(s_suppkey) AS suppliers FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) c ON c_nationkey = n_nationkey
-  LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal < 0) s ON s_nationkey = n_nationkey WHERE c_custkey IS NOT NULL OR s_suppkey IS NOT NULL GROUP BY n_name""")
+@query("""SELECT n_name, (SELECT count(*) FROM customer WHERE c_acctbal < 0 AND c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_acctbal < 0 AND s_nationkey = n_nationkey) AS suppliers
+  FROM nation WHERE customers + suppliers > 0""")
 def domain_scope_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains with two kinds of grants, each an outer join; those without either are left out."""
-    n = table(spark, sf_dir, "nation")
-    c, s = table(spark, sf_dir, "customer").filter("c_acctbal < 0"), table(spark, sf_dir, "supplier").filter("s_acctbal < 0")
-    j = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").filter("c_custkey is not null or s_suppkey is not null")
-    return j.groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.count("s_suppkey").alias("suppliers"))
+    """Domains with two kinds of grants, each counted before its outer join; those without either are left out."""
+    count = lambda name, key, to: table(spark, sf_dir, name).filter(f"{name[0]}_acctbal < 0").groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(to))
+    n = table(spark, sf_dir, "nation").join(count("customer", "c_nationkey", "customers"), "n_nationkey", "left").join(count("supplier", "s_nationkey", "suppliers"), "n_nationkey", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return n.select("n_name", zero("customers"), zero("suppliers")).filter("customers + suppliers > 0")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_source' WHEN l.quality = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)""")

@@ -138,7 +138,7 @@ METRICS = f"""hits AS ({HITS}), relevant AS (SELECT d.source AS case_id, d.doc_i
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    hits = _lexical(spark, sf_dir).filter("score > 0").select(F.col("source").alias("case_id"), F.col("doc_id").alias("key"), F.row_number().over(order).alias("rank"))
+    hits = _lexical(spark, sf_dir).filter("score > 0").select(F.col("source").alias("case_id"), F.col("doc_id").alias("key"), F.row_number().over(order).alias("rank")).filter("rank <= 10")
     labels = table(spark, sf_dir, "labels").filter("quality = 1")
     relevant = table(spark, sf_dir, "documents").join(labels, "doc_id").select(F.col("source").alias("case_id"), F.col("doc_id").alias("key"), (1 + F.col("quality") + (1 - F.col("toxic"))).alias("grade"))
     return r.metrics_at_k(hits, relevant, 10)
