@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -60,35 +61,45 @@ def _vector(which: np.ndarray, times: np.ndarray, weight_of: np.ndarray) -> np.n
     return w / np.linalg.norm(w)
 
 
-def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], ..., start[0] + n[0] - 1, start[1], ..."""
-    return np.repeat(start + n - np.cumsum(n), n) + np.arange(n.sum())
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0], ..., high[0] - 1, low[1], ..."""
+    n = high - low
+    return np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
 
 
 def nearest(model: Model, which: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples with the largest cosine over 0 (ties: smaller example number), exactly."""
-    n = model.entries[which + 1] - model.entries[which]
-    entry, each = _ranges(model.entries[which], n), np.repeat(w, n)
+    """The k examples with the largest cosine over 0 (ties: smaller example number), exactly.
+
+    Blocks are visited by their bounds; where very many are left that the bounds cannot rule out, all are read at once.
+    """
+    low, high = model.entries[which], model.entries[which + 1]
+    entry, each = _ranges(low, high), np.repeat(w, high - low)
     block = model.block_of[entry]
     upper = np.bincount(block, model.largest[entry] * each, minlength=model.blocks)
     order = np.argsort(-upper, kind="stable")
     order = order[upper[order] > 0]
-    rank = np.full(model.blocks, len(order))
-    rank[order] = np.arange(len(order))
-    rank = rank[block]
     best, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
     while at < len(order) and not (len(sims) == k and upper[order[at]] < sims[-1] - 1e-9):
-        now = (rank >= at) & (rank < at + step)  # the next best blocks, more at a time the longer it takes
-        e = entry[now]
-        n = model.starts[e + 1] - model.starts[e]
-        place = _ranges(model.starts[e], n)
-        total = np.bincount(model.postings[place], model.values[place] * np.repeat(each[now], n)).round(12)
-        hit = np.flatnonzero(total > 0)
+        left = order[at:] if len(sims) < k else order[at:][upper[order[at:]] >= sims[-1] - 1e-9]
+        if at and len(left) > model.blocks // 3:
+            first, last = model.starts[low], model.starts[high]
+            factor = np.repeat(w, last - first)
+            best, sims, at = best[:0], sims[:0], len(order)
+        else:
+            chosen = np.zeros(model.blocks, bool)
+            chosen[order[at : at + step]] = True  # the next best blocks, more at a time the longer it takes
+            place = np.flatnonzero(chosen[block])
+            first, last = model.starts[entry[place]], model.starts[entry[place] + 1]
+            factor = np.repeat(each[place], last - first)
+            at, step = at + step, 2 * step
+        found = _ranges(first, last)
+        total = np.bincount(model.postings[found], model.values[found] * factor)
+        hit = np.flatnonzero(total)
         if len(hit) > k:
-            hit = hit[total[hit] >= np.partition(total[hit], -k)[-k]]
-        best, sims = np.r_[best, hit], np.r_[sims, total[hit]]
-        first = np.lexsort((best, -sims))[:k]
-        best, sims, at, step = best[first], sims[first], at + step, 2 * step
+            hit = hit[total[hit] >= np.partition(total[hit], -k)[-k] - 1e-11]
+        best, sims = np.r_[best, hit], np.r_[sims, total[hit].round(12)]
+        top = np.lexsort((best, -sims))[:k]
+        best, sims = best[top], sims[top]
     return best, sims
 
 
@@ -132,7 +143,7 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_examples: int = 3000,
+    max_examples: int = 2000,
     k: int = 15,
     base_weight: float = 0.05,
     sure: float = 20.0,
@@ -205,12 +216,19 @@ def score_toxicity(
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
-        memo = Memo(lambda chunk: tuple(known[f] for w in WORD.findall(chunk) for f in word_features(w) if f in known), size=lambda fs: 40 * len(fs))
+        heads = {f[: STARTS[0]] for f in known if f.endswith("*")}  # no start that is a feature has another beginning
+
+        def hits(chunk: str) -> tuple[int, ...]:
+            words = WORD.findall(chunk)
+            found = [known[w] for w in words if w in known]
+            return tuple(found + [known[f] for w in words if w[: STARTS[0]] in heads for f in word_features(w)[1:] if f in known])
+
+        memo = Memo(hits, size=lambda fs: 40 * len(fs))
         for b in slices(batches):
             which, times, sizes = [], [], []
             for text in b.column(1).to_pylist():
-                hits = [f for hit in map(memo.__getitem__, (text or "").lower().split()) for f in hit]
-                own, n = np.unique(np.array(hits, np.int32), return_counts=True)
+                found = list(chain.from_iterable(map(memo.__getitem__, (text or "").lower().split())))
+                own, n = np.unique(np.array(found, np.int32), return_counts=True)
                 which.append(own), times.append(n.astype(np.int32)), sizes.append(len(own))
             offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (which, times)]
@@ -288,7 +306,7 @@ def build_index(rows: list, weight_of: np.ndarray, share: dict[int, float], k: i
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
     largest = np.maximum.reduceat(values, starts) if len(cell) else values
     entries = np.searchsorted(feature[starts], np.arange(len(weight_of) + 1))
-    model = Model(weight_of, [r["id"] for r in rows], toxic, weight, entries, cell[starts] % blocks, largest, np.append(starts, len(cell)), owner.astype(np.int32), values, blocks, k, base, np.zeros(0), np.zeros(0))
+    model = Model(weight_of, [r["id"] for r in rows], toxic, weight, entries, cell[starts] % blocks, largest, np.append(starts, len(cell)), owner, values, blocks, k, base, np.zeros(0), np.zeros(0))
     votes = np.zeros(len(rows))
     for i, (w, v) in enumerate(zip(which, vectors, strict=True)):
         near, sims = nearest(model, w, v, k + 1)
