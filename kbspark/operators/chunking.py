@@ -35,9 +35,11 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def windows(line: Column, ordinal: Column) -> Column:
         words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-        last = F.when(F.size(words) <= size, F.lit(0)).otherwise(F.size(words) - 1)
-        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct(ordinal.alias("ordinal"), content_hash(F.array_join(F.slice(words, s + 1, F.lit(size)), " ")).alias("hash")))
+        last = lambda w: F.when(F.size(w) <= size, F.lit(0)).otherwise(F.size(w) - 1)
+        starts = lambda w: F.when(F.size(w) > 0, F.sequence(F.lit(0), last(w), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        row = lambda w, s: F.struct(ordinal.alias("ordinal"), content_hash(F.array_join(F.slice(w, s + 1, F.lit(size)), " ")).alias("hash"))
+        # an array of the words alone binds them, so that they are split once
+        return F.flatten(F.transform(F.array(words), lambda w: F.transform(starts(w), lambda s: row(w, s))))
 
     chunks = docs.select(key, F.posexplode(F.flatten(F.transform(lines, windows))).alias("chunk", "c"))
     return chunks.select(key, "c.ordinal", "chunk", "c.hash")
