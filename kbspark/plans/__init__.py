@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, code, corpus, search  # noqa: F401  (they register their queries)
+from . import changes, code, codegraph, corpus, evaluation, markdown, search  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_search"
