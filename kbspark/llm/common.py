@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,17 +65,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 class Memo(dict):
     """A memo bounded in bytes: ``compute(key)`` on a miss; emptied when it is full, and long keys are never kept.
 
-    ``size`` tells the bytes of a value; without it values count as small.
+    ``size`` tells the bytes of a value; without it values count as small. A key counts with up to four bytes a character.
     """
 
-    def __init__(self, compute: Callable, limit: int = MEMO_BYTES, size: Callable = lambda value: 100):
+    def __init__(self, compute: Callable, limit: int = MEMO_BYTES, size: Callable | None = None):
         super().__init__()
         self.compute, self.limit, self.size, self.held = compute, limit, size, 0
 
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= MEMO_KEY:
-            self.held += sys.getsizeof(key) + self.size(value) + 100
+            self.held += 4 * len(key) + 200 + (self.size(value) if self.size else 0)
             if self.held > self.limit:
                 self.clear()
                 self.held = 0
@@ -111,6 +112,50 @@ class BatchMemo(dict):
             self.held = 0
 
 
+_RANDOM = np.random.default_rng(1299709)
+_BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(_RANDOM.integers(0, 1 << 62)) * 4 + 3  # odd, so that powers have inverses modulo 2**64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once, but for a word longer than that.
+HASH_BYTES = 1 << 19
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.r_[np.ones(1, np.uint64), np.cumprod(np.full(max(n, HASH_BYTES), base, np.uint64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and each text's number of words.
+
+    Words are runs of anything but the space and the control characters 09 to 0D. A word's hash is a polynomial in its
+    bytes, so the hashes of a whole buffer come from one running sum, without an object for each word.
+    """
+    whole = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    space = _SPACE[whole]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
+        low = starts[at]
+        part = whole[low : ends[to - 1]]
+        power, inverse = _powers(len(part))
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power)]
+        begin, end = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = (sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _BYTE[0]
+        at = to
+    out = (out ^ (out >> np.uint64(32))) * _BYTE[1]
+    out ^= out >> np.uint64(29)
+    stops = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return out, np.diff(np.searchsorted(starts, stops + 1)) if len(texts) else np.zeros(0, np.int64)
+
+
 def read_bytes(path: str) -> bytes:
     """A small vocabulary file, read on the driver and shipped with a broadcast (its size is fixed)."""
     with open(path, "rb") as f:

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, materialise, slices, task_partitions
+from .common import hash_words, materialise, slices, task_partitions
 from .graph import connected_components
 
 #: Trees and the values between two trees' places, which make up a signature; depths that regions start and end at.
@@ -34,27 +35,28 @@ _FLIP = _RANDOM.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2)
 _PLACE = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_memo() -> Memo:
-    """64-bit hashes of words, within a bound."""
-    return Memo(xxhash.xxh3_64_intdigest)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(27))
 
 
-def shingles(text: str | None, memo: Memo, width: int) -> np.ndarray:
-    """The sorted distinct shingles of a text as 64-bit hashes; fewer words than ``width`` are one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(width, len(h))):
-        out += h[k : k + n] * _PLACE[k]
-    return np.unique(_mix(out + np.uint64(min(width, len(h)))))
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as 64-bit hashes; fewer words than ``width`` are one shingle."""
+    hashes, counts = hash_words([(t or "").encode().lower() for t in texts])
+    out, at = [], 0
+    for n in counts.tolist():
+        h, at = hashes[at : at + n], at + n
+        size, most = max(1, n - width + 1), min(width, n)
+        total = np.zeros(size, np.uint64)
+        for k in range(most):
+            total += h[k : k + size] * _PLACE[k]
+        out.append(np.unique(_mix(total + np.uint64(most))) if n else np.zeros(0, np.uint64))
+    return out
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The shingles of one text."""
+    return shingle_sets([text], width)[0]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -196,9 +198,8 @@ def near_duplicate_documents(
     kind = source.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for b in slices(batches, 256):
-            sets = [shingles(t, memo, width) for t in b.column(1).to_pylist()]
+            sets = shingle_sets(b.column(1).to_pylist(), width)
             full = [s for s in sets if len(s)]
             made = iter(signatures(full)) if full else iter(())
             columns = [
@@ -225,17 +226,34 @@ def near_duplicate_documents(
     least = percent / 100 - margin
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)  # a range of an order, of a bounded number of rows
+        """The edges of a range of an order, and the rows of its first and last region, for the borders of ranges."""
+        rows, place = list(batches), TaskContext.get().partitionId()  # of a bounded number of rows; ranges are in order
         if rows:
-            table = pa.Table.from_batches(rows)
-            keys = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
-            edges = table.column(2).to_numpy()[forest_edges(table.column(0).to_numpy(), keys, least, region_rows)]
-            edges = np.unique(np.sort(edges, 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    # The node spreads equal keys over ranges.
+            edges, table = edges_of(pa.Table.from_batches(rows))
+            apart = np.flatnonzero(lcp_before(table.column(0).to_numpy(), keys_of(table)) < LEAST_DEPTH)
+            first = np.arange(min(region_rows, apart[1] if len(apart) > 1 else len(table)))
+            last = np.arange(max(len(table) - region_rows, apart[-1]), len(table))
+            sides = table.take(pa.array(np.r_[first, last]))
+            border = np.r_[np.full(len(first), place - 1), np.full(len(last), place)]
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), *(pa.nulls(len(edges), t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(border), pa.int64())] * 2 + [pa.array(border), *(c.combine_chunks() for c in sides.columns)], names)
+
+    names = ["a", "b", "border", "tree", "key", "node"]
+    keys_of = lambda table: np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint8).reshape(-1, VALUES)
+
+    def edges_of(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        edges = table.column("node").to_numpy()[forest_edges(table.column("tree").to_numpy(), keys_of(table), least, region_rows)]
+        return np.unique(np.sort(edges, 1), axis=0), table
+
+    def across(table: pa.Table) -> pa.Table:
+        edges = edges_of(table.select(["tree", "key", "node"]).sort_by([(c, "ascending") for c in ("tree", "key", "node")]))[0]
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    # The node spreads equal keys over ranges; what meets at the border of two ranges is compared apart.
     orders = planted.repartitionByRange(tasks, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    likely = orders.mapInArrow(estimate, "a long, b long")
+    found = materialise(orders.mapInArrow(estimate, "a long, b long, border long, tree int, key binary, node long"))
+    borders = found.filter("border is not null").select("border", "tree", "key", "node").groupBy("border").applyInArrow(across, "a long, b long")
+    likely = found.filter("a is not null").select("a", "b").union(borders)
     clusters = materialise(connected_components(likely).join(classes.select("node", "id", "n", "digest"), "node"))
     links = _confirm(source, clusters, width, percent, cluster_shingles)
     parts = connected_components(links)
@@ -279,7 +297,7 @@ def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, m
         texts = placed.join(source, "id").select("task", "component", "left", "right", "node", "digest", "guest", "part", "text")
 
         def link(table: pa.Table) -> pa.Table:
-            memo, where = word_memo(), {}
+            where: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("component", "left", "right")), strict=True)):
                 where.setdefault(key, []).append(i)
             found = []
@@ -290,7 +308,7 @@ def _confirm(source: DataFrame, clusters: DataFrame, width: int, percent: int, m
                     if node in group:
                         group[node][1] |= guest
                         continue
-                    s = shingles(text, memo, width)
+                    s = shingles(text, width)
                     if digest(s) == wanted:
                         group[node] = [s, guest, part]
                 if len(group) < 2:

@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import hash_words, slices
 
 #: Bits of a word in a prefix class, of which there is one for each two of these; a class is the unit of the groups' plan.
 WORD_BITS = 8
@@ -38,11 +37,6 @@ _ODD = _SEED.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PREFIX = _SEED.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_memo() -> Memo:
-    """64-bit hashes of words, within a bound."""
-    return Memo(xxhash.xxh3_64_intdigest)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but the space and the control characters 09 to 0D."""
     return (text or "").encode().split()
@@ -108,17 +102,14 @@ class Plan:
         return self.base[cls] + np.where(bits > 0, (path >> np.uint64(64 - INNER_BITS)).astype(np.int64) >> (INNER_BITS - bits), 0)
 
 
-def _slice_paths(ids: list, texts: list, memo: Memo, window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each document, and of all its windows: document number, position, class and digest. Null ids have none."""
-    words = [words_of(t) for t in texts]
-    doc, at, cls, digest = [], [], [], []
-    for i, (id_, w) in enumerate(zip(ids, words, strict=True)):
-        if id_ is None or len(w) < window:
-            continue
-        c, d = paths(np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)), window)
-        doc.append(np.full(len(d), i)), at.append(np.arange(len(d))), cls.append(c), digest.append(d)
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return words, join(doc, np.int64), join(at, np.int64), join(cls, np.int64), join(digest, np.uint64)
+def _slice_paths(ids: list, texts: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of each document: document number, position, class and path. Null ids have none."""
+    hashes, used = hash_words([t.encode() if t and i is not None else b"" for i, t in zip(ids, texts, strict=True)])
+    cls, path = paths(hashes, window)  # of all documents in one run; windows that reach into the next one go
+    doc = np.repeat(np.arange(len(used)), used)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(used) - used, used)
+    whole = doc[: len(path)] == doc[window - 1 : window - 1 + len(path)]
+    return doc[: len(path)][whole], at[: len(path)][whole], cls[whole], path[whole]
 
 
 def ranks(ids: pa.Array) -> np.ndarray:
@@ -146,9 +137,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = source.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, memo = np.zeros(CLASSES, np.int64), word_memo()
+        sums = np.zeros(CLASSES, np.int64)
         for b in slices(batches, 256):
-            cls = _slice_paths(b.column(0).to_pylist(), b.column(1).to_pylist(), memo, window)[3]
+            cls = _slice_paths(b.column(0).to_pylist(), b.column(1).to_pylist(), window)[2]
             sums += np.bincount(cls, minlength=CLASSES)
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], ["class", "n"])
@@ -165,13 +156,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     dealt = source.select(F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int").alias("slice"), "id", "text", *carried).repartition(parts, "slice")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan_, memo = plan.value, word_memo()
+        plan_ = plan.value
         names = ["slice", "group", "ids", "sizes", "paths"]
 
         def distinct(slice_: int, rows: list[tuple]) -> pa.RecordBatch:
             rows.sort(key=lambda r: r[0])
             ids = [r[0] for r in rows]
-            _, doc, _, cls, digest = _slice_paths(ids, [r[1] for r in rows], memo, window)
+            doc, _, cls, digest = _slice_paths(ids, [r[1] for r in rows], window)
             order = np.lexsort((doc, digest))
             first = order[np.r_[True, digest[order][1:] != digest[order][:-1]]] if len(order) else order
             group = plan_.of(cls[first], digest[first])
@@ -219,7 +210,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def strip(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = left.column("id").to_pylist(), left.column("text").to_pylist()
-        words, doc, at, _, digest = _slice_paths(ids, texts, word_memo(), window)
+        words = [words_of(t) for t in texts]
+        doc, at, _, digest = _slice_paths(ids, texts, window)
         outside = np.sort(np.concatenate([np.frombuffer(p, np.uint64) for p in right.column("paths").to_pylist()] or [np.zeros(0, np.uint64)]))
         place = np.minimum(np.searchsorted(outside, digest), max(0, len(outside) - 1))
         lose = outside[place] == digest if len(outside) else np.zeros(len(digest), bool)

@@ -15,7 +15,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from kbspark.llm import byte_bpe, graph, html_extraction, language_id, minhash_dedup, packing, substring_dedup, token_counts, toxicity
+from kbspark.llm import byte_bpe, common, graph, html_extraction, language_id, minhash_dedup, packing, substring_dedup, token_counts, toxicity
 
 ODD = ["", None, " ", "a", "  two  spaces ", "tab\tand\nline", "▁ mark ▁▁", "<s> </s> <|endoftext|> <unk>", "日本語 テキスト", "🙂 é́ ½ Ａ", "x" * 3000, "word " * 900, "same text", "same text"]
 
@@ -116,12 +116,27 @@ def test_removed_spans_are_the_maximal_repeats(spark):
     assert got == {1: [], 2: [(2, 20), (23, 22)], 3: [], 4: []}
 
 
+def test_word_hashes(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab\u00e9\u65e5\0x") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["a", "a\0", "\0a", "z" * 5000]
+    texts = ["", " ", "\t\n", *[rng.choice(["", " "]) + rng.choice([" ", "\n", "\r\v\f "]).join(words[i : i + 40]) for i in range(0, len(words), 40)]]
+    want = [t.encode().split() for t in texts]
+    for size in (1 << 19, 100):
+        monkeypatch.setattr(common, "HASH_BYTES", size)
+        hashes, counts = common.hash_words([t.encode() for t in texts])
+        assert counts.tolist() == [len(w) for w in want]
+        of = {}
+        for h, w in zip(hashes.tolist(), [x for w in want for x in w], strict=True):
+            assert of.setdefault(w, h) == h
+        assert len(set(of.values())) == len(of) > 2000
+    assert common.hash_words([])[0].size == 0
+
+
 def test_subtrees_against_the_words_of_suffixes():
     """Depths of neighbours and deep nodes of a group, from the words themselves."""
     rng = random.Random(21)
     words = [rng.choice("abc") for _ in range(3000)] * 2
-    memo = substring_dedup.word_memo()
-    cls, path = substring_dedup.paths(np.array([memo[w] for w in words], np.uint64), 7)
+    cls, path = substring_dedup.paths(common.hash_words([" ".join(words).encode()])[0], 7)
     mine = np.flatnonzero(cls == cls[0])
     suffix = [tuple(words[i : i + 7]) for i in mine]
     order, depth = substring_dedup.subtree(path[mine])
@@ -156,8 +171,7 @@ def test_minhash_dedup(spark):
             texts.append(" ".join(c).upper())
     rows = [(i, t, "clash") for i, t in enumerate([None, "", " \n", "one two", "One two", *texts, texts[3]])] + [(None, texts[4], "clash"), (7, texts[9], "clash")]
     df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
-    memo = minhash_dedup.word_memo()
-    sets = [minhash_dedup.shingles(t, memo, 5) for _, t, _ in rows]
+    sets = [minhash_dedup.shingles(t, 5) for _, t, _ in rows]
     part = list(range(len(rows)))
 
     def find(x):
@@ -189,8 +203,7 @@ def test_a_document_alone_at_the_next_depth_meets_its_region(spark):
     for i in range(40):
         shared = new(79)
         rows += [(2 * i, " ".join(shared + new(30))), (2 * i + 1, " ".join(shared + new(30)))]
-    memo = minhash_dedup.word_memo()
-    signed = minhash_dedup.signatures([minhash_dedup.shingles(t, memo, 5) for _, t in rows])
+    signed = minhash_dedup.signatures([minhash_dedup.shingles(t, 5) for _, t in rows])
     first = np.stack([np.roll(signed, -t * minhash_dedup.STEP, 1)[:, : minhash_dedup.LEAST_DEPTH] for t in range(minhash_dedup.TREES)], 1)
     want = [2 * i + 1 for i in range(40) if (first[2 * i] == first[2 * i + 1]).all(1).any()]
     got = minhash_dedup.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=50, margin=0.5, region_rows=1).collect()
@@ -268,8 +281,7 @@ def test_clusters_in_blocks_keep_every_link(spark):
     template = new(60)
     texts = [template + new(30) for _ in range(20)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts + [t[:-2] + new(2) for t in texts])]
-    memo = minhash_dedup.word_memo()
-    sets = [minhash_dedup.shingles(t, memo, 5) for _, t in rows]
+    sets = [minhash_dedup.shingles(t, 5) for _, t in rows]
     members = [(i, 0, i, len(s), minhash_dedup.digest(s)) for i, s in enumerate(sets)]
     clusters = spark.createDataFrame(members, "node long, component long, id long, n long, digest binary")
     source = spark.createDataFrame(rows, "id long, text string")
