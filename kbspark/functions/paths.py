@@ -37,3 +37,28 @@ def glob_regex(pattern: str) -> str:
 
 def glob_matches(path: Column, pattern: str) -> Column:
     return F.regexp_like(path, F.lit(f"^(?:{glob_regex(pattern)})$"))
+
+
+def ignore_regex(pattern: str) -> str | None:
+    """A regular expression for a line of an ignore file, without its ``!``; null for blanks and comments.
+
+    Without a slash in it a pattern holds in every folder; with one at its end for folders only; what lies below a
+    folder goes with it.
+    """
+    core = pattern.strip().removeprefix("!")
+    if not core or core.startswith("#"):
+        return None
+    inside = core.endswith(("/", "/**"))
+    core = core.removesuffix("/**").rstrip("/") if inside else core
+    fixed = "/" in core or pattern.strip().endswith("/**")
+    return f"^{'' if fixed else '(?:.*/)?'}(?:{glob_regex(core.lstrip('/'))}){'/.+' if inside else '(?:/.*)?'}$"
+
+
+def is_ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether the last line of an ignore file that a path matches excludes it; ``!`` takes it back in. Null is not ignored."""
+    out = F.lit(False)
+    for line in patterns:
+        regex = ignore_regex(line)
+        if regex:
+            out = F.when(F.regexp_like(path, F.lit(regex)), F.lit(not line.strip().startswith("!"))).otherwise(out)
+    return F.coalesce(out, F.lit(False))

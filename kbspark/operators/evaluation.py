@@ -118,3 +118,67 @@ def candidate_limit(k: Column | int, least: int = 32) -> Column:
 def live_candidates(candidates: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose chunk is still there with the same hash."""
     return candidates.join(chunks.select(*keys, "hash"), [*keys, "hash"])
+
+
+#: Why a candidate of a sweep fails, in the order of their names.
+REASONS = ("confirmed_loss_not_recovered", "intent_coverage_regression", "missing_baseline_mode", "ndcg_loss_exceeds_limit", "new_loss_finding", "p95_improvement_below_limit", "recall_regression")
+
+
+def hard_negative_states(targets: DataFrame, relevant: DataFrame, traces: DataFrame, candidates: DataFrame, final: DataFrame) -> DataFrame:
+    """The state of each hard negative ``targets(case_id, mode, key)``, with its rank before fusion cut it off.
+
+    ``invalid`` unless the key is relevant to its case, named once, and its case and mode have exactly one trace
+    (``traces(case_id, mode, k)``); ``active`` if it is among the candidates (``rank`` from 1) beyond the first k and not in
+    the final ranking; else ``unavailable``.
+    """
+    keys = ["case_id", "mode", "key"]
+    named = targets.groupBy(*keys).agg(F.count("*").alias("named"))
+    traced = traces.groupBy("case_id", "mode").agg(F.count("*").alias("traced"), F.min("k").alias("k"))
+    j = named.join(traced, ["case_id", "mode"], "left").join(relevant.select("case_id", "key").distinct().withColumn("known", F.lit(True)), ["case_id", "key"], "left")
+    j = j.join(candidates.groupBy(*keys).agg(F.min("rank").alias("rank")), keys, "left").join(final.select(*keys).distinct().withColumn("ranked", F.lit(True)), keys, "left")
+    valid = F.coalesce(F.col("known") & (F.col("named") == 1) & (F.col("traced") == 1) & (F.col("k") > 0), F.lit(False))
+    active = F.coalesce(F.col("rank") > F.col("k"), F.lit(False)) & F.col("ranked").isNull()
+    state = F.when(~valid, "invalid").when(active, "active").otherwise("unavailable")
+    return j.select(*keys, state.alias("state"), F.when(valid, F.col("rank")).alias("baseline_rank"), F.explode(F.sequence(F.lit(1), F.col("named"))).alias("copy")).drop("copy")
+
+
+def gated_candidates(metrics: DataFrame, findings: DataFrame, latency: DataFrame | None, baseline: str, recovers: DataFrame | None = None, ndcg_loss: float = 0.01, faster: float = 25.0) -> DataFrame:
+    """Each candidate of a sweep with why it fails against the baseline: ``(candidate, reasons, passed)``.
+
+    ``metrics(candidate, mode, recall, coverage, ndcg)``; ``findings(candidate, case_id, key, loss)``;
+    ``latency(candidate, p95)``, if given, must fall by ``faster`` percent; so must ``recovers(candidate, recovered)`` be true.
+    The baseline itself passes.
+    """
+    own = metrics.filter(F.col("candidate") == baseline)
+    base = own.select("mode", *[F.col(c).alias(f"base_{c}") for c in ("recall", "coverage", "ndcg")])
+    names = metrics.select("candidate").distinct()
+    pairs = names.join(F.broadcast(base)).join(metrics, ["candidate", "mode"], "full_outer")  # a row for each mode, of which there are a few
+    worse = lambda c: F.coalesce(F.col(c) < F.col(f"base_{c}"), F.lit(False))
+    found = pairs.groupBy("candidate").agg(
+        F.max(worse("coverage")).alias("intent_coverage_regression"),
+        F.max(F.col("recall").isNull() | F.col("base_recall").isNull()).alias("missing_baseline_mode"),
+        F.max(F.coalesce(F.col("ndcg") < F.col("base_ndcg") - ndcg_loss, F.lit(False))).alias("ndcg_loss_exceeds_limit"),
+        F.max(worse("recall")).alias("recall_regression"),
+    )
+    keys = ["case_id", "key", "loss"]
+    new = findings.join(findings.filter(F.col("candidate") == baseline).select(keys).distinct(), keys, "left_anti").select("candidate").distinct().withColumn("new_loss_finding", F.lit(True))
+    found = found.join(new, "candidate", "left")
+    if latency is not None:
+        was = latency.filter(F.col("candidate") == baseline).select(F.col("p95").alias("was"))
+        gain = latency.join(F.broadcast(was)).select("candidate", (((F.col("was") - F.col("p95")) / F.col("was") * 100) < faster).alias("p95_improvement_below_limit"))  # was is one row
+        found = found.join(gain, "candidate", "left").withColumn("p95_improvement_below_limit", F.coalesce("p95_improvement_below_limit", F.lit(True)))
+    if recovers is not None:
+        lost = recovers.select("candidate", (~F.col("recovered")).alias("confirmed_loss_not_recovered"))
+        found = found.join(lost, "candidate", "left").withColumn("confirmed_loss_not_recovered", F.coalesce("confirmed_loss_not_recovered", F.lit(True)))
+    told = [F.when(F.col(r) & (F.col("candidate") != baseline), r) for r in REASONS if r in found.columns]
+    reasons = F.array_join(F.array_compact(F.array(*told)), ",")
+    return found.select("candidate", reasons.alias("reasons")).withColumn("passed", F.col("reasons") == "")
+
+
+def recovered(ranking: DataFrame, hard: DataFrame) -> DataFrame:
+    """Candidates that bring every active hard negative into its case's first k: ``ranking(candidate, case_id, mode, key, rank, k)``."""
+    wanted = hard.filter("state = 'active'").select("case_id", "mode", "key")
+    got = ranking.filter("rank <= k").join(wanted, ["case_id", "mode", "key"]).groupBy("candidate").agg(F.count_distinct("case_id", "mode", "key").alias("got"))
+    total = wanted.agg(F.count("*").alias("total"))
+    every = ranking.select("candidate").distinct().join(got, "candidate", "left").join(F.broadcast(total))  # one row
+    return every.select("candidate", (F.coalesce("got", F.lit(0)) == F.col("total")).alias("recovered"))

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versioned import shared_path
+
+#: Bytes of rows in one sorted range.
+RANGE_BYTES = 128 << 20
+
 
 def staged_batches(batches: DataFrame) -> DataFrame:
     """Batches once each: ``batches(session, kind, ordinal, hash, n_rows)``; a batch that was sent again with another
@@ -52,3 +62,51 @@ def row_violations(symbols: DataFrame, files: DataFrame, relations: DataFrame) -
     twice = bad(own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     ends = relations.select(F.col("src").alias("id")).union(relations.select(F.col("dst").alias("id"))).distinct()
     return spans.union(lost).union(twice).union(bad(ends.join(own.select("id"), "id", "left_anti"), "end"))
+
+
+def canonical_rows(rows: DataFrame, kind: str, key: str) -> DataFrame:
+    """Rows as compact JSON with sorted names, nulls kept: ``(kind, id, json)``."""
+    columns = F.struct(*[F.col(c) for c in sorted(rows.columns)])
+    return rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.to_json(columns, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def snapshot_batches(rows: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """Canonical rows in the order of their ids as batches of JSON: ``(kind, ordinal, n_rows, n_bytes, hash, payload)``.
+
+    A batch is closed before it would pass ``max_rows`` or ``max_bytes``; a row that alone is larger is an error. The order
+    is dealt by ranges of about RANGE_BYTES, at whose borders a batch ends too, so a kind of any size spreads over tasks
+    that hold one batch at a time. Ordinals of a kind are 0, 1, ... An empty table gives no batch.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length("json"))).first()[0] or 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, kind, at, held, size = TaskContext.get().partitionId(), None, 0, [], 2
+
+        def close() -> pa.RecordBatch:
+            payload = "[" + ",".join(held) + "]"
+            row = {"kind": kind, "place": place, "at": at, "n_rows": len(held), "n_bytes": size, "hash": hashlib.sha256(payload.encode()).hexdigest(), "payload": payload}
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for b in batches:
+            for k, json in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = len(json.encode())
+                if held and (k != kind or len(held) >= max_rows or size + 1 + n > max_bytes):
+                    yield close()
+                    at, held, size = at + 1, [], 2
+                if n + 2 > max_bytes:
+                    raise ValueError(f"a row of {k} is larger than a batch may be")
+                kind, size = k, size + n + (1 if held else 0)
+                held.append(json)
+        if held:
+            yield close()
+
+    schema = pa.schema([("kind", pa.string()), ("place", pa.int32()), ("at", pa.int32()), ("n_rows", pa.int64()), ("n_bytes", pa.int64()), ("hash", pa.string()), ("payload", pa.string())])
+    ranged = rows.repartitionByRange(max(1, -(-total // RANGE_BYTES)), "kind", "id").sortWithinPartitions("kind", "id", "json").select("kind", "json")
+    path = shared_path(spark, "batches")
+    ranged.mapInArrow(cut, "kind string, place int, at int, n_rows long, n_bytes long, hash string, payload string").write.parquet(path)
+    made = spark.read.parquet(path)
+    before = F.sum("n").over(Window.partitionBy("kind").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = made.groupBy("kind", "place").agg(F.count("*").alias("n"), F.min("at").alias("first")).withColumn("before", F.coalesce(before, F.lit(0)))  # a row for each range
+    numbered = made.join(offsets, ["kind", "place"])
+    return numbered.select("kind", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("ordinal"), "n_rows", "n_bytes", "hash", "payload")

@@ -35,17 +35,17 @@ def tag_drift(tags: DataFrame) -> DataFrame:
     return prefix.union(near.filter(F.levenshtein("a", "b") == 1)).distinct()
 
 
-def set_revision(rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """An order-free revision of a table: the hash of its size and of the sums of its rows' hashes.
+def set_revision(rows: DataFrame, key: str, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """An order-free revision of a table, or of each group of it: the hash of its size and of the sums of its rows' hashes.
 
     Sums are associative, so every task sends one row, however large the table is; unlike with exclusive or, repeated
     rows do not cancel.
     """
     line = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.sha2(value, 256)), 256)
     part = lambda k: F.sum(F.conv(F.substring("line", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
-    sums = rows.select(line.alias("line")).agg(F.count("*").alias("n_rows"), *[part(k).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)])
+    sums = rows.select(*by, line.alias("line")).groupBy(*by).agg(F.count("*").alias("n_rows"), *[part(k).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)])
     whole = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n_rows", "s0", "s1", "s2", "s3")])
-    return sums.select(F.sha2(whole, 256).alias("revision"), "n_rows")
+    return sums.select(*by, F.sha2(whole, 256).alias("revision"), "n_rows")
 
 
 def evaluate_gates(metrics: DataFrame, gates: DataFrame) -> DataFrame:

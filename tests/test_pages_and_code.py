@@ -79,3 +79,37 @@ def test_conforming_twice_changes_nothing(spark):
 
 def test_globs():
     assert paths.glob_regex("**") == "(?:[^/]+(?:/[^/]+)*)?" and paths.glob_regex("a/**") == "a(?:/[^/]+)*" and paths.glob_regex("a/**/b") == "a/(?:[^/]+/)*b"
+
+
+def test_selectors_with_nulls_ties_and_empty_tables(spark):
+    from kbspark.operators import selectors as s
+
+    named = spark.createDataFrame([("p", "file", "a/b.py"), ("p", "file", "a/b.py"), ("p", "source_glob", "a/*.py"), ("p", "source_glob", "**"), ("q", "symbol", "m.f"), ("q", "file", None), ("r", "source_glob", "z/[ab].py")], "page string, kind string, selector string")
+    files = spark.createDataFrame([("a/b.py",), ("a/b.py",), ("top.py",), (None,)], "path string")
+    symbols = spark.createDataFrame([("m.f", "s1"), ("m.f", "s2"), (None, "s3")], "qualified_name string, entity_id string")
+    linked = s.links(s.matches(s.verdicts(named, []).filter("verdict is null"), files, symbols))
+    assert sorted(map(tuple, linked.collect())) == [("p", "file", "a/b.py", "file", "a/b.py"), ("p", "file", "top.py", "source_glob", "**"), ("q", "symbol", "s1", "symbol", "m.f"), ("q", "symbol", "s2", "symbol", "m.f")]
+    found = s.findings(named, files, symbols, [], linked.union(linked))
+    got = sorted((r["page"], r["finding"], r["n"]) for r in found.collect())
+    assert got == [("p", "conflicting_selectors", 3), ("q", "ambiguous_symbol", 2), ("q", "unsafe_selector", 0), ("r", "empty_glob", 0)]
+    assert s.findings(named.limit(0), files, symbols, ["*"], linked.limit(0)).count() == 0
+    # the links of a page that is gone are stale
+    assert [r["finding"] for r in s.findings(named.limit(0), files, symbols, [], linked.filter("page = 'q'")).collect()] == ["stale_revision"]
+
+
+def test_snapshot_batches_hold_all_rows_within_bounds(spark, monkeypatch):
+    import json
+
+    import pytest
+
+    from kbspark.operators import publication
+
+    rows = publication.canonical_rows(spark.range(300).selectExpr("lpad(id, 5, '0') as id", "if(id % 7 = 0, null, repeat('é', cast(id % 50 as int))) as text"), "page", "id")
+    for size in (publication.RANGE_BYTES, 2000):  # one range, then several
+        monkeypatch.setattr(publication, "RANGE_BYTES", size)
+        got = sorted(publication.snapshot_batches(rows, 25, 900).collect(), key=lambda r: r["ordinal"])
+        assert [r["ordinal"] for r in got] == list(range(len(got))) and all(r["n_rows"] <= 25 and r["n_bytes"] == len(r["payload"].encode()) <= 900 for r in got)
+        assert [x["id"] for r in got for x in json.loads(r["payload"])] == [f"{i:05d}" for i in range(300)]
+    assert publication.snapshot_batches(rows.limit(0), 25, 900).count() == 0
+    with pytest.raises(Exception, match="larger than a batch"):
+        publication.snapshot_batches(rows, 25, 50)
