@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import slices
 
@@ -192,7 +193,7 @@ def periodic_runs(
     for name in ("runs_sha256", "collapsed_sha256"):
         schema = schema.add(f"_kb_{name}", "string")
     if keep_runs:
-        schema = schema.add("_kb_runs", "array<struct<start:long,length:long,period:long>>")
+        schema = schema.add("_kb_runs", ArrayType(StructType().add("start", LongType()).add("length", LongType()).add("period", LongType())))
     if keep_text:
         schema = schema.add("_kb_collapsed", "string")
     out = chosen.mapInArrow(run, schema)

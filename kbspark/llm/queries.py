@@ -93,11 +93,11 @@ def with_periods(docs: DataFrame) -> DataFrame:
     With h = crc32(doc_id), g = floor(h / 10) and n words, if h % 10 = 0: from word a = g % n on, word i becomes word
     a + (i - a) % p, where p = 1 + floor((n - a) / (3 + g % 8)).
     """
-    planted = r"""transform(array(regexp_extract_all(text, '[^\x20\x09-\x0D]+', 0)), w ->
+    planted = r"""transform(array(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)), w ->
       transform(array(named_struct('a', (h div 10) % size(w), 'p', 1 + (size(w) - (h div 10) % size(w)) div (3 + (h div 10) % 8))), s ->
         array_join(transform(sequence(0, size(w) - 1), i -> w[if(i < s.a, i, int(s.a + (i - s.a) % s.p))]), ' '))[0])[0]"""
     hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string")))
-    return hashed.select("doc_id", F.expr(rf"case when h % 10 = 0 and regexp_like(text, '[^\x20\x09-\x0D]') then {planted} else text end").alias("text"))
+    return hashed.select("doc_id", F.expr(rf"case when h % 10 = 0 and regexp_like(text, '[^\\x20\\x09-\\x0D]') then {planted} else text end").alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,8 @@ def test_trie_and_collisions(spark, bits):
 
 
 def test_rebuilt_trie(spark):
-    rows = conversations(5, 45)
+    alone = next(c for c in range(201, 220) if zlib.crc32(str(c).encode()) % 4)  # without a base, so left without turns
+    rows = [*conversations(5, 45), (alone, 0, "user", "gone", "x", 1)]
     numbered, contents = prefix_trie.number_turns(spark.createDataFrame(rows, SCHEMA))
     got = prefix_trie.prefix_trie(*queries.rebuilt_conversations(numbered), contents=contents)
     own, want = plain_turns(rows), {}
@@ -186,7 +187,7 @@ def test_periodic_runs_rows(spark):
 
 def test_planted_periods(spark):
     rng = random.Random(2)
-    docs = [(i, rng.choice([None, "", "  ", " ".join(rng.choices("abcdefgh", k=rng.randrange(1, 90)))])) for i in range(400)] + [(None, "a b")]
+    docs = [(i, rng.choice([None, "", "  ", " ".join(rng.choices("abcdefgh", k=rng.randrange(1, 90)))])) for i in range(1500)] + [(None, "a b")]
     got = {r[0]: r[1] for r in queries.with_periods(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     changed = 0
     for i, t in docs:
@@ -199,7 +200,7 @@ def test_planted_periods(spark):
             assert got[i] == " ".join(w)
         else:
             assert got[i] == t
-    assert changed > 10
+    assert changed > 20
 
 
 RULES = [("com", "/", "allow"), ("Example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "", "block"), ("a.net", "/x", "allow"), ("a.net", "/x/y", "block"), ("", "", "block"), ("tie.org", "/", "allow"), ("tie.org", "/", "block"), (None, "/", "block")]
@@ -212,7 +213,8 @@ def judged(url, rules, default):
         rest = url.split("://", 1)[1]
         cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
         host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:].split("?")[0].split("#")[0]
-    fit = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if h is not None and (host == (h := h.lower()) or host.endswith("." + h)) and path.startswith(p)]
+    known = [(h.lower(), p, v) for h, p, v in rules if h is not None]
+    fit = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in known if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fit, default=(0, 0, 0, None, default))
     return host, path, best[3], best[4]
 
