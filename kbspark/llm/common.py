@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import uuid
@@ -112,46 +113,76 @@ class BatchMemo(dict):
             self.held = 0
 
 
-_RANDOM = np.random.default_rng(1299709)
-_BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_RANDOM.integers(0, 1 << 62)) * 4 + 3  # odd, so that powers have inverses modulo 2**64
+#: Fingerprints are polynomials modulo this prime, at a fixed random point.
+PRIME = (1 << 61) - 1
+POINT = 0x1B873593CC9E2D51 % PRIME
+_P, _30, _31, _61 = np.uint64(PRIME), np.uint64(30), np.uint64(31), np.uint64(61)
+LOW_30, LOW_31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+
+
+def mod_prime(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves that 64 bits hold."""
+    a1, a0, b1, b0 = a >> _31, a & LOW_31, b >> _31, b & LOW_31
+    mid = a0 * b1 + a1 * b0
+    return mod_prime(((a1 * b1) << np.uint64(1)) + (mid >> _30) + ((mid & LOW_30) << _31) + a0 * b0)
+
+
+def powers(point: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a point, by doubling."""
+    out, step = np.ones(1, np.uint64), point
+    while len(out) < n:
+        out, step = np.r_[out, times(out, np.full(1, step, np.uint64))], step * step % PRIME
+    return out[:n]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Bytes that are hashed at once, but for a word longer than that.
+#: Bytes that are hashed at once, and the longest word that is hashed as a polynomial.
 HASH_BYTES = 1 << 19
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[k] = np.r_[np.ones(1, np.uint64), np.cumprod(np.full(max(n, HASH_BYTES), base, np.uint64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_TABLES: list[np.ndarray] = []
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and each text's number of words.
 
     Words are runs of anything but the space and the control characters 09 to 0D. A word's hash is a polynomial in its
-    bytes, so the hashes of a whole buffer come from one running sum, without an object for each word.
+    bytes modulo a prime, so the hashes of a whole buffer come from running sums, without an object for each word; two
+    words of n bytes collide with a probability of n / 2**61. (Modulo a power of two some words would collide at any
+    point.) Words over ``HASH_BYTES`` bytes are hashed one by one instead.
     """
+    if not _TABLES:
+        power = powers(POINT, HASH_BYTES)
+        _TABLES.extend([power >> _31, power & LOW_31, powers(pow(POINT, -1, PRIME), HASH_BYTES)])
+    high, low, inverse = _TABLES
     whole = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     space = _SPACE[whole]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     out, at = np.zeros(len(starts), np.uint64), 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
-        low = starts[at]
-        part = whole[low : ends[to - 1]]
-        power, inverse = _powers(len(part))
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power)]
-        begin, end = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _BYTE[0]
+        first = starts[at]
+        to = int(np.searchsorted(ends, first + HASH_BYTES, "right"))
+        if to == at:
+            out[at] = int.from_bytes(hashlib.blake2b(whole[first : ends[at]].tobytes(), digest_size=8).digest(), "little")
+            at += 1
+            continue
+        part = whole[first : ends[to - 1]].astype(np.uint64) + np.uint64(1)
+        begin, end = starts[at:to] - first, ends[at:to] - first
+        sums = []
+        for half in (high, low):  # under 2**31 times 2**8 for each of 2**19 bytes: no overflow
+            running = np.r_[np.zeros(1, np.uint64), np.cumsum(part * half[: len(part)])]
+            sums.append(mod_prime(running[end] - running[begin]))
+        out[at:to] = times(mod_prime(times(sums[0], np.full(1, 1 << 31, np.uint64)) + sums[1]), inverse[begin])
         at = to
-    out = (out ^ (out >> np.uint64(32))) * _BYTE[1]
-    out ^= out >> np.uint64(29)
+    out = (out ^ (out >> np.uint64(32))) * _MIX[0]
+    out = (out ^ (out >> np.uint64(29))) * _MIX[1]
+    out ^= out >> np.uint64(32)
     stops = np.cumsum([0] + [len(t) + 1 for t in texts])
     return out, np.diff(np.searchsorted(starts, stops + 1)) if len(texts) else np.zeros(0, np.int64)
 

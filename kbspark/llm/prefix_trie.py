@@ -12,42 +12,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import LOW_31, POINT, PRIME, materialise, mod_prime, times
 
-#: Fingerprints are polynomials modulo this prime, of the bits of a fingerprint.
-PRIME, FINGERPRINT_BITS = (1 << 61) - 1, 61
-_BASE = np.uint64(0x1B873593CC9E2D51 % PRIME)
-_LOW31, _LOW30, _P = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(PRIME)
-_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+#: Bits of a fingerprint.
+FINGERPRINT_BITS = 61
 #: Ids of a chunk of a node's ends: what one row of the last pass holds.
 CHUNK_IDS = 4096
 NODE = ["depth", "fp", "path"]
-
-
-def _mod(x: np.ndarray) -> np.ndarray:
-    x = (x & _P) + (x >> _61)
-    return np.where(x >= _P, x - _P, x)
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo the prime, from halves that 64 bits hold."""
-    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
-    mid = a0 * b1 + a1 * b0
-    return _mod(((a1 * b1) << np.uint64(1)) + (mid >> _30) + ((mid & _LOW30) << _31) + a0 * b0)
+_PRIME, _31 = np.uint64(PRIME), np.uint64(31)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
     """Running sums modulo the prime."""
-    high, low = np.cumsum(x >> _31, dtype=np.uint64), np.cumsum(x & _LOW31, dtype=np.uint64)
-    return _mod(_times(_mod(high), np.full(1, 1 << 31, np.uint64)) + _mod(low))
+    high, low = np.cumsum(x >> _31, dtype=np.uint64), np.cumsum(x & LOW_31, dtype=np.uint64)
+    return mod_prime(times(mod_prime(high), np.full(1, 1 << 31, np.uint64)) + mod_prime(low))
 
 
 def _powers(at: np.ndarray) -> np.ndarray:
     """The base to each power, by squaring."""
-    out, square, rest = np.ones(len(at), np.uint64), np.full(1, _BASE), at.astype(np.uint64)
+    out, square, rest = np.ones(len(at), np.uint64), np.full(1, POINT, np.uint64), at.astype(np.uint64)
     while rest.any():
-        out = np.where(rest & np.uint64(1), _times(out, square), out)
-        square, rest = _times(square, square), rest >> np.uint64(1)
+        out = np.where(rest & np.uint64(1), times(out, square), out)
+        square, rest = times(square, square), rest >> np.uint64(1)
     return out
 
 
@@ -71,8 +57,8 @@ def running_sums(rows: DataFrame, key: str, order: list[str], value: Callable[[p
             own = value(batch)
             sums, heads = _sums(own), np.flatnonzero(fresh)
             group = np.cumsum(fresh)  # 0: still the key of the batch before
-            before = np.r_[carry and _P - carry, _mod(sums[heads] + _P - own[heads])]
-            sums = _mod(sums + _P - before[group])
+            before = np.r_[carry and _PRIME - carry, mod_prime(sums[heads] + _PRIME - own[heads])]
+            sums = mod_prime(sums + _PRIME - before[group])
             at = np.arange(n) + 1 - np.r_[-count, heads][group]
             last, carry, count = keys[n - 1].as_py(), sums[-1], int(at[-1])
             more = [pa.array(own.astype(np.int64)), pa.array(sums.astype(np.int64)), pa.array(at), pa.array(np.full(n, part, np.int32))]
@@ -132,7 +118,7 @@ def number_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 def _coefficient(batch: pa.RecordBatch) -> np.ndarray:
     """What a turn adds to the fingerprints of all prefixes that hold it: its content times a power of its place."""
     place, content, twin = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.uint64) for c in ("place", "content", "twin"))
-    return _times(_mod(_mod(content) + _mod(twin * np.uint64(0x9E3779B1)) + np.uint64(1)), _powers(place))
+    return times(mod_prime(mod_prime(content) + mod_prime(twin * np.uint64(0x9E3779B1)) + np.uint64(1)), _powers(place))
 
 
 def prefixes(rows: DataFrame, bits: int = FINGERPRINT_BITS) -> DataFrame:

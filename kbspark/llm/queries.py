@@ -210,8 +210,7 @@ FROM scored QUALIFY rank <= 20
 _OP11 = r"""
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
-    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS what, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS words
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS what, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL
 ), convs AS (
   SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),

@@ -132,6 +132,18 @@ def test_word_hashes(monkeypatch):
     assert common.hash_words([])[0].size == 0
 
 
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Of each Thue-Morse word and its complement any polynomial modulo 2**64 is equal; neither operator takes them for one."""
+    word = "a"
+    for _ in range(11):
+        word = word.translate({97: "ab", 98: "ba"})
+    other = word.translate({97: "b", 98: "a"})
+    tail = " one two three four five six"
+    docs = spark.createDataFrame([(1, " ".join([word] * 7) + tail), (2, " ".join([other] * 7) + tail), (3, "z" * 600_000 + " y"), (4, "z" * 600_001 + " y")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()] == [0] * 4
+    assert all(r["kept"] for r in minhash_dedup.near_duplicate_documents(docs).collect())
+
+
 def test_subtrees_against_the_words_of_suffixes():
     """Depths of neighbours and deep nodes of a group, from the words themselves."""
     rng = random.Random(21)

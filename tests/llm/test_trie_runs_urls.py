@@ -114,9 +114,9 @@ def test_running_sums_over_borders(spark):
 def test_products_modulo_the_prime():
     rng = random.Random(1)
     a, b = ([rng.choice([0, 1, prefix_trie.PRIME - 1, rng.randrange(prefix_trie.PRIME)]) for _ in range(500)] for _ in range(2))
-    assert prefix_trie._times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % prefix_trie.PRIME for x, y in zip(a, b)]
+    assert prefix_trie.times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % prefix_trie.PRIME for x, y in zip(a, b)]
     assert prefix_trie._sums(np.array(a, np.uint64)).tolist() == [sum(a[: i + 1]) % prefix_trie.PRIME for i in range(500)]
-    assert prefix_trie._powers(np.array([0, 1, 5, 70000])).tolist() == [pow(int(prefix_trie._BASE), k, prefix_trie.PRIME) for k in (0, 1, 5, 70000)]
+    assert prefix_trie._powers(np.array([0, 1, 5, 70000])).tolist() == [pow(prefix_trie.POINT, k, prefix_trie.PRIME) for k in (0, 1, 5, 70000)]
 
 
 def test_hot_end_goes_through_chunks(spark, monkeypatch):
