@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import code, extraction, graph, publication, retrieval
 from .code import RELATIONS
-from .registry import inline, query, table
+from .registry import derived, inline, query, table
 
 FILES = """(VALUES ('app/__init__.py', 'from .core import run'), ('app/core.py', concat_ws(chr(10), 'import os.path as p, json', 'from ..outside import gone', 'from . import util', 'class Base:', '    def step(self): return json.dumps(1)', '    def run(self):', '        self.step()', '        helper()',
     'class Fast(Base):', '    def step(self): return util.twice(2)', 'async def run(x: int = 1): return Fast().run()', 'def helper(): p.join()')), ('app/sub/mod.py', 'def f(): pass'), ('app/sub/deep/__init__.py', ''), ('app/sub/deep/leaf.py', 'x = ('), ('tool.py', NULL)) AS files(path, source)"""
@@ -125,20 +125,20 @@ def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publication.row_violations(symbols, spark.createDataFrame([("a.py",)], "path string"), spark.createDataFrame([("s1", "s9"), ("s1", "s2")], "src string, dst string"))
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT src, dst FROM {RELATIONS}), reach AS (SELECT 'd' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM reach JOIN r ON src = node WHERE depth < 2)
+@query(f"""WITH RECURSIVE r AS (SELECT src, dst FROM {RELATIONS}), reach AS (SELECT 'o7' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM reach JOIN r ON src = node WHERE depth < 2)
   SELECT node, min(depth)::INT AS depth FROM reach GROUP BY node""")
 def directed_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = spark.createDataFrame([("d", "seed", 1)], "node string, origin string, seed_rank int")
-    return graph.capped_traversal(inline(spark, RELATIONS), seeds, 2, None, directed=True).select("node", "depth")
+    seeds = spark.createDataFrame([("o7", "seed", 1)], "node string, origin string, seed_rank int")
+    return graph.capped_traversal(derived(spark, sf_dir, RELATIONS), seeds, 2, None, directed=True).select("node", "depth")
 
 
-@query(f"""WITH r AS (SELECT *, length(src) * 10 + CASE relation_type WHEN 'CALLS' THEN 5 ELSE 20 END AS cost FROM {RELATIONS}), o AS (SELECT *, sum(cost) OVER (ORDER BY relation_type, src, dst ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE src IN ('a', 'c') OR dst IN ('a', 'c'))
-  SELECT src, dst, relation_type, used FROM o WHERE used <= 65""")
+@query(f"""WITH r AS (SELECT *, length(src) * 10 + CASE relation_type WHEN 'CALLS' THEN 5 ELSE 20 END AS cost FROM {RELATIONS}), o AS (SELECT *, sum(cost) OVER (ORDER BY relation_type, src, dst ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE src IN ('o1', 'p2') OR dst IN ('o1', 'p2'))
+  SELECT src, dst, relation_type, used FROM o WHERE used <= 265""")
 def budgeted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relations around some nodes in admission order, as far as their sizes fit a budget."""
     cost = F.length("src") * 10 + F.when(F.col("relation_type") == "CALLS", 5).otherwise(20)
-    nodes = spark.createDataFrame([("a",), ("c",)], "node string")
-    return graph.within_budget(inline(spark, RELATIONS).withColumn("cost", cost), nodes, 65)
+    nodes = spark.createDataFrame([("o1",), ("p2",)], "node string")
+    return graph.within_budget(derived(spark, sf_dir, RELATIONS).withColumn("cost", cost), nodes, 265)
 
 
 @query("""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), pool AS (SELECT DISTINCT label FROM embeddings WHERE vec_id IN (3, 4, 5))

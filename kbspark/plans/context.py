@@ -13,7 +13,7 @@ _GRAPH = """sym AS (SELECT 's:o' || o_orderkey AS entity_id, 'f:c' || (o_custkey
   fil AS (SELECT DISTINCT file_id FROM sym),
   ent AS (SELECT entity_id, 'symbol' AS entity_type, file_id, replace(file_id, 'f:', 'm:') AS module_id FROM sym UNION ALL SELECT file_id, 'file', file_id, replace(file_id, 'f:', 'm:') FROM fil
     UNION ALL SELECT replace(file_id, 'f:', 'm:'), 'module', file_id, replace(file_id, 'f:', 'm:') FROM fil),
-  rel AS (SELECT 'c' || l_orderkey || '.' || l_linenumber AS relation_id, 'CALLS' AS relation_type, 's:o' || l_orderkey AS src, CASE WHEN l_linenumber <> 5 THEN 's:p' || l_partkey END AS dst,
+  rel AS (SELECT DISTINCT 'c' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS relation_id, 'CALLS' AS relation_type, 's:o' || l_orderkey AS src, CASE WHEN l_linenumber <> 5 THEN 's:p' || l_partkey END AS dst,
       CASE WHEN l_linenumber = 5 THEN 'ext.' || l_suppkey END AS reference, l_linenumber::BIGINT AS start FROM lineitem
     UNION ALL SELECT 'd' || entity_id, 'DECLARES', replace(file_id, 'f:', 'm:'), entity_id, NULL, 0 FROM sym
     UNION ALL SELECT DISTINCT 'i' || (o_custkey % 97) || p_brand, 'IMPORTS', 'm:c' || (o_custkey % 97), 'm:' || p_brand, NULL, 0 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1
@@ -51,7 +51,7 @@ def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entities = entities.union(files.select("file_id", F.lit("file"), "file_id", module)).union(files.select(module, F.lit("module"), "file_id", module))
     none = F.lit(None).cast("string")
     fifth = F.col("l_linenumber") == 5
-    calls = lines.select(F.concat(F.lit("c"), F.concat_ws(".", "l_orderkey", "l_linenumber")).alias("relation_id"), F.lit("CALLS").alias("relation_type"), text("s:o", "l_orderkey").alias("src"), F.when(~fifth, text("s:p", "l_partkey")).alias("dst"), F.when(fifth, text("ext.", "l_suppkey")).alias("reference"), F.col("l_linenumber").cast("long").alias("start"))
+    calls = lines.select(F.concat(F.lit("c"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("relation_id"), F.lit("CALLS").alias("relation_type"), text("s:o", "l_orderkey").alias("src"), F.when(~fifth, text("s:p", "l_partkey")).alias("dst"), F.when(fifth, text("ext.", "l_suppkey")).alias("reference"), F.col("l_linenumber").cast("long").alias("start")).distinct()
     zero = F.lit(0).cast("long")
     declares = symbols.select(text("d", "entity_id"), F.lit("DECLARES"), module, "entity_id", none, zero)
     uses = lines.filter("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(group.cast("string").alias("g"), "p_brand").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def inline(spark: SparkSession, fixture: str) -> DataFrame:
     """A small fixture, written once as a VALUES relation that both engines read."""
     return spark.sql(f"SELECT * FROM {fixture}")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+_FROM = re.compile(rf"\b(FROM|JOIN) ({TABLES.replace(' ', '|')})\b")
+
+
+def derived(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
+    """A relation that Spark derives from the given tables; it is written once, in SQL that both engines read."""
+    names = {name for _, name in _FROM.findall(relation)}
+    text = _FROM.sub(r"\1 {\2}", relation.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(f"SELECT * FROM {text}", **{n: table(spark, sf_dir, n) for n in names})
