@@ -7,36 +7,89 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import code, extraction, graph, publication, retrieval
+from ..sources.versioned import staged
 from .code import RELATIONS
 from .registry import derived, inline, query, table
 
-FILES = """(VALUES ('app/__init__.py', 'from .core import run'), ('app/core.py', concat_ws(chr(10), 'import os.path as p, json', 'from ..outside import gone', 'from . import util', 'class Base:', '    def step(self): return json.dumps(1)', '    def run(self):', '        self.step()', '        helper()',
-    'class Fast(Base):', '    def step(self): return util.twice(2)', 'async def run(x: int = 1): return Fast().run()', 'def helper(): p.join()')), ('app/sub/mod.py', 'def f(): pass'), ('app/sub/deep/__init__.py', ''), ('app/sub/deep/leaf.py', 'x = ('), ('tool.py', NULL)) AS files(path, source)"""
+#: A Python file for each customer, in ten folders of which the last is no package, and the packages' own files, which
+#: pass names on: main0 from a file beside them, main1 in a circle, main2 along a chain.
+_S = "CAST({} AS STRING)".format
+_N, _F, _G = _S("c_custkey"), _S("c_custkey % 10"), _S("(c_custkey + 1) % 10")
+_M10 = _S("c_custkey + 10")
+FILES = f"""(SELECT 'app/n' || {_F} || '/c' || {_N} || '.py' AS path, CASE WHEN c_custkey % 7 = 3 THEN 'x = (' WHEN c_custkey % 11 <> 5 THEN concat_ws(chr(10), 'import json as j', 'from . import c' || {_M10} || ' as near',
+    'from ..n' || {_G} || ' import main' || {_S('c_custkey % 3')} || ' as run', 'class C' || {_N} || '(near.C' || {_M10} || '):', '    def step(self): return j.dumps(1)', '    def go(self):', '        self.step()', '        helper' || {_N} || '()',
+    '        return run()', 'def helper' || {_N} || '(j): return j.loads(2)', 'async def aux(x: int=1): return C' || {_N} || '().go()') END AS source FROM customer
+  UNION ALL SELECT DISTINCT 'app/n' || {_F} || '/__init__.py', concat_ws(chr(10), 'from .c' || {_S('c_custkey % 10 + 20')} || ' import helper' || {_S('c_custkey % 10 + 20')} || ' as main0', 'from ..n' || {_S('(c_custkey % 10 + 1) % 9')} || ' import main1',
+    CASE c_custkey % 10 WHEN 8 THEN 'from .c28 import helper28 as main2' ELSE 'from ..n' || {_G} || ' import main2' END) FROM customer WHERE c_custkey % 10 <> 9
+  UNION ALL SELECT DISTINCT 'app/__init__.py', 'import os' FROM region) AS files"""
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return inline(spark, FILES)
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, FILES)
 
 
 @query(f"""WITH f AS (SELECT path, string_split(path, '/') AS parts FROM {FILES}), folders AS (SELECT array_to_string(parts[:-2], '/') AS folder FROM f WHERE parts[-1] = '__init__.py'),
   up AS (SELECT path, parts, unnest(range(1, len(parts))) AS n FROM f), broken AS (SELECT path, max(CASE WHEN array_to_string(parts[:n], '/') IN (FROM folders) THEN 0 ELSE n END) AS last FROM up GROUP BY path)
   SELECT path, CASE WHEN last < len(parts) - 1 THEN array_to_string(list_filter(list_transform(parts[last + 1:], lambda x: regexp_replace(x, '\\.py$', '')), lambda x: x <> '__init__'), '.') END AS module FROM f LEFT JOIN broken USING (path)""")
 def python_module_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.module_names(_files(spark))
+    return extraction.module_names(_files(spark, sf_dir))
 
 
-@query()
-def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.symbols(extraction.extract(_files(spark)))
+#: What the files hold by their making, without reading them: symbols, bindings of modules, references.
+_MADE = """c AS (SELECT c_custkey AS n, 'app/n' || c_custkey % 10 || '/c' || c_custkey || '.py' AS path, CASE c_custkey % 10 WHEN 9 THEN 'c' || c_custkey ELSE 'app.n' || c_custkey % 10 || '.c' || c_custkey END AS m, c_custkey % 7 <> 3 AND c_custkey % 11 <> 5 AS valid, c_custkey % 10 <> 9 AS packed FROM customer),
+  v AS (SELECT * FROM c WHERE valid), p AS (SELECT DISTINCT c_custkey % 10 AS f FROM customer WHERE c_custkey % 10 <> 9),
+  sym AS (SELECT path, 'class' AS kind, m || '.C' || n AS name, 'C' || n AS local, CASE WHEN packed THEN '(near.C' || n + 10 || ')' ELSE '(near.C' || n + 10 || ')' END AS signature, 4 AS start, 9 AS stop FROM v
+    UNION ALL SELECT path, 'method', m || '.C' || n || '.step', 'step', '(self)', 5, 5 FROM v UNION ALL SELECT path, 'method', m || '.C' || n || '.go', 'go', '(self)', 6, 9 FROM v
+    UNION ALL SELECT path, 'function', m || '.helper' || n, 'helper' || n, '(j)', 10, 10 FROM v UNION ALL SELECT path, 'async_function', m || '.aux', 'aux', '(x: int=1)', 11, 11 FROM v),
+  symbols AS (SELECT 'symbol:' || left(sha256(concat_ws(chr(0), 'symbol', path, name, signature)), 32) AS entity_id, kind, path, name AS qualified_name, local AS local_name, signature, 'public' AS visibility, start, stop FROM sym),
+  modules AS (SELECT m AS module FROM c WHERE valid OR n % 7 = 3 UNION SELECT 'app.n' || f FROM p UNION SELECT 'app'),
+  bind AS (SELECT m || '.j' AS name, 'json' AS target FROM v UNION ALL SELECT 'app.os', 'os' UNION ALL SELECT m || '.near', 'app.n' || n % 10 || '.c' || n + 10 FROM v WHERE packed UNION ALL SELECT m || '.run', 'app.n' || (n + 1) % 10 || '.main' || n % 3 FROM v WHERE packed
+    UNION ALL SELECT 'app.n' || f || '.main0', 'app.n' || f || '.c' || f + 20 || '.helper' || f + 20 FROM p UNION ALL SELECT 'app.n' || f || '.main1', 'app.n' || (f + 1) % 9 || '.main1' FROM p
+    UNION ALL SELECT 'app.n' || f || '.main2', CASE f WHEN 8 THEN 'app.n8.c28.helper28' ELSE 'app.n' || f + 1 || '.main2' END FROM p),
+  chain AS (SELECT name, target AS first, target, 0 AS d FROM bind UNION ALL SELECT c.name, c.first, b.target, d + 1 FROM chain c JOIN bind b ON b.name = c.target WHERE d < 30),
+  aliases AS (SELECT name, CASE WHEN max(d) = 30 THEN any_value(first) ELSE max_by(target, d) END AS target, CASE WHEN max(d) = 30 THEN 'cycle' ELSE 'resolved' END AS state FROM chain GROUP BY name)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_MADE} SELECT * FROM symbols")
+def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.symbols(extraction.extract(_files(spark, sf_dir)))
+
+
+def _aliases(extracted: DataFrame) -> DataFrame:
+    return extraction.resolve_aliases(extraction.alias_bindings(extracted, extraction.symbols(extracted)))
+
+
+@query(f"WITH RECURSIVE {_MADE} SELECT * FROM aliases")
+def python_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What imported names stand for in the end, through modules that pass them on."""
+    return _aliases(staged(extraction.extract(_files(spark, sf_dir))))
+
+
+@query(f"""WITH RECURSIVE {_MADE}, pack AS (SELECT * FROM v WHERE packed), refs AS (SELECT path, 'IMPORTS' AS kind, m AS name, 'json' AS target, 1 AS start, 'j' AS binding, NULL AS written FROM v
+    UNION ALL SELECT path, 'IMPORTS', m, 'app.n' || n % 10 || '.c' || n + 10, 2, 'near', NULL FROM pack UNION ALL SELECT path, 'IMPORTS', m, 'app.n' || (n + 1) % 10 || '.main' || n % 3, 3, 'run', NULL FROM pack
+    UNION ALL SELECT path, 'INHERITS', m || '.C' || n, 'app.n' || n % 10 || '.c' || n + 10 || '.C' || n + 10, 4, NULL, NULL FROM pack
+    UNION ALL SELECT path, 'CALLS', m || '.C' || n || '.step', 'json.dumps', 5, NULL, NULL FROM v UNION ALL SELECT path, 'CALLS', m || '.C' || n || '.go', m || '.C' || n || '.step', 7, NULL, NULL FROM v
+    UNION ALL SELECT path, 'CALLS', m || '.C' || n || '.go', m || '.helper' || n, 8, NULL, NULL FROM v UNION ALL SELECT path, 'CALLS', m || '.C' || n || '.go', CASE WHEN packed THEN 'app.n' || (n + 1) % 10 || '.main' || n % 3 END, 9, NULL, 'run' FROM v
+    UNION ALL SELECT path, 'CALLS', m || '.helper' || n, NULL, 10, NULL, 'j.loads' FROM v UNION ALL SELECT path, 'CALLS', m || '.aux', m || '.C' || n || '.go', 11, NULL, NULL FROM v UNION ALL SELECT path, 'CALLS', m || '.aux', m || '.C' || n, 11, NULL, NULL FROM v
+    UNION ALL SELECT 'app/n' || f || '/__init__.py', 'IMPORTS', 'app.n' || f, target, 1 + right(bind.name, 1)::INT, CASE WHEN bind.name LIKE '%.main_' THEN right(bind.name, 5) END, NULL FROM p JOIN bind ON bind.name LIKE 'app.n' || f || '.main_' UNION ALL SELECT 'app/__init__.py', 'IMPORTS', 'app', 'os', 1, 'os', NULL),
+  ids AS (SELECT 'relation:' || left(sha256(concat_ws(chr(0), 'relation', kind, path, name, coalesce(target, '?' || written), start::VARCHAR, coalesce(binding, ''))), 32) AS ref_id, refs.* FROM refs),
+  r AS (SELECT ids.* EXCLUDE (target), CASE WHEN a.name IS NULL THEN ids.target WHEN a.state = 'resolved' THEN a.target END AS target, ids.target AS raw FROM ids LEFT JOIN aliases a ON a.name = ids.target),
+  every AS (SELECT ref_id, 1 AS step, entity_id FROM r JOIN symbols ON target = qualified_name
+    UNION ALL SELECT * FROM (SELECT ref_id, 2, module FROM r JOIN modules ON target = module OR starts_with(target, module || '.') QUALIFY rank() OVER (PARTITION BY ref_id ORDER BY length(module) DESC) = 1) UNION ALL SELECT ref_id, 3, NULL FROM r),
+  first AS (SELECT * FROM every QUALIFY step = min(step) OVER (PARTITION BY ref_id)),
+  sub AS (SELECT a.m || '.C' || a.n AS base FROM c a JOIN v b ON b.n = a.n - 10 WHERE a.packed)
+  SELECT ref_id, kind AS relation_type, name AS source, raw AS target, start, binding, entity_id, CASE WHEN kind = 'CALLS' AND raw IN (SELECT base || '.step' FROM sub UNION ALL SELECT base || '.go' FROM sub) THEN 'ambiguous' WHEN step = 3 THEN 'unresolved' WHEN count(entity_id) OVER (PARTITION BY ref_id) > 1 THEN 'ambiguous' WHEN step = 2 THEN 'partially_resolved' ELSE 'resolved' END AS state
+  FROM first JOIN r USING (ref_id)""")
 def python_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References with what they resolve to, and whether a subclass may override the target."""
-    extracted = extraction.extract(_files(spark))
+    """References with what they resolve to, through names passed on, and whether a subclass may override the target."""
+    return resolved_references(staged(extraction.extract(_files(spark, sf_dir))))
+
+
+def resolved_references(extracted: DataFrame) -> DataFrame:
     refs, declared = extraction.references(extracted), extraction.symbols(extracted)
     modules = extracted.select("module").distinct()
-    resolved = code.resolve_references(refs.select("ref_id", "target"), declared.select("qualified_name", "entity_id"), modules)
+    meant = extraction.dealiased(refs.select("ref_id", "target"), _aliases(extracted))
+    resolved = code.resolve_references(meant, declared.select("qualified_name", "entity_id"), modules)
     return refs.join(resolved, "ref_id").join(extraction.overridable_calls(refs, declared), "ref_id", "left").withColumn("state", F.when(F.col("overrides") > 0, "ambiguous").otherwise(F.col("state"))).drop("overrides")
 
 

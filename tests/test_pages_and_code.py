@@ -4,9 +4,16 @@ from kbspark.functions import paths
 from kbspark.operators import extraction, markdown
 from kbspark.plans import codegraph
 
+FILES = """(VALUES ('app/__init__.py', 'from .core import run'), ('app/core.py', concat_ws(chr(10), 'import os.path as p, json', 'from ..outside import gone', 'from . import util', 'class Base:', '    def step(self): return json.dumps(1)', '    def run(self):', '        self.step()', '        helper()',
+    'class Fast(Base):', '    def step(self): return util.twice(2)', 'async def run(x: int = 1): return Fast().run()', 'def helper(): p.join()')), ('app/sub/mod.py', 'def f(): pass'), ('app/sub/deep/__init__.py', ''), ('app/sub/deep/leaf.py', 'x = ('), ('tool.py', NULL)) AS files(path, source)"""
+
+
+def files_of(spark):
+    return spark.sql(f"SELECT * FROM {FILES}")
+
 
 def test_python_extraction(spark):
-    rows = extraction.extract(codegraph._files(spark)).collect()
+    rows = extraction.extract(files_of(spark)).collect()
     of = lambda kind, path="app/core.py": [r for r in rows if r["kind"] == kind and r["path"] == path]
     assert [(r["name"], r["owner"], r["start"], r["stop"]) for r in of("method")] == [("app.core.Base.step", "app.core.Base", 5, 5), ("app.core.Base.run", "app.core.Base", 6, 8), ("app.core.Fast.step", "app.core.Fast", 10, 10)]
     assert [(r["name"], r["signature"]) for r in of("async_function")] == [("app.core.run", "(x: int=1)")]
@@ -18,6 +25,7 @@ def test_python_extraction(spark):
         ("app.core.Base.run", "app.core.Base.step"),
         ("app.core.Base.run", "app.core.helper"),
         ("app.core.Fast.step", "app.util.twice"),
+        ("app.core.run", "app.core.Fast.run"),
         ("app.core.run", "app.core.Fast"),
         ("app.core.helper", "os.path.join"),
     ]
@@ -27,15 +35,15 @@ def test_python_extraction(spark):
 
 
 def test_overridden_calls_and_ids(spark):
-    extracted = extraction.extract(codegraph._files(spark))
+    extracted = extraction.extract(files_of(spark))
     refs, declared = extraction.references(extracted), extraction.symbols(extracted)
     over = extraction.overridable_calls(refs, declared).join(refs, "ref_id").collect()
     assert [(r["source"], r["target"], r["overrides"]) for r in over] == [("app.core.Base.run", "app.core.Base.step", 1)]
-    again = extraction.symbols(extraction.extract(codegraph._files(spark).union(codegraph._files(spark))))
+    again = extraction.symbols(extraction.extract(files_of(spark).union(files_of(spark))))
     assert sorted(r["entity_id"] for r in again.collect()) == sorted(r["entity_id"] for r in declared.collect())
-    state = {(r["source"], r["target"]): r["state"] for r in codegraph.python_references(spark, "").collect()}
+    state = {(r["source"], r["target"]): r["state"] for r in codegraph.resolved_references(extracted).collect()}
     assert state["app.core.Base.run", "app.core.Base.step"] == "ambiguous" and state["app.core.Base.run", "app.core.helper"] == "resolved"
-    assert state["app.core.Base.step", "json.dumps"] == "unresolved" and extraction.extract(codegraph._files(spark).limit(0)).count() == 0
+    assert state["app.core.Base.step", "json.dumps"] == "unresolved" and extraction.extract(files_of(spark).limit(0)).count() == 0
 
 
 def test_relative_modules():
@@ -113,3 +121,85 @@ def test_snapshot_batches_hold_all_rows_within_bounds(spark, monkeypatch):
     assert publication.snapshot_batches(rows.limit(0), 25, 900).count() == 0
     with pytest.raises(Exception, match="larger than a batch"):
         publication.snapshot_batches(rows, 25, 50)
+
+
+def calls_of(source, module="m"):
+    return [r["target"] for r in extraction.read_python(source, module, False) if r["kind"] == "CALLS"]
+
+
+def test_names_that_cannot_be_told_call_nothing():
+    assert calls_of("import json\ndef f(json): json.dumps(1)\njson.load(1)") == [None, "json.load"]
+    assert calls_of("import json\njson = thing()\njson.load(2)\ndef f(): json.load(3)") == ["thing", None, None]
+    assert calls_of("try:\n  import a as x\nexcept E:\n  import b as x\nx.f()\ndef g(): x.f()") == [None, None]
+    assert calls_of("import a as x\nx.f()\nimport b as x\nx.f()\ndef g(): x.f()") == ["a.f", "b.f", None]
+    assert calls_of("x.f()\nimport a as x") == [None]  # not yet bound
+    assert calls_of("def k():\n  y.f()\n  import c as y\n  y.f()\n  for y in (): pass\ndef l(): y.f()") == [None, None, "y.f"]
+    assert calls_of("import a\n[a.f() for a in b()]\nlambda a: a.f()\nwith z() as a: pass\na.f()") == ["b", None, None, "z", None]
+    assert calls_of("import a\ndef f():\n  global a\n  a = 1\n  a.g()\ndef h(): a.g()") == [None, None]
+    assert calls_of("match v():\n  case {'k': w, **rest}: w.f(); rest.g()\n  case [*s]: s.h()") == ["v", None, None, None]
+
+
+def test_receivers_and_instances():
+    source = "class A:\n  def m(this): this.n(); this(); A().n()\n  @staticmethod\n  def s(x): x.n()\n  def r(self):\n    self = 1\n    self.n()\n  def t(self):\n    def inner(): self.n()\n    f().g().h()"
+    assert sorted(map(str, calls_of(source))) == ["None"] * 4 + ["f", "f.g", "m.A", "m.A.n", "m.A.n", "m.A.n"]
+    assert calls_of("from other import *\nrun(); len(1)", "pkg.mod") == ["pkg.mod.run", "len"]
+
+
+def test_deep_sources_are_read():
+    assert calls_of("x = " + "+".join(["f()"] * 900)) == ["f"] * 900
+    assert [r["kind"] for r in extraction.read_python("x = " + "+".join(["f()"] * 200_000), "m", False)] == ["error"]
+    nested = "\n".join(" " * i + f"def f{i}():" for i in range(60)) + "\n" + " " * 60 + "f0()"
+    assert calls_of(nested) == ["m.f0"]
+
+
+def by_hand(bindings):
+    """Each alias followed by itself, one longest prefix after the other."""
+    names = {}
+    for name, target in bindings:
+        if name is not None and target is not None and name != target:
+            names.setdefault(name, set()).add(target)
+
+    def end(name):
+        if len(names[name]) > 1:
+            return "ambiguous"
+        target, steps = next(iter(names[name])), 0
+        while True:
+            parts = target.split(".")
+            via = next((".".join(parts[:k]) for k in range(len(parts), 0, -1) if ".".join(parts[:k]) in names), None)
+            if via is None:
+                return "resolved", target
+            if len(names[via]) > 1:
+                return "ambiguous"
+            target, steps = next(iter(names[via])) + target[len(via) :], steps + 1
+            if steps > 200:
+                return "cycle"
+
+    out = {}
+    for name in names:
+        e = end(name)
+        out[name] = (e[1], e[0]) if isinstance(e, tuple) else (min(names[name]), e)
+    return out
+
+
+def test_aliases_against_following_each(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(37)]
+    circle = [("a", "b"), ("b", "d"), ("d", "a"), ("into", "a.x"), ("own", "own.part")]
+    tails = [("p.tool", "q.impl"), ("q.impl", "r.deep.impl"), ("r.deep", "s"), ("late", "p.tool.run"), ("s.impl.run", "end")]
+    several = [("two", "x"), ("two", "y"), ("of.two", "two.z"), ("same", "x"), ("same", "x"), (None, "x"), ("n", None), ("self", "self")]
+    rows = [*chain, *circle, *tails, *several]
+    got = {r["name"]: (r["target"], r["state"]) for r in extraction.resolve_aliases(spark.createDataFrame(rows, "name string, target string")).collect()}
+    assert got == by_hand(rows)
+    assert got["late"] == ("end", "resolved") and got["c0"] == ("c37", "resolved") and got["into"][1] == "cycle" and got["of.two"][1] == "ambiguous"
+    assert extraction.resolve_aliases(spark.createDataFrame([], "name string, target string")).count() == 0
+    refs = spark.createDataFrame([("1", "late.more"), ("2", "own.x"), ("3", "free"), ("4", None)], "ref_id string, target string")
+    aliases = spark.createDataFrame([(k, *v) for k, v in got.items()], "name string, target string, state string")
+    assert {r["ref_id"]: r["target"] for r in extraction.dealiased(refs, aliases).collect()} == {"1": "end.more", "2": None, "3": "free", "4": None}
+
+
+def test_star_imports_pass_names_on(spark):
+    files = [("p/__init__.py", ""), ("p/a.py", "from .b import *\nfrom .b import own as mine\ndef kept(): pass"), ("p/b.py", "from .c import *\nfrom .c import _hidden\ndef own(): pass\ndef _private(): pass"), ("p/c.py", "from .a import *\ndef far(): pass\ndef kept(): pass\ndef _hidden(): pass")]
+    extracted = extraction.extract(spark.createDataFrame(files, "path string, source string"))
+    aliases = extraction.resolve_aliases(extraction.alias_bindings(extracted, extraction.symbols(extracted)))
+    got = {r["name"]: r["target"] for r in aliases.filter("state = 'resolved'").collect()}
+    assert got["p.a.mine"] == "p.b.own" and got["p.a.far"] == "p.c.far" and got["p.a.own"] == "p.b.own" and got["p.b._hidden"] == "p.c._hidden"
+    assert "p.a.kept" not in got and "p.a._private" not in got and "p.a._hidden" not in got
