@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import code, extraction, graph, publication, retrieval
-from ..sources.versioned import staged
+from ..sources.versioned import shared_path, staged
+from ..streaming import sessions
 from .code import RELATIONS
 from .registry import derived, inline, query, table
 
@@ -129,7 +132,9 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).groupBy("kind", "language").agg(F.count("*").alias("n"))
 
 
-SOME_PATHS = "(VALUES ('src/a.py'), ('src/x/b.py'), ('src/x/y/c.ts'), ('docs/.env'), ('docs/.env.local'), ('keys/id_rsa'), ('a/secrets.yml'), ('../up.py'), ('/abs.py'), ('a//b'), ('c:/win'), ('a/./b'), ('b/key.PEM')) AS paths(path)"
+SOME_PATHS = """(SELECT CASE c_custkey % 13 WHEN 0 THEN 'src/a' || CAST(c_custkey AS STRING) || '.py' WHEN 1 THEN 'src/x/b' || CAST(c_custkey AS STRING) || '.py' WHEN 2 THEN 'src/x/y/c' || CAST(c_custkey AS STRING) || '.ts' WHEN 3 THEN 'docs/.env' WHEN 4 THEN 'docs/.env.n' || CAST(c_custkey AS STRING)
+  WHEN 5 THEN 'keys/n' || CAST(c_custkey AS STRING) || '/id_rsa' WHEN 6 THEN 'a/secrets' || CAST(c_custkey AS STRING) || '.yml' WHEN 7 THEN '../up' || CAST(c_custkey AS STRING) || '.py' WHEN 8 THEN '/abs' || CAST(c_custkey AS STRING) || '.py' WHEN 9 THEN 'a//b' || CAST(c_custkey AS STRING)
+  WHEN 10 THEN 'c:/win' || CAST(c_custkey AS STRING) WHEN 11 THEN 'a/./b' || CAST(c_custkey AS STRING) ELSE 'b/key' || CAST(c_custkey AS STRING) || '.PEM' END AS path FROM customer) AS paths"""
 GLOBS = "(VALUES ('src/*.py', 'src/[^/]*[.]py'), ('src/**/*.ts', 'src/([^/]+/)*[^/]*[.]ts'), ('**', '([^/]+/)*[^/]+'), ('src/**', 'src(/[^/]+)*'), ('docs/.e?v', 'docs/[.]e[^/]v')) AS globs(pattern, regex)"
 
 
@@ -138,44 +143,68 @@ def glob_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selectors against paths; the few patterns are expressions of one scan, not a join."""
     patterns = ["src/*.py", "src/**/*.ts", "**", "src/**", "docs/.e?v"]
     hits = F.array_compact(F.array(*[F.when(paths.glob_matches(F.col("path"), p), F.lit(p)) for p in patterns]))
-    return inline(spark, SOME_PATHS).select("path", F.explode(hits).alias("pattern"))
+    return derived(spark, sf_dir, SOME_PATHS).select("path", F.explode(hits).alias("pattern"))
 
 
 @query(f"""SELECT path, regexp_matches(lower(path), '(^|/)([.]env([.][^/]*)?|[^/]*[.](pem|key)|id_rsa|id_ed25519|credentials[^/]*|secrets[^/]*)$') AS secret,
   NOT (path LIKE '/%' OR path LIKE '%//%' OR path LIKE '%:%' OR regexp_matches(path, '(^|/)[.]{{1,2}}(/|$)')) AS safe FROM {SOME_PATHS}""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, SOME_PATHS).select("path", paths.is_secret(F.col("path")).alias("secret"), paths.is_safe(F.col("path")).alias("safe"))
+    return derived(spark, sf_dir, SOME_PATHS).select("path", paths.is_secret(F.col("path")).alias("secret"), paths.is_safe(F.col("path")).alias("safe"))
 
 
-HEADERS = "(VALUES ('s1', 'core', 'r0', 'r1', 2, false), ('s2', 'core', 'r0', 'r2', 2, false), ('s3', 'web', NULL, 'w1', 1, false), ('s4', 'web', 'w0', 'w2', 1, false), ('s5', 'web', NULL, 'w3', 1, true), ('s6', 'web', NULL, 'w4', 1, false), ('s7', 'new', NULL, 'n1', 1, false)) AS headers(session, domain, base_revision, revision, n_kinds, aborted)"
-BATCHES = "(VALUES ('s1', 'files', 0, 'a', 10), ('s1', 'files', 1, 'b', 5), ('s1', 'files', 1, 'b', 5), ('s1', 'symbols', 0, 'c', 7), ('s2', 'files', 0, 'a', 10), ('s2', 'symbols', 0, 'd', 3), ('s3', 'files', 0, 'a', 1), ('s3', 'files', 2, 'b', 1), ('s4', 'files', 0, 'a', 2), ('s6', 'files', 0, 'a', 2), ('s6', 'files', 0, 'x', 2), ('s7', 'files', 0, 'q', 4)) AS batches(session, kind, ordinal, hash, n_rows)"
-ACTIVE = "(VALUES ('core', 'r0', 4), ('web', 'w9', 1)) AS active(domain, revision, generation)"
+#: Orders are sessions of their customers' domains, line items the batches that they sent.
+HEADERS = """(SELECT 's' || CAST(o_orderkey AS STRING) AS session, 'd' || CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS STRING) AS domain, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'r' || CAST((o_custkey + o_orderkey % 2) % 5 AS STRING) END AS base_revision,
+  'n' || CAST(o_orderkey AS STRING) AS revision, CAST(1 + o_orderkey % 2 AS INT) AS n_kinds, o_orderpriority = '5-LOW' AS aborted FROM orders) AS headers"""
+BATCHES = """(SELECT 's' || CAST(l_orderkey AS STRING) AS session, CASE WHEN l_suppkey % 2 = 0 THEN 'files' ELSE 'symbols' END AS kind, CAST(l_linenumber % 2 AS INT) AS ordinal, CASE WHEN l_quantity > 44 THEN 'x' ELSE 'b' END AS hash, CAST(l_quantity AS BIGINT) AS n_rows FROM lineitem) AS batches"""
+ACTIVE = """(SELECT 'd' || CAST(c_custkey AS STRING) AS domain, CASE WHEN c_custkey % 6 <> 0 THEN 'r' || CAST(c_custkey % 5 AS STRING) END AS revision, CAST(c_nationkey AS INT) AS generation FROM customer) AS active"""
 _STATES = f"""k AS (SELECT session, kind, count(DISTINCT ordinal) AS n, max(ordinal) AS last, bool_or(bad) AS bad, sum(rows_) AS n_rows FROM (SELECT session, kind, ordinal, count(DISTINCT hash) > 1 AS bad, max(n_rows) AS rows_ FROM {BATCHES} GROUP BY ALL) GROUP BY ALL),
   s AS (SELECT session, count(*) AS kinds, bool_or(n <> last + 1) AS gap, bool_or(bad) AS bad, sum(n_rows) AS n_rows FROM k GROUP BY session),
   states AS (SELECT h.session, h.domain, h.revision, CASE WHEN aborted THEN 'aborted' WHEN coalesce(bad, false) THEN 'batch_conflict' WHEN coalesce(gap, true) OR coalesce(kinds, 0) < n_kinds THEN 'gap' WHEN a.revision IS DISTINCT FROM base_revision THEN 'revision_conflict' ELSE 'ready' END AS state,
-    coalesce(n_rows, 0)::BIGINT AS n_rows FROM {HEADERS.replace('AS headers(', 'AS h(')} LEFT JOIN s ON s.session = h.session LEFT JOIN {ACTIVE.replace('AS active(', 'AS a(')} ON a.domain = h.domain)"""
+    coalesce(n_rows, 0)::BIGINT AS n_rows FROM {HEADERS.replace('AS headers', 'AS h')} LEFT JOIN s ON s.session = h.session LEFT JOIN {ACTIVE.replace('AS active', 'AS a')} ON a.domain = h.domain)"""
 
 
-def _sessions(spark: SparkSession) -> DataFrame:
-    headers = inline(spark, HEADERS).withColumn("kinds", F.slice(F.array(F.lit("files"), F.lit("symbols")), F.lit(1), F.col("n_kinds")))
-    return publication.session_states(headers, inline(spark, BATCHES), inline(spark, ACTIVE))
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = derived(spark, sf_dir, HEADERS).withColumn("kinds", F.slice(F.array(F.lit("files"), F.lit("symbols")), F.lit(1), F.col("n_kinds")))
+    return publication.session_states(headers, derived(spark, sf_dir, BATCHES), derived(spark, sf_dir, ACTIVE))
 
 
 @query(f"WITH {_STATES} SELECT * FROM states")
 def publication_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sessions(spark)
+    return _sessions(spark, sf_dir)
 
 
 @query(f"""WITH {_STATES}, w AS (SELECT domain, min_by(revision, session) AS fresh FROM states WHERE state = 'ready' GROUP BY domain)
-  SELECT coalesce(a.domain, w.domain) AS domain, coalesce(fresh, a.revision) AS revision, (coalesce(generation, 0) + (fresh IS NOT NULL)::INT)::INT AS generation FROM {ACTIVE.replace('AS active(', 'AS a(')} FULL JOIN w ON w.domain = a.domain""")
+  SELECT coalesce(a.domain, w.domain) AS domain, coalesce(fresh, a.revision) AS revision, (coalesce(generation, 0) + (fresh IS NOT NULL)::INT)::INT AS generation FROM {ACTIVE.replace('AS active', 'AS a')} FULL JOIN w ON w.domain = a.domain""")
 def publication_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publication.activate(_sessions(spark), inline(spark, ACTIVE))
+    return publication.activate(_sessions(spark, sf_dir), derived(spark, sf_dir, ACTIVE))
+
 
+_ROWS = """(SELECT 's' || CAST(p_partkey AS STRING) AS entity_id, 'f' || CAST(p_partkey % 23 AS STRING) AS path, CAST(p_size AS INT) AS start, CAST(p_size + p_partkey % 9 - 1 AS INT) AS stop FROM part
+  UNION ALL SELECT 's' || CAST(s_suppkey * 3 AS STRING), 'f1', 1, 1 FROM supplier) AS rows"""
+_ROW_FILES = "(SELECT 'f' || CAST(s_suppkey * 2 AS STRING) AS path FROM supplier) AS files"
+_ROW_ENDS = "(SELECT 's' || CAST(l_partkey AS STRING) AS src, 's' || CAST(l_partkey + l_suppkey AS STRING) AS dst FROM lineitem) AS ends"
 
-@query("SELECT * FROM (VALUES ('span', 's3'), ('file', 's2'), ('end', 's9')) AS v(rule, id)")
+
+@query(f"""SELECT 'span' AS rule, entity_id AS id FROM {_ROWS} WHERE start > stop OR start < 1 UNION ALL SELECT 'file', entity_id FROM {_ROWS} WHERE path NOT IN (SELECT path FROM {_ROW_FILES})
+  UNION ALL SELECT 'repeated', entity_id FROM {_ROWS} GROUP BY entity_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'end', id FROM (SELECT src AS id FROM {_ROW_ENDS} UNION ALL SELECT dst FROM {_ROW_ENDS}) WHERE id NOT IN (SELECT entity_id FROM {_ROWS})""")
 def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = spark.createDataFrame([("s1", "a.py", 1, 5), ("s2", "gone.py", 2, 3), ("s3", "a.py", 9, 4)], "entity_id string, path string, start int, stop int")
-    return publication.row_violations(symbols, spark.createDataFrame([("a.py",)], "path string"), spark.createDataFrame([("s1", "s9"), ("s1", "s2")], "src string, dst string"))
+    return publication.row_violations(derived(spark, sf_dir, _ROWS), derived(spark, sf_dir, _ROW_FILES), derived(spark, sf_dir, _ROW_ENDS))
+
+
+#: Events of a user are steps of a session in one of a few domains; a session has the name of the user's hundredth.
+_STEPS = """(SELECT 'd' || CAST(user_id % 5 AS STRING) AS domain, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'begin' WHEN 'purchase' THEN 'finalize' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'abort' ELSE 'renew' END ELSE 'batch' END AS op,
+  's' || CAST(user_id AS STRING) || '.' || CAST(event_id % 2 AS STRING) AS session, 'o' || CAST(user_id % 3 AS STRING) AS owner, 'r' || CAST(event_id AS STRING) AS revision, CAST(10 * (event_id % 3) AS BIGINT) AS expected,
+  'files' AS kind, CAST(user_id % 2 AS INT) AS ordinal, CASE WHEN event_type = 'view' THEN 'a' ELSE 'b' END AS hash, CAST(10 AS BIGINT) AS n_rows FROM events) AS steps"""
+
+
+@query()
+def publication_session_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to a stream of session steps; state machines with timers have no SQL, they are tested step by step."""
+    path = shared_path(spark, "sessions")
+    derived(spark, sf_dir, _STEPS).write.parquet(f"{path}/steps")
+    stream = spark.readStream.schema(sessions.EVENT).parquet(f"{path}/steps")
+    told = sessions.publication_sessions(stream, ttl=dt.timedelta(days=2), retention=dt.timedelta(days=1), delay="1 hour")
+    return sessions.answers(told, path)
 
 
 @query(f"""WITH RECURSIVE r AS (SELECT src, dst FROM {RELATIONS}), reach AS (SELECT 'o7' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM reach JOIN r ON src = node WHERE depth < 2)
