@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import changes, code, codegraph, context, corpus, evaluation, markdown, search, selectors, sweeps  # noqa: F401  (they register their queries)
+from . import changes, code, codegraph, context, corpus, evaluation, markdown, search, selectors, snapshots, sweeps  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_search"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.versioned import VersionedTable
+from ..sources.snapshots import Snapshots
+from ..sources.versioned import VersionedTable, staged
 
 
 def last_wins(stream: DataFrame, table: VersionedTable, key: str, seq: str, checkpoint: str) -> StreamingQuery:
@@ -28,6 +29,28 @@ def last_wins(stream: DataFrame, table: VersionedTable, key: str, seq: str, chec
     return stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
 
 
+def last_wins_buckets(stream: DataFrame, store: Snapshots, name: str, key: str, seq: str, checkpoint: str) -> StreamingQuery:
+    """``last_wins`` into a table of ``store``: a micro-batch reads and writes only the buckets that hold its keys.
+
+    The manifest names the batch that it came from, so a batch that is run again after its commit changes nothing. The
+    store must have no other writer.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        base = store.manifest()
+        if base["note"].get("batch", -1) >= number:
+            return
+        rows = staged(batch.filter(F.col(key).isNotNull() & F.col(seq).isNotNull()))
+        before = store.read(base, name)
+        both = rows if before is None else rows.unionByName(before.join(rows.select(key).distinct(), key, "left_semi").select(rows.columns))
+        order = F.struct(F.col(seq), *[F.col(c) for c in both.columns if c not in (key, seq)])
+        newest = both.groupBy(key).agg(F.max(order).alias("_row"))
+        newest = newest.select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in both.columns])
+        store.commit(base, {name: store.replaced(base, name, key, newest)}, note={"batch": number})
+
+    return stream.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+
+
 def distinct_batches(stream: DataFrame, identity: list[str], ts: str, delay: str) -> DataFrame:
     """One row per identity within ``delay`` of event time: a batch that is sent again is dropped, and old state expires."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(identity)
