@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Headings that hold links or the overview, page types, states and limits of the page format.
-RESERVED = ("related", "external links", "references", "see also")
+RESERVED = ("outgoing links", "external links")
 OVERVIEW = "overview"
-TYPES = ("concept", "how-to", "reference", "decision", "runbook", "overview")
-STATES = ("draft", "active", "deprecated", "archived")
-DEFAULT_TYPE, DEFAULT_STATE, MAX_TAGS, LEAD_MAX = "concept", "active", 5, 400
+TYPES = ("architecture", "api", "guide", "reference", "runbook", "concept")
+STATES = ("stub", "developing", "stable", "deprecated")
+DEFAULT_TYPE, DEFAULT_STATE, MAX_TAGS, LEAD_MAX = "concept", "stub", 5, 250
 KEYS = ("type", "title", "description", "status", "tags", "source", "updated")
 
 _H2 = r"(?md)(?=^##[ \t]+\S)"
@@ -113,7 +113,8 @@ def page_findings(text: Column) -> Column:
     pre = F.get(F.split(body, _H2), F.lit(0))
     pre = F.when(F.startswith(pre, F.lit("##")), F.lit("")).otherwise(pre)
     prose = F.filter(own, lambda s: ~F.lower(s["heading"]).isin(*RESERVED))
-    lead = lambda s: collapse(F.regexp_extract(s["body"], r"(?s)\A\s*(.*?)(?:\n[ \t]*\n|\z)", 1))
+    # the first paragraph, its lines trimmed and joined
+    lead = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_extract(s["body"], r"(?s)\A\s*(.*?)(?:\n\s*\n|\z)", 1), r"\s*\n\s*", " "), r"\s+$", "")
     finding = lambda name, severity, detail="": F.struct(F.lit(name).alias("finding"), F.lit(severity).alias("severity"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
     one = lambda cond, *what: F.when(cond, F.array(finding(*what))).otherwise(F.array().cast("array<struct<finding:string,severity:string,detail:string>>"))
     known = F.size(F.map_keys(meta)) > 0
@@ -123,7 +124,7 @@ def page_findings(text: Column) -> Column:
         F.transform(F.filter(prose, lambda s: lead(s) == ""), lambda s: finding("missing_lead", "advisory", s["heading"])),
         F.transform(F.filter(prose, lambda s: F.length(lead(s)) > LEAD_MAX), lambda s: finding("long_lead", "advisory", s["heading"])),
         one(known & (_text(meta["type"]) == ""), "missing_type", "advisory"),
-        one(known & (_text(meta["type"]) != "") & ~page_type(meta["type"]).isin(*TYPES), "unknown_type", "advisory", meta["type"]),
+        one(known & (_text(meta["type"]) != "") & ~meta["type"].isin(*TYPES), "unknown_type", "advisory", meta["type"]),
         one(known & (_text(meta["description"]) == ""), "missing_description", "advisory"),
         one(known & (_text(meta["status"]) != "") & ~page_state(meta["status"]).isin(*STATES), "unknown_status", "advisory", meta["status"]),
     )

@@ -61,19 +61,19 @@ def test_code_is_masked():
 
 
 def test_section_edits(spark):
-    page = "# T\n\n## One\n\nfirst\n\n## Two\n\nsecond\n\n## Related\n\n- x\n"
+    page = "# T\n\n## One\n\nfirst\n\n## Two\n\nsecond\n\n## External links\n\n- x\n"
     pages = spark.createDataFrame([(k, page) for k in "abcdefghijk"] + [("null", None)], "slug string, markdown string")
     edits = [
         ("a", "replace", "## One", "new\n", None, None), ("b", "replace", "One", "x", None, "0" * 16), ("c", "insert", "Three", "third", "One", None), ("d", "insert", "two", "again", None, None),
-        ("e", "delete", "One", None, None, None), ("f", "delete", "Related", None, None, None), ("g", "move", "Two", None, None, None), ("h", "move", "One", None, "Two", None),
+        ("e", "delete", "One", None, None, None), ("f", "delete", "External links", None, None, None), ("g", "move", "Two", None, None, None), ("h", "move", "One", None, "Two", None),
         ("i", "replace", "None", "x", None, None), ("j", "replace", "One", "## bad", None, None), ("k", "insert", "Nine", "n", "Lost", None), ("null", "insert", "First", "text", None, None),
     ]
     got = {r["slug"]: (r["status"], r["markdown"]) for r in markdown.edit_sections(pages, spark.createDataFrame(edits, "slug string, op string, heading string, body string, target string, expected string")).collect()}
-    assert got["a"] == ("ok", "# T\n\n## One\n\nnew\n\n## Two\n\nsecond\n\n## Related\n\n- x\n")
-    assert got["c"] == ("ok", "# T\n\n## One\n\nfirst\n\n## Three\n\nthird\n\n## Two\n\nsecond\n\n## Related\n\n- x\n")
-    assert got["e"] == ("ok", "# T\n\n## Two\n\nsecond\n\n## Related\n\n- x\n")
-    assert got["g"] == ("ok", "# T\n\n## One\n\nfirst\n\n## Related\n\n- x\n\n## Two\n\nsecond\n\n")
-    assert got["h"] == ("ok", "# T\n\n## Two\n\nsecond\n\n## One\n\nfirst\n\n## Related\n\n- x\n")
+    assert got["a"] == ("ok", "# T\n\n## One\n\nnew\n\n## Two\n\nsecond\n\n## External links\n\n- x\n")
+    assert got["c"] == ("ok", "# T\n\n## One\n\nfirst\n\n## Three\n\nthird\n\n## Two\n\nsecond\n\n## External links\n\n- x\n")
+    assert got["e"] == ("ok", "# T\n\n## Two\n\nsecond\n\n## External links\n\n- x\n")
+    assert got["g"] == ("ok", "# T\n\n## One\n\nfirst\n\n## External links\n\n- x\n\n## Two\n\nsecond\n\n")
+    assert got["h"] == ("ok", "# T\n\n## Two\n\nsecond\n\n## One\n\nfirst\n\n## External links\n\n- x\n")
     assert {k: got[k][0] for k in "bdfijk"} == {"b": "conflict", "d": "collision", "f": "reserved", "i": "missing", "j": "nested", "k": "missing"}
     assert all(got[k][1] == page for k in "bdfijk")
 
@@ -81,8 +81,10 @@ def test_section_edits(spark):
 def test_conforming_twice_changes_nothing(spark):
     from kbspark.plans.markdown import pages
 
-    once = markdown.conformed_pages(pages(spark)).withColumnRenamed("rewritten", "markdown")
-    assert once.count() == 5 and markdown.conformed_pages(once).count() == 0
+    from kbspark.sources.versioned import staged
+
+    once = staged(markdown.conformed_pages(pages(spark, "/root/testdata/sf0.001")).withColumnRenamed("rewritten", "markdown"))
+    assert once.count() == 200 and markdown.conformed_pages(once).count() == 0
 
 
 def test_globs():
@@ -203,3 +205,64 @@ def test_star_imports_pass_names_on(spark):
     got = {r["name"]: r["target"] for r in aliases.filter("state = 'resolved'").collect()}
     assert got["p.a.mine"] == "p.b.own" and got["p.a.far"] == "p.c.far" and got["p.a.own"] == "p.b.own" and got["p.b._hidden"] == "p.c._hidden"
     assert "p.a.kept" not in got and "p.a._private" not in got and "p.a._hidden" not in got
+
+
+def test_edits_see_those_before_them(spark):
+    page = "# T\n\n## One\n\nfirst\n\n## Two\n\nsecond\n"
+    pages = spark.createDataFrame([("a", page), ("still", page), ("null", None), ("empty", "")], "slug string, markdown string")
+    edits = [
+        ("a", 2, "replace", "New", "changed", None, None, None, "Newer"),
+        ("a", 1, "insert", "New", "made", None, None, "Two", None),
+        ("a", 3, "replace", "New", "gone by that name", None, None, None, None),
+        ("a", 4, "move", "One", None, None, None, None, None),
+        ("a", 5, "insert", "Both", "x", "One", None, "Two", None),
+        ("a", 6, "replace", "Two", "x", None, None, None, "One"),
+        ("a", 7, "odd", "Two", None, None, None, None, None),
+        ("null", 1, "insert", "X", "y", None, None, None, None),
+        ("empty", 1, "insert", "X", "y", None, None, None, None),
+        ("absent", 1, "delete", "X", None, None, None, None, None),
+        (None, 1, "delete", "X", None, None, None, None, None),
+    ]
+    table = spark.createDataFrame(edits, "slug string, seq int, op string, heading string, body string, target string, expected string, before string, new_heading string")
+    got = {r["slug"]: (r["markdown"], [tuple(a) for a in r["answers"]]) for r in markdown.fold_edits(pages, table).collect()}
+    assert got["a"] == ("# T\n\n## Newer\n\nchanged\n\n## Two\n\nsecond\n\n## One\n\nfirst\n\n", [(1, "ok"), (2, "ok"), (3, "missing"), (4, "ok"), (5, "ambiguous"), (6, "collision"), (7, "unknown")])
+    assert got["still"] == (page, []) and got["absent"][1] == [(1, "missing")] and got["absent"][0] is None
+    assert got["empty"] == ("## X\n\ny\n\n", [(1, "ok")]) and set(got) == {"a", "still", "null", "empty", "absent"}
+
+
+def test_a_fold_is_one_edit_after_the_other(spark):
+    import random
+
+    rng = random.Random(5)
+    page = "# T\n" + "".join(f"## S{i}\n\nbody {i}\n" for i in range(4))
+    name = lambda: rng.choice(["S0", "S1", "S2", "S3", "S4", "## S5"])
+    edits = [(f"p{p}", k, rng.choice(["replace", "insert", "delete", "move"]), name(), rng.choice(["new", "## bad", None]), rng.choice([None, name()]), None) for p in range(12) for k in range(5)]
+    schema = "slug string, seq int, op string, heading string, body string, target string, expected string"
+    pages = spark.createDataFrame([(f"p{p}", page) for p in range(12)], "slug string, markdown string")
+    folded = {r["slug"]: (r["markdown"], [a["status"] for a in r["answers"]]) for r in markdown.fold_edits(pages, spark.createDataFrame(edits, schema)).collect()}
+    now, told = pages, {f"p{p}": [] for p in range(12)}
+    for k in range(5):
+        step = markdown.edit_sections(now, spark.createDataFrame([e for e in edits if e[1] == k], schema)).collect()
+        for r in step:
+            told[r["slug"]].append(r["status"])
+        now = spark.createDataFrame([(r["slug"], r["markdown"]) for r in step], "slug string, markdown string")
+    assert folded == {r["slug"]: (r["markdown"], told[r["slug"]]) for r in now.collect()} and "ok" in sum(told.values(), [])
+
+
+def test_links_are_rewritten_in_place(spark):
+    page = "[old.md](old.md) [é](./old#A) ![i](old.md) `[c](old.md)` [[ old ]] [[old#H|l]] [[old.md]] [x](https://e.org/old.md) [o](older.md)\n```\n[[old]]\n```\n[two](dir/b)"
+    pages = spark.createDataFrame([("a", page), ("none", "no links"), ("null", None), ("a", "[x](old)")], "slug string, markdown string")
+    moves = spark.createDataFrame([("old", "new/place"), ("dir/b", "c"), ("dir/b", "d"), ("older", "older"), (None, "x")], "old string, new string")
+    got = [(r["slug"], r["changed"], r["markdown"]) for r in markdown.rewrite_links(pages.filter("markdown is null or markdown not like '%(old)'"), moves).collect()]
+    want = "[old.md](new/place.md) [é](new/place.md#A) ![i](old.md) `[c](old.md)` [[new/place]] [[new/place#H|l]] [[new/place]] [x](https://e.org/old.md) [o](older.md)\n```\n[[old]]\n```\n[two](c.md)"
+    assert sorted(got, key=str) == sorted([("a", 6, want), ("none", 0, "no links"), ("null", 0, None)], key=str)
+    assert markdown.rewrite_links(pages.limit(0), moves).count() == 0
+
+
+def test_old_links_become_markdown(spark):
+    page = "[[a]] [[a#Some Part]] [[a#P|label]] [[b|é]] `[[c]]` [m](x.md)"
+    pages = spark.createDataFrame([("s", page), ("t", None)], "slug string, markdown string")
+    once = markdown.modern_links(pages)
+    got = {r["slug"]: (r["changed"], r["markdown"]) for r in once.collect()}
+    assert got == {"s": (4, "[a](a.md) [Some Part](a.md#some-part) [label](a.md#p) [é](b.md) `[[c]]` [m](x.md)"), "t": (0, None)}
+    assert markdown.modern_links(once.drop("changed")).filter("changed > 0").count() == 0
