@@ -27,11 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def inline(spark: SparkSession, fixture: str) -> DataFrame:
-    """A small fixture, written once as a VALUES relation that both engines read."""
-    return spark.sql(f"SELECT * FROM {fixture}")
-
-
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 _FROM = re.compile(rf"\b(FROM|JOIN) ({TABLES.replace(' ', '|')})\b")
 

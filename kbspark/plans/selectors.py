@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import publication, quality
 from ..operators import selectors as s
-from .registry import inline, query, table
+from .registry import derived, query, table
 
 # Customers play the files, in a folder for each nation; orders the symbols, of which some share a name; suppliers the pages.
 
@@ -60,14 +60,16 @@ def selector_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.findings(named, files, symbols, ["build/"], _links(spark, sf_dir).filter("page % 5 <> 0"))
 
 
-IGNORED = "(VALUES ('build/x.py', true), ('src/build/x.py', true), ('build', false), ('a.log', true), ('x/a.log', true), ('keep.log', false), ('x/keep.log', false), ('docs/a.md', true), ('x/docs/a.md', false), ('docs', true), ('tmp/a', true), ('tmp', false), ('x/tmp/a', false), (NULL, false)) AS ignored(path, ignored)"
+_C = "CAST(c_custkey AS STRING)"
+SOME_FILES = f"""(SELECT CASE c_custkey % 14 WHEN 0 THEN 'build/x' || {_C} || '.py' WHEN 1 THEN 'src/build/x' || {_C} WHEN 2 THEN 'build' WHEN 3 THEN 'a' || {_C} || '.log' WHEN 4 THEN 'x/a' || {_C} || '.log' WHEN 5 THEN 'keep.log' WHEN 6 THEN 'x' || {_C} || '/keep.log' WHEN 7 THEN 'docs/a' || {_C} || '.md'
+  WHEN 8 THEN 'x/docs/a' || {_C} WHEN 9 THEN 'docs' WHEN 10 THEN 'tmp/a' || {_C} WHEN 11 THEN 'tmp' WHEN 12 THEN 'build/x' || {_C} || '/keep.log' END AS path FROM customer) AS paths"""
 
 
-@query(f"SELECT * FROM {IGNORED}")
+@query(f"""SELECT path, coalesce(CASE WHEN regexp_matches(path, '^tmp/.') THEN true WHEN regexp_matches(path, '^docs(/|$)') THEN true WHEN regexp_matches(path, '(^|/)keep[.]log(/|$)') THEN false WHEN regexp_matches(path, '(^|/)[^/]*[.]log(/|$)') THEN true ELSE regexp_matches(path, '(^|/)build/') END, false) AS ignored FROM {SOME_FILES}""")
 def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ignore file's lines, the last match winning, against values worked out by hand."""
+    """An ignore file's lines, the last match winning; the SQL asks for the lines from the last to the first."""
     lines = ["# comment", "", "build/", "*.log", "!keep.log", "/docs", "tmp/**"]
-    return inline(spark, IGNORED).select("path", paths.is_ignored(F.col("path"), lines).alias("ignored"))
+    return derived(spark, sf_dir, SOME_FILES).select("path", paths.is_ignored(F.col("path"), lines).alias("ignored"))
 
 
 _ROW = """SELECT 'customer' AS kind, c_custkey::VARCHAR AS id, to_json({'c_acctbal': c_acctbal, 'c_custkey': c_custkey, 'c_name': c_name}) AS json FROM customer UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, to_json({'s_name': s_name, 's_suppkey': s_suppkey}) FROM supplier"""
@@ -94,11 +96,12 @@ def domain_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.set_revision(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), by=("source",))
 
 
-JSONL = """(VALUES ('{"op":"ingest","page":"a","ts":3}'), ('{"op":"delete","page":"b","ts":4}'), ('not json'), ('{"op":'), (''), (NULL), ('{"page":"c"}')) AS log(line)"""
+_E = "CAST(event_id AS STRING)"
+JSONL = f"""(SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{{"op":"', event_type) WHEN 2 THEN '' WHEN 3 THEN concat('{{"page":"p', {_E}, '"}}') WHEN 4 THEN NULL ELSE concat('{{"op":"', event_type, '","page":"p', {_E}, '","ts":', CAST(user_id AS STRING), '}}') END AS line FROM events) AS log"""
 
 
-@query("""SELECT * FROM (VALUES ('ingest', 'a', 3::BIGINT, '- ingest: a'), ('delete', 'b', 4, '- delete: b')) AS t(op, page, ts, line)""")
+@query("""SELECT event_type AS op, 'p' || event_id AS page, user_id AS ts, '- ' || event_type || ': p' || event_id AS line FROM events WHERE event_id % 7 > 4""")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of JSON lines read with broken ones left out, and the line that each record is shown as."""
-    read = inline(spark, JSONL).select(F.from_json("line", "op string, page string, ts long").alias("r")).select("r.*").filter("op is not null and page is not null")
+    read = derived(spark, sf_dir, JSONL).select(F.from_json("line", "op string, page string, ts long").alias("r")).select("r.*").filter("op is not null and page is not null")
     return read.withColumn("line", F.concat(F.lit("- "), "op", F.lit(": "), "page"))
