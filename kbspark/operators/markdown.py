@@ -166,7 +166,9 @@ def conformed_pages(pages: DataFrame, key: str = "slug", text: str = "markdown")
         "updated": value("updated"),
     }
     full = F.create_map(*[x for k, v in made.items() for x in (F.lit(k), v)])
-    return own.select(key, text, md.render(full, F.col("b")).alias("rewritten")).filter(F.col("rewritten") != F.coalesce(text, F.lit(""))).drop(text)
+    # Behind a generator the comparison stays above what it compares; pushed down, it would make all of it anew for each use.
+    both = F.explode(F.array(F.struct(F.coalesce(text, F.lit("")).alias("was"), md.render(full, F.col("b")).alias("rewritten"))))
+    return own.select(key, both.alias("r")).filter("r.rewritten <> r.was").select(key, "r.rewritten")
 
 
 _FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})([^\n]*)")
