@@ -242,8 +242,8 @@ def _found(pages: DataFrame, key: str, text: str, find, schema: str) -> DataFram
 
 def link_targets(pages: DataFrame, key: str = "slug", text: str = "markdown") -> DataFrame:
     """Distinct links of each page: target page (the page itself for a bare fragment), anchor, first position, old form."""
-    rows = _found(pages, key, text, page_links, "at int, page string, fragment string, legacy boolean")
-    page = F.when(F.col("page") == "", F.col(key)).otherwise(F.col("page"))
+    rows = _found(pages, key, text, page_links, "at int, _named string, fragment string, legacy boolean")
+    page = F.when(F.col("_named") == "", F.col(key)).otherwise(F.col("_named"))
     rows = rows.select(key, page.alias("target"), slugify(F.col("fragment")).alias("anchor"), "at", "legacy")
     return rows.groupBy(key, "target", "anchor").agg(F.min("at").alias("at"), F.max("legacy").alias("legacy"))
 
@@ -274,7 +274,7 @@ def link_spans(text: str | None) -> list[tuple[int, int, str, str, str, bool]]:
     return found
 
 
-_SPAN = "start int, stop int, page string, rest string, label string, legacy boolean"
+_SPAN = "start int, stop int, _named string, rest string, label string, legacy boolean"
 
 
 def spliced(pages: DataFrame, spans: DataFrame, key: str = "slug", text: str = "markdown") -> DataFrame:
@@ -299,7 +299,7 @@ def rewrite_links(pages: DataFrame, moves: DataFrame, key: str = "slug", text: s
     new places of one page the first by name counts, and a move onto itself is none.
     """
     once = moves.filter("old is not null and new is not null and old <> new").groupBy("old").agg(F.min("new").alias("new"))
-    spans = _found(pages, key, text, link_spans, _SPAN).join(once, F.col("page") == F.col("old"))
+    spans = _found(pages, key, text, link_spans, _SPAN).join(once, F.col("_named") == F.col("old"))
     new = F.when(F.col("legacy"), F.col("new")).otherwise(F.concat("new", F.lit(".md")))
     return spliced(pages, spans.select(key, "start", "stop", new.alias("new")), key, text)
 
@@ -311,9 +311,9 @@ def modern_links(pages: DataFrame, key: str = "slug", text: str = "markdown") ->
     """
     spans = _found(pages, key, text, link_spans, _SPAN).filter("legacy")
     heading = F.trim(F.substr(F.col("rest"), F.lit(2)))
-    shown = F.coalesce(F.nullif("label", F.lit("")), F.nullif(heading, F.lit("")), F.col("page"))
+    shown = F.coalesce(F.nullif("label", F.lit("")), F.nullif(heading, F.lit("")), F.col("_named"))
     anchor = F.when(heading != "", F.concat(F.lit("#"), slugify(heading))).otherwise("")
-    whole = F.concat(F.lit("["), shown, F.lit("]("), "page", F.lit(".md"), anchor, F.lit(")"))
+    whole = F.concat(F.lit("["), shown, F.lit("]("), "_named", F.lit(".md"), anchor, F.lit(")"))
     # the whole of [[...]]: the name begins behind two brackets, the rest and a label end before two
     stop = F.position(F.lit("]]"), F.col("_text"), F.col("stop") + 1) + 1
     j = spans.join(pages.select(key, F.col(text).alias("_text")), key)
