@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.versioned import shared_path
+from ..sources.snapshots import Snapshots
+from ..sources.versioned import shared_path, staged
+from .quality import set_revision
 
 #: Bytes of rows in one sorted range.
 RANGE_BYTES = 128 << 20
@@ -110,3 +112,26 @@ def snapshot_batches(rows: DataFrame, max_rows: int, max_bytes: int) -> DataFram
     offsets = made.groupBy("kind", "place").agg(F.count("*").alias("n"), F.min("at").alias("first")).withColumn("before", F.coalesce(before, F.lit(0)))  # a row for each range
     numbered = made.join(offsets, ["kind", "place"])
     return numbered.select("kind", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("ordinal"), "n_rows", "n_bytes", "hash", "payload")
+
+
+def publish_graph(store: Snapshots, files: DataFrame, symbols: DataFrame, relations: DataFrame) -> tuple[dict, DataFrame]:
+    """Make ``files(path, ..)``, ``symbols(entity_id, path, start, stop, ..)`` and ``relations(src, dst, ..)`` current, all
+    three in one version, with the revision of what they hold in its note; returns the version and what is wrong.
+
+    Rows that break a rule (``row_violations``) refuse the whole: the version stays the one before. Relations are kept by
+    their source, so those of a symbol are replaced together; what is not among the new rows goes.
+    """
+    base = store.manifest()
+    wrong = staged(row_violations(symbols, files, relations))
+    if not wrong.isEmpty():
+        return base, wrong
+    tables = {}
+    for name, key, rows in (("files", "path", files), ("symbols", "entity_id", symbols), ("relations", "src", relations)):
+        old = store.read(base, name)
+        gone = None if old is None else old.select(key).distinct().join(rows.select(key).distinct(), key, "left_anti")
+        tables[name] = store.replaced(base, name, key, rows, gone)
+    whole = {"tables": tables}
+    line = lambda t: F.to_json(F.struct(*sorted(store.read(whole, t).columns)))
+    parts = [set_revision(store.read(whole, t).withColumn("_line", line(t)), "_line", F.lit(t)).first() for t in ("files", "symbols", "relations")]
+    revision = hashlib.sha256(":".join(p["revision"] for p in parts).encode()).hexdigest()
+    return store.commit(base, tables, note={"revision": revision, "counts": {t: p["n_rows"] for t, p in zip(("files", "symbols", "relations"), parts, strict=True)}}), wrong

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import term_score
 from ..functions.vectors import cosine
+from ..sources.versioned import staged
 
 #: The smoothing constant of reciprocal-rank fusion and the least candidate pool.
 RRF_K, POOL = 60, 32
@@ -75,3 +76,40 @@ def metrics_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     out = cases.join(ideal, "case_id", "left").join(got, "case_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
     return out.select("case_id", zero(F.col("n") / F.col("all")).alias("recall"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("dcg") / F.col("best")).alias("ndcg"))
+
+
+#: Sections that one call of ``related`` may ask for: their vectors go to every task.
+MAX_TARGETS = 2000
+
+
+def related(records: DataFrame, targets: DataFrame, links: DataFrame, k: int, depth: int) -> DataFrame:
+    """What is related to each of ``targets(section)``: ``(target, source, item, score, place)``.
+
+    ``records(section, page, kind, embedding)`` may hold several vectors of a section, of which the best counts; summaries
+    (any other ``kind`` than ``section``) are no neighbours. Sections come by cosine, rounded to four digits, then by name.
+    A target that has no vector neighbour gets the pages within ``depth`` links of its page instead, the nearest first.
+    Targets without a record have nothing. At most ``MAX_TARGETS`` targets, which is checked, are compared with all records.
+    """
+    asked = targets.select(F.col("section").alias("target")).distinct()
+    if asked.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError(f"over {MAX_TARGETS} targets")
+    own = records.join(asked, records["section"] == asked["target"]).groupBy("target").agg(F.min(F.struct("page", F.col("embedding"))).alias("r")).select("target", F.col("r.page").alias("home"), F.col("r.embedding").alias("wanted"))
+    others = records.filter("kind = 'section' and embedding is not null").select("section", "embedding")
+    pairs = others.join(F.broadcast(own.filter("wanted is not null")), F.col("section") != F.col("target"))  # bounded above
+    best = pairs.groupBy("target", "section").agg(F.max(F.round(cosine(F.col("embedding"), F.col("wanted")), 4)).alias("score"))
+    order = Window.partitionBy("target").orderBy(F.desc("score"), "section")
+    near = best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("target", F.lit("vector").alias("source"), F.col("section").alias("item"), "score", "place")
+
+    left = own.join(near.select("target").distinct(), "target", "left_anti").select("target", F.col("home").alias("item"))
+    level, reached = left, None
+    for step in range(1, depth + 1):
+        next_ = level.join(links.select(F.col("source").alias("item"), F.col("target").alias("_to")), "item").select("target", F.col("_to").alias("item")).distinct()
+        if reached is not None:
+            next_ = next_.join(reached.select("target", "item"), ["target", "item"], "left_anti")
+        level = staged(next_.withColumn("step", F.lit(step)))
+        reached = level if reached is None else reached.unionByName(level)
+        level = level.select("target", "item")
+    if reached is None:
+        return near
+    walk = Window.partitionBy("target").orderBy("step", "item")
+    return near.unionByName(reached.select("target", F.lit("graph").alias("source"), "item", F.lit(None).cast("double").alias("score"), F.row_number().over(walk).alias("place")))
