@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 from typing import NamedTuple
@@ -24,7 +25,7 @@ from .common import slices
 
 #: Elements whose content is never text; that of the first four is no markup either.
 RAW = "script style textarea title".split()
-DROPPED = frozenset([*RAW, *"noscript template svg math select button object iframe canvas audio video datalist".split()])
+DROPPED = frozenset([*RAW, *"noscript template svg select button object iframe canvas audio video datalist".split()])
 #: Elements that a block does not reach across.
 BLOCK_TAGS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3
@@ -38,25 +39,26 @@ BOILERPLATE_TAGS = frozenset("aside dialog footer head header menu nav search".s
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 #: What a class or id may call an element. The first mark it clearly, also around or on an article.
 CLEAR_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist consent cookie cookies disqus
-    newsletter paywall popup promo promotion replies respond signup sponsor sponsored subscribe subscription""".split()
+    """ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist consent cookie disqus
+    newsletter paywall popup promo replies respond signup sponsor sponsored subscribe""".split()
 )
 HINT_WORDS = frozenset(
-    """alert alerts banner breadcrumb breadcrumbs copyright disclaimer dropdown feedback foot footer form gdpr head header hidden login
-    masthead menu menubar modal nav navbar navigation notice notification overlay pager pagination related search share sharing sidebar skip
-    social toolbar topbar warning widget""".split()
+    """alert alerts banner breadcrumb breadcrumbs cookies copyright disclaimer dropdown feedback foot footer form gdpr head header hidden login
+    masthead menu menubar modal nav navbar navigation notice notification overlay pager pagination promotion related search share sharing sidebar skip
+    social subscription toolbar topbar warning widget""".split()
 )
 #: Words that only say that an element holds something; the word before them names it.
 NEUTRAL_WORDS = frozenset(
     "area articles bar block body bottom box buttons col column container content group holder inner item items left links list main outer panel posts right row section slot stories text thread top unit wrap wrapper zone".split()
 )
 _HEADERS = frozenset({"header", "head"})
+#: Whose header is part of the text, where a name says it.
+OWN_HEADERS = frozenset("article content entry page post story".split())
 CLEAR, HINT = 2.0, 1.0
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{'|'.join(RAW)})\b[^>]*+(?<!/)>(?:(?!<(?:{'|'.join(RAW)})\b).)*?</(?:{'|'.join(RAW)})\s*>|<[!?][^>]*+>"
-    r"""|<(/?)([a-z][^\s/>]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*+)([^>]*+)>""",
-    re.I | re.S,
-)
+_RAW = "|".join(RAW)
+_SPECIAL = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:{_RAW})\b[^>]*+(?<!/)>(?:(?!<(?:{_RAW})\b).)*?</(?:{_RAW})\s*>|<[!?][^>]*+>", re.I | re.S)
+_QUOTED = re.compile(r"""<(/?)([a-z][^\s/>]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>""", re.I | re.S)
+_PLAIN = re.compile(r"<(/?)([a-z][^\s/>]*+)([^>]*+)>", re.I | re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -79,6 +81,8 @@ def _named(name: str, allowed: frozenset) -> float:
     while len(words) > 1 and words[-1] in NEUTRAL_WORDS:
         words.pop()
     word = words[-1]
+    if word in _HEADERS and words[0] in OWN_HEADERS:
+        return 0.0
     return 0.0 if word in allowed else CLEAR if word in CLEAR_WORDS else HINT if word in HINT_WORDS else 0.0
 
 
@@ -100,16 +104,44 @@ def _mark(tag: str, attributes: str, in_article: bool) -> float:
     return mark if tag != "article" or mark == CLEAR else 0.0
 
 
-def _unclosed(tokens: list[re.Match]) -> set[int]:
+class Token(NamedTuple):
+    """A tag, or with an empty name a comment, a declaration or an element whose content is no text."""
+
+    start: int
+    stop: int
+    ends: bool
+    tag: str
+    attributes: str
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """The tags of a page in order, in time that grows with the page: quotes that nothing closes are read as far as the
+    next ``>``, and once such searches have passed over the page four times, quotes mean nothing."""
+    end, at, passed = page.rfind(">") + 1, 0, 0
+    while (at := page.find("<", at, end)) >= 0:
+        m = _SPECIAL.match(page, at, end)
+        if m:
+            yield Token(at, m.end(), False, "", "")
+            at = m.end()
+            continue
+        m = _QUOTED.match(page, at, end) if passed <= 4 * end else None
+        if m is None:
+            m = _PLAIN.match(page, at, end)
+            passed += end - at if m else 0
+        if m:
+            yield Token(at, m.end(), bool(m[1]), m[2].lower(), m[3])
+        at = m.end() if m else at + 1
+
+
+def _unclosed(found: list[Token]) -> set[int]:
     """Places of the start tags of dropped elements that no end tag closes."""
     opened: dict[str, list[int]] = {}
-    for m in tokens:
-        tag = (m[2] or m[5] or "").lower()
-        if tag in DROPPED:
-            if not (m[1] or m[4]):
-                opened.setdefault(tag, []).append(m.start())
-            elif opened.get(tag):
-                opened[tag].pop()
+    for t in found:
+        if t.tag in DROPPED:
+            if not t.ends:
+                opened.setdefault(t.tag, []).append(t.start)
+            elif opened.get(t.tag):
+                opened[t.tag].pop()
     return {at for places in opened.values() for at in places}
 
 
@@ -124,8 +156,9 @@ def flat_blocks(page: str) -> list[Block]:
     linked: list[str] = []
     # of open elements: tag, and the state outside: whether text is dropped, in an article, mark, links, form
     stack: list[tuple] = []
-    tokens = list(_TOKEN.finditer(page))
-    open_ended = _unclosed(tokens)
+    opened: Counter = Counter()  # of the tags on the stack, so that a stray end tag does not search it
+    found = list(tokens(page))
+    open_ended = _unclosed(found)
     dropped = in_article = loose = False
     mark, links, form, at = 0.0, 0, -1, 0
     forms: list[list[int]] = []  # controls and words
@@ -139,27 +172,35 @@ def flat_blocks(page: str) -> list[Block]:
         text.clear()
         linked.clear()
 
-    for m in tokens:
-        if m.start() > at and not dropped and not loose:
-            text.append(page[at : m.start()])
+    def enter(tag: str) -> None:
+        stack.append((tag, dropped, in_article, mark, links, form))
+        opened[tag] += 1
+
+    def leave(depth: int) -> tuple:
+        outside = stack[depth]
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
+        return outside
+
+    for start, stop, ends, tag, attributes in found:
+        if start > at and not dropped and not loose:
+            text.append(page[at:start])
             if links:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+                linked.append(page[at:start])
+        at = stop
         if not tag:
             continue
-        ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in CONTROLS and not ends and form >= 0:
             forms[form][0] += 1
         if tag in DROPPED:
             if not ends and not attributes.endswith("/"):
-                if m.start() in open_ended:
+                if start in open_ended:
                     loose = True
                 else:
-                    stack.append((tag, dropped, in_article, mark, links, form))
+                    enter(tag)
                     dropped = True
             elif ends and stack and stack[-1][0] == tag:
-                dropped = stack.pop()[1]
+                dropped = leave(len(stack) - 1)[1]
         elif tag == "a":
             links = 0 if ends else 1
         elif tag == "br":
@@ -167,23 +208,22 @@ def flat_blocks(page: str) -> list[Block]:
             linked.append(" ")
         elif tag in BLOCK_TAGS:
             if dropped and not ends:
-                stack.append((tag, dropped, in_article, mark, links, form))
+                enter(tag)
                 continue
             loose = False
             depth = None
             if ends:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag) if opened[tag] else None
                 if depth is None and dropped:
                     continue
             elif stack and stack[-1][0] in LEAVES:
                 depth = len(stack) - 1  # a new block ends a paragraph
             close()
             if depth is not None:
-                _, dropped, in_article, mark, links, form = stack[depth]
-                del stack[depth:]
+                _, dropped, in_article, mark, links, form = leave(depth)
             if not ends:
                 if tag != "hr":
-                    stack.append((tag, dropped, in_article, mark, links, form))
+                    enter(tag)
                 if tag in ("article", "main") and not in_article and mark == HINT:
                     mark = 0.0  # hints outside do not reach into an article
                 mark = max(mark, _mark(tag, attributes, in_article)) if tag != "hr" else mark

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -578,3 +579,22 @@ def test_every_page_against_a_slow_parser(spark):
     got = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(pages).collect()}
     rows = pages.collect()
     assert len(rows) == len(got) and all(got[r["page_id"]] == "\n".join(SlowPage(r["html"] or "").out) for r in rows)
+
+
+def test_broken_pages_take_no_longer():
+    """Pages of about a megabyte that a search anew from every tag would take hours for."""
+    start = time.time()
+    for bad in ("<a " * 350_000, '<a x="' * 200_001 + ">", '<a x=">' * 150_000, "<!" * 500_000, "<script " * 100_000, "<script><style>" * 60_000, "<!--" * 200_000, "<a '\">\"'\">" * 80_000, "<div>" * 100_000 + "</p>" * 100_000):
+        html_extraction.flat_blocks(bad)
+    assert time.time() - start < 30
+
+
+def test_names_that_only_look_like_adverts():
+    tree = html_extraction.grow_tree(*html_extraction.labelled_table())
+    words = lambda page: len(html_extraction.main_text(page, tree).split())
+    prose = lambda n: " ".join(["word"] * n)
+    assert words(f'<div class="entry-header"><h1>A title here</h1></div><p>{prose(60)}</p>') == 63
+    assert words(f'<article><p>{prose(30)}</p><section id="pawn-promotion"><p>{prose(40)}</p></section></article>') == 70
+    assert words(f'<article><p>{prose(30)}</p><section id="subscription"><p>{prose(40)}</p></section></article>') == 70
+    assert words(f'<article><p>{prose(5)} <math><mi>x</mi></math> {prose(9)}</p></article>') == 15
+    assert words(f'<article><div class="recipe cookies"><p>{prose(50)}</p></div></article>') == 50
