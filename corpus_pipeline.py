@@ -36,9 +36,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
-    dropped = near_duplicate_documents(docs, width=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of near-duplicates, that with the smallest id: five-word shingles, a similarity of 0.8 or more.
+
+    Rows are judged by their texts, whatever their ids: of rows that repeat an id those with other texts are judged by
+    themselves, of equal rows one stays, and a row with a null id stays only if no row of its group has an id. Rows without
+    words stay.
+    """
+    rows = materialise(docs.withColumn("_kb_row", F.monotonically_increasing_id()))
+    found = near_duplicate_documents(rows, id_col="_kb_row", width=5, percent=80).select("_kb_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_kb_row")
+    first = found.join(rows.select("_kb_row", "doc_id"), "_kb_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first._kb_row").alias("_kb_row")), "_kb_row", "left_semi").select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
