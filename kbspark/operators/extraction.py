@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.versioned import staged
+from ..sources.versioned import restaged, staged
 
 ROW = "kind string, name string, local string, owner string, signature string, start int, stop int, target string, binding string"
 
@@ -349,7 +349,7 @@ def overridable_calls(refs: DataFrame, declared: DataFrame) -> DataFrame:
         found = staged(longer.join(closure, ["base", "sub"], "left_anti").distinct())
         if found.isEmpty():
             break
-        closure = staged(closure.union(found))
+        closure = restaged(closure.union(found), closure, found)
     calls = refs.filter("relation_type = 'CALLS' and target is not null").select("ref_id", F.regexp_extract("target", r"^(.*)\.[^.]+$", 1).alias("base"), F.element_at(F.split("target", r"\."), -1).alias("method"))
     lower = calls.join(closure.filter("base <> sub"), "base").select("ref_id", F.concat_ws(".", "sub", "method").alias("qualified_name"))
     return lower.join(declared.filter("kind = 'method'").select("qualified_name").distinct(), "qualified_name").groupBy("ref_id").agg(F.count("*").alias("overrides"))
@@ -372,7 +372,7 @@ def alias_bindings(extracted: DataFrame, declared: DataFrame) -> DataFrame:
         found = staged(longer.join(reach, ["module", "of"], "left_anti").distinct())
         if found.isEmpty():
             break
-        reach = staged(reach.union(found))
+        reach = restaged(reach.union(found), reach, found)
     starred = reach.join(public.union(bound).distinct(), "of").select(F.concat_ws(".", "module", "local_name").alias("name"), F.concat_ws(".", "of", "local_name").alias("target"))
     shadowed = plain.select("name").union(declared.select(F.col("qualified_name").alias("name")))
     return plain.union(starred.join(shadowed, "name", "left_anti")).distinct()
@@ -392,7 +392,7 @@ def _circular(links: DataFrame, total: int) -> DataFrame:
     ends = links
     for _ in range(total.bit_length() + 1):
         onward = ends.select(F.col("name").alias("via"), F.col("via").alias("far"))
-        ends = staged(ends.join(onward, "via").select("name", F.col("far").alias("via")))
+        ends = restaged(ends.join(onward, "via").select("name", F.col("far").alias("via")), ends)
         if ends.isEmpty():
             break
     return ends.select("name")
@@ -408,12 +408,12 @@ def resolve_aliases(bindings: DataFrame) -> DataFrame:
     ``resolved``. Nulls and names that stand for themselves are left out.
     """
     own = bindings.filter("name is not null and target is not null and name <> target")
-    pointers = staged(own.groupBy("name").agg(F.min("target").alias("target"), F.when(F.min("target") < F.max("target"), "ambiguous").otherwise("open").alias("state")))
-    first, total = pointers.select("name", F.col("target").alias("first")), pointers.count()
-    links = _longest(pointers.filter("state = 'open'"), "name", pointers.select("name")).select("name", F.col("hit.name").alias("via"))
+    written = staged(own.groupBy("name").agg(F.min("target").alias("target"), F.when(F.min("target") < F.max("target"), "ambiguous").otherwise("open").alias("state")))
+    first, total = written.select("name", F.col("target").alias("first")), written.count()
+    links = _longest(written.filter("state = 'open'"), "name", written.select("name")).select("name", F.col("hit.name").alias("via"))
     circular = _circular(links, total).withColumn("circular", F.lit(True))
     state = F.when(F.col("circular"), "cycle").otherwise(F.col("state"))
-    pointers = staged(pointers.join(circular, "name", "left").select("name", "target", state.alias("state"), F.lit(1).cast("long").alias("hops")))
+    pointers = staged(written.join(circular, "name", "left").select("name", "target", state.alias("state"), F.lit(1).cast("long").alias("hops")))
     while not pointers.filter("state = 'open'").isEmpty():
         hits = _longest(pointers.filter("state = 'open'"), "name", pointers)
         moves = F.col("hit.state").isin("open", "resolved")
@@ -425,7 +425,7 @@ def resolve_aliases(bindings: DataFrame) -> DataFrame:
             F.when(F.col("hit").isNull(), "resolved").when(~moves, F.col("hit.state")).when(hops > total, "cycle").otherwise("open").alias("state"),
             hops.alias("hops"),
         )
-        pointers = staged(jumped.unionByName(pointers.filter("state <> 'open'")))
+        pointers = restaged(jumped.unionByName(pointers.filter("state <> 'open'")), pointers)
     target = F.when(F.col("state") == "resolved", F.col("target")).otherwise(F.col("first"))
     return pointers.join(first, "name").select("name", target.alias("target"), "state")
 

@@ -24,7 +24,19 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: what follows neither computes it again nor depends on it."""
     path = shared_path(df.sparkSession, "staged")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kb_path = path
+    return out
+
+
+def restaged(df: DataFrame, *old: DataFrame) -> DataFrame:
+    """``staged(df)``, after which tables that only ``df`` still read are deleted: for rounds that replace each other."""
+    out = staged(df)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for table in old:
+        path = jvm.org.apache.hadoop.fs.Path(table._kb_path)
+        path.getFileSystem(conf).delete(path, True)
+    return out
 
 
 class VersionedTable:
