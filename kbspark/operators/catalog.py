@@ -102,10 +102,11 @@ def page_snapshot(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """``(domain, file, markdown)`` of all ``.md`` files below ``folder``, whose own folders are the domains."""
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    below = F.regexp_extract(F.col("_metadata.file_path"), r"^.*?" + _escaped(folder) + r"/+(.*)$", 1)
-    return texts.select(F.substring_index(below, "/", 1).alias("domain"), F.regexp_replace(below, "^[^/]*/", "").alias("file"), F.col("value").alias("markdown"))
+    """``(domain, file, markdown)`` of all ``.md`` files below ``folder``, whose own folders are the domains; a file that is
+    not UTF-8 has a null text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    below = F.regexp_extract("path", r"^.*?" + _escaped(folder) + r"/+(.*)$", 1)
+    return files.select(F.substring_index(below, "/", 1).alias("domain"), F.regexp_replace(below, "^[^/]*/", "").alias("file"), F.try_validate_utf8(F.col("content").cast("string")).alias("markdown"))
 
 
 def _escaped(folder: str) -> str:
