@@ -103,7 +103,7 @@ def page_snapshot(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """``(domain, file, markdown)`` of all ``.md`` files below ``folder``, whose own folders are the domains; a file that is
-    not UTF-8 has a null text."""
+    not UTF-8 has a null text. Spark's scans pass over files of no length, so these are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     below = F.regexp_extract("path", r"^.*?" + _escaped(folder) + r"/+(.*)$", 1)
     return files.select(F.substring_index(below, "/", 1).alias("domain"), F.regexp_replace(below, "^[^/]*/", "").alias("file"), F.try_validate_utf8(F.col("content").cast("string")).alias("markdown"))
@@ -129,7 +129,7 @@ def source_files(listing: DataFrame, extensions: list[str], *, max_bytes: int, m
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, length)`` of all files below a folder, without reading them."""
+    """``(path, length)`` of all files below a folder but empty ones, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select(F.regexp_extract("path", r"^.*?" + _escaped(folder) + r"/+(.*)$", 1).alias("path"), "length")
 

@@ -41,7 +41,7 @@ def test_code_states(spark):
 
 
 def test_pages_are_read_from_files(spark, tmp_path):
-    for name, text in {"d1/a.md": "# A\n[b](sub/b.md) [i](index.md) [up](#a)", "d1/sub/b.md": "", "d1/index.md": "[a](a.md)", "d1/note.txt": "no", "d2/a b.md": "x\n", "d2/log.md": "x"}.items():
+    for name, text in {"d1/a.md": "# A\n[b](sub/b.md) [i](index.md) [up](#a)", "d1/sub/b.md": "text", "d1/empty.md": "", "d1/index.md": "[a](a.md)", "d1/note.txt": "no", "d2/a b.md": "x\n", "d2/log.md": "x"}.items():
         (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "w" / name).write_text(text)
     pages = catalog.read_pages(spark, str(tmp_path / "w"))
