@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, changes, code, codegraph, context, corpus, evaluation, markdown, reports, search, selectors, snapshots, staleness, sweeps  # noqa: F401  (they register their queries)
+from . import catalog, changes, code, codegraph, context, corpus, evaluation, markdown, reports, resolution, search, selectors, snapshots, staleness, sweeps  # noqa: F401  (they register their queries)
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_search"
