@@ -93,3 +93,19 @@ def stream_last_wins_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = log.events_stream(spark, f"{path}/in", table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"))
     log.last_wins_buckets(stream, store, "newest", "user_id", "event_id", f"{path}/checkpoint").awaitTermination()
     return store.read(store.manifest(), "newest")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND ('0x' || left(md5(o_orderkey::VARCHAR), 8))::BIGINT % 16 <> 3 THEN 'new' ELSE 'old' END AS state FROM orders""")
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of two versions after the newer files of one bucket were spoilt: found by its hash tree, that bucket is as it was before."""
+    store = Snapshots(spark, shared_path(spark, "quarantine"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("old").alias("state"))
+    base = store.manifest()
+    base = store.commit(base, {"orders": store.replaced(base, "orders", "o_orderkey", orders)})
+    changed = orders.filter("o_orderkey % 2 = 0").withColumn("state", F.lit("new"))
+    base = store.commit(base, {"orders": store.replaced(base, "orders", "o_orderkey", changed)})
+    base = store.commit(base, store.sealed(base))
+    spoilt = f"{store.path}/data/{base['tables']['orders']['folders']['3']}/_bucket=3"
+    orders.filter(F.lit(False)).write.mode("overwrite").parquet(spoilt)
+    fixed = store.quarantine(base, store.verify(base))
+    return store.read(fixed, "orders")
