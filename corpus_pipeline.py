@@ -6,6 +6,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on every row of ``docs``; a
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, same, "left_anti").select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_kb_row``, which tells its rows apart however often they are read.
+
+    Rows of Parquet files are known by file and place in it, so nothing is written; others are written once with a number.
+    """
+    try:
+        return docs.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index")).alias("_kb_row"))
+    except AnalysisException:
+        return materialise(docs.withColumn("_kb_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near-duplicates, that with the smallest id: five-word shingles, a similarity of 0.8 or more.
 
@@ -42,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     themselves, of equal rows one stays, and a row with a null id stays only if no row of its group has an id. Rows without
     words stay.
     """
-    rows = materialise(docs.withColumn("_kb_row", F.monotonically_increasing_id()))
+    rows = _numbered(docs)
     found = near_duplicate_documents(rows, id_col="_kb_row", width=5, percent=80).select("_kb_row", "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_kb_row")
     first = found.join(rows.select("_kb_row", "doc_id"), "_kb_row").groupBy("component_id").agg(F.min(order).alias("first"))
