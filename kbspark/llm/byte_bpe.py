@@ -125,7 +125,8 @@ def byte_bpe_roundtrip(
     """Encode every whole text, decode the ids again, and return digests of both (``ids`` too with ``keep_ids``).
 
     A null text counts as empty: no ids, the digests of empty strings. Each input row gives one output row, repeated
-    and null ids included; other columns are not read. An empty table gives an empty result.
+    and null ids included; other columns are not read. An empty table gives an empty result. Texts of any length are encoded
+    whole; a task holds a slice of rows and their ids.
     """
     data = read_bytes(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     shipped = docs.sparkSession.sparkContext.broadcast((serialise_model(read_ranks(data)), data))

@@ -215,7 +215,9 @@ def predict_language(docs: DataFrame, trained: tuple[list[str], np.ndarray, byte
     """The language of every whole text: ``lang_pred`` and ``score``, the posterior under equal priors.
 
     ``und`` with score 0 for a text that is null or has no letter, or where no language was learnt. Of equally likely
-    languages the first by name counts. Each input row gives one output row; ``keep`` names columns to carry along, ``names`` the two new columns.
+    languages the first by name counts. Each input row gives one output row, repeated and null ids
+    and repeated texts included; ``keep`` names columns to carry along, ``names`` the two new columns, which must not be
+    among those. Other columns are not read. An empty table gives an empty result. Texts of any length are scored whole.
     """
     langs, probability, model = trained
     shipped = docs.sparkSession.sparkContext.broadcast((langs, probability, vocabulary(model)))
@@ -272,7 +274,8 @@ def id_bucket(id_col: str, buckets: int) -> Column:
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, max_docs: int = 1000) -> DataFrame:
     """Train on the documents outside the held-out fold, then predict every document; see the two steps above.
 
-    The fold is crc32(id as text) mod ``folds``; the language column and the id never enter a prediction.
+    The fold is crc32(id as text) mod ``folds``; the language column and the id never enter a prediction. Nulls, repeated
+    rows, empty tables and other columns: see ``predict_language``.
     """
     train = docs.filter(id_bucket(id_col, folds) != held_out)
     trained = train_language_model(train, text_col=text_col, lang_col=lang_col, max_docs=max_docs)

@@ -107,6 +107,7 @@ def pack_documents(
     A document is the ids of its text (none for a null or empty text) and ``end_id``. Every sequence is full but those
     of the stream's end, whose lengths are different powers of two. Rows with equal or null ids are documents of their
     own; equal keys are ordered by id. ``ids`` come along with ``keep_ids``. An empty table gives no pieces.
+    A text of any length is encoded whole and cut wherever a sequence ends; other columns are not read.
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(read_bytes(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")))

@@ -2,7 +2,7 @@
 
 Every word position that begins ``window`` words starts a suffix. Suffixes are split into groups by prefixes of variable
 length, chosen from counts: rare prefixes of one or two words share a group, a two-word prefix with more suffixes than
-fit a task's memory is lengthened to five words. A suffix travels as its path from the root down to depth ``window``, 64
+fit a task's memory is lengthened to the whole window. A suffix travels as its path from the root down to depth ``window``, 64
 bits that begin with the node of its first five words and end with that of all ``window`` words, so that sorting the
 paths of a group sorts its suffixes as a tree does, and the common prefix of neighbours tells the depth of the node
 above both: the group's own, five words, or ``window`` words. Nodes are told apart at these depths only, and words by
@@ -30,8 +30,9 @@ from .common import hash_words, slices
 #: Bits of a word in a prefix class, of which there is one for each two of these; a class is the unit of the groups' plan.
 WORD_BITS = 8
 CLASSES = 1 << 2 * WORD_BITS
-#: Words of the inner node on a path, and its bits.
+#: Words of the inner node on a path, and its bits; the others are those of the whole window.
 INNER_WORDS, INNER_BITS = 5, 16
+WHOLE_BITS = 64 - INNER_BITS
 _SEED = np.random.default_rng(7919)
 _ODD = _SEED.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PREFIX = _SEED.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,7 +81,12 @@ def deep_nodes(order: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Plan:
-    """Groups of prefixes: classes that share a group, and how many bits of the inner node lengthen a frequent class."""
+    """Groups of prefixes: classes that share a group, and how many bits of the whole window lengthen a frequent class.
+
+    A frequent prefix is lengthened to all words of the window at once, so that one with a single continuation of five
+    words and very many beyond (a template's opening) falls apart too; only equal windows must stay together, of which a
+    slice sends one.
+    """
 
     def __init__(self, counts: np.ndarray, most: int):
         self.base, self.longer = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -88,7 +94,7 @@ class Plan:
         for c, n in enumerate(counts.tolist()):
             if n > most:
                 group += filled > 0
-                self.longer[c] = min(INNER_BITS, max(1, (-(-n // most) - 1).bit_length()))
+                self.longer[c] = min(WHOLE_BITS, max(1, (-(-n // most) - 1).bit_length()))
                 self.base[c] = group
                 group, filled = group + (1 << int(self.longer[c])), 0
             else:
@@ -99,7 +105,8 @@ class Plan:
 
     def of(self, cls: np.ndarray, path: np.ndarray) -> np.ndarray:
         bits = self.longer[cls]
-        return self.base[cls] + np.where(bits > 0, (path >> np.uint64(64 - INNER_BITS)).astype(np.int64) >> (INNER_BITS - bits), 0)
+        whole = (path & np.uint64((1 << WHOLE_BITS) - 1)).astype(np.int64)
+        return self.base[cls] + np.where(bits > 0, whole >> (WHOLE_BITS - bits), 0)
 
 
 def _slice_paths(ids: list, texts: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -79,7 +79,8 @@ def token_counts(
     """Bytes and tokens of every whole text, and whether it has over ``max_tokens`` tokens.
 
     A null text counts as empty (0 bytes, 0 tokens). Rows with a null or repeated id stay, one output row for each
-    input row; other columns of ``docs`` are not read. An empty table gives an empty result.
+    input row; other columns of ``docs`` are not read. An empty table gives an empty result. Texts of any length are counted
+    whole; a task holds a slice of rows and a few times the size of their texts.
     """
     model = read_bytes(model_path or public_tokenizers.path("piece_bpe_32k.model"))
     shipped = docs.sparkSession.sparkContext.broadcast((model, whole_tokens(model)))

@@ -170,6 +170,25 @@ def test_frequent_prefixes_are_lengthened():
     path = np.random.default_rng(0).integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)
     hot = plan.of(np.full(4000, 3), path)
     assert len(np.unique(hot)) == 16 and np.bincount(hot).max() < 400 and plan.of(np.array([9]), path[:1])[0] not in hot
+    template = (path >> np.uint64(16)) | np.uint64(5 << 48)  # all with one five-word start
+    assert len(np.unique(plan.of(np.full(4000, 3), template))) == 16
+
+
+def test_a_template_with_many_continuations(spark):
+    """Most windows start with the same words; they spread over groups, and what repeats is what brute force finds."""
+    rng = random.Random(31)
+    texts = [" ".join(" ".join(["the", "same", "five", "words", "here", *rng.choices("abcdefgh", k=9)]) for _ in range(12)) for _ in range(60)]
+    texts += [texts[3][:150], "x " + texts[7], texts[9]]
+    first, want = {}, {}
+    words = [t.split() for t in texts]
+    for i, w in enumerate(words):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for i, w in enumerate(words):
+        want[i] = len({k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df, group_paths=1000, slice_words=2000).collect()}
+    assert got == want and sum(want.values()) > 300
 
 
 def test_minhash_dedup(spark):
