@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.linkgraph import refresh_links
+from ..operators import catalog, graph
+from ..operators.linkgraph import refresh_domains, refresh_links
 from ..sources.snapshots import Snapshots, differing_rows, hash_tree
 from ..sources.versioned import shared_path
 from ..streaming import log
+from .catalog import _FILES, _LINKS_BY_KIND, LINKS, PAGES
 from .registry import derived, query, table
 
 # Documents are pages; a page links to pages by multiples of its number. On the second day those of one language have other
@@ -109,3 +111,32 @@ def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders.filter(F.lit(False)).write.mode("overwrite").parquet(spoilt)
     fixed = store.quarantine(base, store.verify(base))
     return store.read(fixed, "orders")
+
+
+#: On the second day each page of one domain has one more link, another domain is gone.
+_FILES2 = f"(SELECT domain, file, CASE WHEN domain = 'src3' THEN coalesce(markdown, '') || chr(10) || '[n](new.md)' ELSE markdown END AS markdown, k, d FROM {_FILES} WHERE domain <> 'src7') AS files"
+
+
+@query(f"""WITH f AS (SELECT domain || '/' || replace(file, '.md', '') AS page, domain, k, d FROM {_FILES2}), e AS (SELECT DISTINCT page, domain, domain || '/' || x[1] AS target, x[2] AS anchor FROM (SELECT page, domain, unnest(list_concat({_LINKS_BY_KIND}, CASE WHEN domain = 'src3' THEN [('new', '')] ELSE [] END)) AS x FROM f))
+  SELECT domain, count(*) AS n_links, count(*) FILTER (target NOT IN (SELECT page FROM f)) AS n_lost, domain = 'src3' AS rebuilt FROM e GROUP BY domain""")
+def refreshed_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by domain after the graph was brought up to date, which parsed one domain's pages only."""
+    store = Snapshots(spark, shared_path(spark, "domains"))
+    refresh_domains(store, derived(spark, sf_dir, _FILES).select("domain", "file", "markdown"))
+    now, wrong = refresh_domains(store, derived(spark, sf_dir, _FILES2).select("domain", "file", "markdown"))
+    links = store.read(now, "incoming").withColumn("domain", F.substring_index("source", "/", 1))
+    counts = links.groupBy("domain").agg(F.count("*").alias("n_links"), F.count_if(F.col("state") == "broken_page").alias("n_lost"))
+    return counts.join(wrong.select("domain", F.lit(True).alias("rebuilt")), "domain", "left").withColumn("rebuilt", F.coalesce("rebuilt", F.lit(False)))
+
+
+_SOME = "(SELECT domain FROM (SELECT DISTINCT source AS domain FROM documents) AS every WHERE domain < 'src5') AS scoped"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page FROM {PAGES} WHERE domain IN (SELECT domain FROM {_SOME})), e AS (SELECT source AS a, target AS b FROM {LINKS} WHERE source IN (FROM p) AND target IN (FROM p) AND source <> target), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN u ON a = node WHERE depth < 3) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
+def scoped_neighbour_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages within three links of one, over pages of some domains only, read from one version of the graph."""
+    scope = derived(spark, sf_dir, _SOME)
+    links = catalog.scoped_links(derived(spark, sf_dir, LINKS), derived(spark, sf_dir, PAGES), scope).select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    seeds = spark.createDataFrame([("p0", "seed", 1)], "node string, origin string, seed_rank int")
+    return graph.capped_traversal(links, seeds, 3, None).select("node", "depth")

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from kbspark.operators.linkgraph import refresh_links
+from kbspark.operators.linkgraph import refresh_domains, refresh_links
 from kbspark.sources.snapshots import Conflict, Snapshots, differing_rows, hash_tree, slot, tree_differences
 from kbspark.streaming import log
 
@@ -128,3 +128,23 @@ def test_stream_rewrites_only_its_buckets_and_again_nothing(spark, tmp_path):
         f.unlink()
     log.last_wins_buckets(log.events_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema)), store, "t", "k", "seq", str(tmp_path / "ck")).awaitTermination()
     assert store.version() == newest["version"]
+
+
+def test_only_domains_that_are_not_current_are_parsed(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path), buckets=4)
+    day = lambda pages: spark.createDataFrame([(d, f, t) for (d, f), t in pages.items()], "domain string, file string, markdown string")
+    pages = {("a", "x.md"): "[y](y.md) [z](z.md#top)", ("a", "y.md"): "# Top\n[x](x.md)", ("b", "x.md"): "[y](y.md)", ("b", "index.md"): "[x](x.md)", ("c", "w.md"): None}
+    _, wrong = refresh_domains(store, day(pages))
+    assert rows(wrong) == [("a", "new"), ("b", "new"), ("c", "new")]
+    same, wrong = refresh_domains(store, day(pages).repartition(3))
+    assert same["version"] == 1 and wrong.count() == 0  # nothing to do, nothing written
+    pages |= {("a", "z.md"): "# Top", ("a", "x.md"): "[z](z.md#top)"}
+    del pages["b", "x.md"], pages["b", "index.md"]
+    now, wrong = refresh_domains(store, day(pages))
+    assert rows(wrong) == [("a", "stale"), ("b", "gone")]
+    assert rows(store.read(now, "incoming")) == [("a/x", "a/y", "", "ok"), ("a/z", "a/x", "top", "ok")]
+    assert rows(store.read(now, "pages").select("page")) == [("a/x",), ("a/y",), ("a/z",), ("c/w",)]
+    fresh = Snapshots(spark, str(tmp_path / "fresh"), buckets=2)
+    whole, _ = refresh_domains(fresh, day(pages))
+    for t in ("pages", "links", "anchors", "incoming", "domains"):
+        assert rows(store.read(now, t)) == rows(fresh.read(whole, t)), t
