@@ -386,15 +386,18 @@ def _longest(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
     return found.groupBy(key).agg(F.max_by("_hit", "_n").alias("hit"))
 
 
-def _circular(links: DataFrame, total: int) -> DataFrame:
-    """Names of ``links(name, via)`` whose chain never ends: pointers double their reach until it passes all names."""
-    links = staged(links)
-    ends = links
-    for _ in range(total.bit_length() + 1):
+def _circular(links: DataFrame) -> DataFrame:
+    """Names of ``links(name, via)`` whose chain never ends.
+
+    A round doubles how far a pointer reaches and leaves out names whose chain ends before. A chain of some length has
+    names of every shorter length, so once a round leaves out none, those that are left go round in circles.
+    """
+    ends = staged(links)
+    before, now = None, ends.count()
+    while now and now != before:
         onward = ends.select(F.col("name").alias("via"), F.col("via").alias("far"))
         ends = restaged(ends.join(onward, "via").select("name", F.col("far").alias("via")), ends)
-        if ends.isEmpty():
-            break
+        before, now = now, ends.count()
     return ends.select("name")
 
 
@@ -411,7 +414,7 @@ def resolve_aliases(bindings: DataFrame) -> DataFrame:
     written = staged(own.groupBy("name").agg(F.min("target").alias("target"), F.when(F.min("target") < F.max("target"), "ambiguous").otherwise("open").alias("state")))
     first, total = written.select("name", F.col("target").alias("first")), written.count()
     links = _longest(written.filter("state = 'open'"), "name", written.select("name")).select("name", F.col("hit.name").alias("via"))
-    circular = _circular(links, total).withColumn("circular", F.lit(True))
+    circular = _circular(links).withColumn("circular", F.lit(True))
     state = F.when(F.col("circular"), "cycle").otherwise(F.col("state"))
     pointers = staged(written.join(circular, "name", "left").select("name", "target", state.alias("state"), F.lit(1).cast("long").alias("hops")))
     while not pointers.filter("state = 'open'").isEmpty():
