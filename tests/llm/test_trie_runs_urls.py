@@ -244,3 +244,26 @@ def test_urls_with_shuffled_rules_and_short_prefixes(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == [(i, *judged(u, rules, "allow")) for i, u in enumerate(urls)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_periodic_runs_query(spark, tmp_path):
+    """The query on a table of its own, each row against the contract worked out by hand."""
+    rng = random.Random(17)
+    docs = [(i, rng.choice([None, "", " \t\n", *[" ".join(rng.choices("abc", k=n)) for n in (1, 11, 40, 90)], "x y z " * 9, "  q r " * 8])) for i in range(260)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op12_periodic_runs(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        h, w = zlib.crc32(str(i).encode()), (t or "").encode().split()
+        if h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+            w = [w[x] if x < a else w[a + (x - a) % p] for x in range(n)]
+        runs, r = runs_by_hand(w), got[i]
+        gone = {x for a, n, q in runs for x in range(a + q, a + n)}
+        best = max(runs, key=lambda x: (x[1], -x[0], -x[2])) if runs else (None,) * 3
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *best)
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if runs else None)
+        assert r["runs_sha256"] == sha("".join(f"{a},{n},{q}\n" for a, n, q in runs))
+        assert r["collapsed_sha256"] == hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
+    assert sum(r["n_runs"] > 0 for r in got.values()) > 40
