@@ -103,7 +103,8 @@ Q8 = """SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN m = 0 THEN 1.0 ELSE m
 def quantize_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").withColumn("scale", scale_of(F.col("embedding")))
     q = F.transform(quantise(F.col("embedding"), F.col("scale")), lambda x: x.cast("string"))
-    return v.select("vec_id", F.round("scale", 9).alias("scale"), F.array_join(q, ",").alias("q"))
+    # apart from the rounded scale: within one select, a lambda takes "scale" for that one
+    return v.withColumn("q", F.array_join(q, ",")).select("vec_id", F.round("scale", 9).alias("scale"), "q")
 
 
 @query(f"""WITH d AS (SELECT vec_id, list_transform(e, lambda x: least(127, greatest(-127, round_even(x / scale, 0))) * scale) AS e FROM ({Q8}))

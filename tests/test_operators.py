@@ -96,3 +96,11 @@ def test_unresolved_and_ambiguous_references(spark):
     symbols = spark.createDataFrame([("m.f", "s1"), ("m.f", "s2")], "qualified_name string, entity_id string")
     got = rows(code.resolve_references(refs, symbols, spark.createDataFrame([("m",)], "module string")).na.fill("-"))
     assert got == [(1, "s1", "ambiguous"), (1, "s2", "ambiguous"), (2, "m", "partially_resolved"), (3, "-", "unresolved")]
+
+
+def test_quantised_components_are_steps_of_the_scale_before_it_is_rounded(spark, tmp_path):
+    from kbspark.plans import search
+
+    scale, x = 0.0027754187114595427, 0.24562455713748932  # 88.5000004 steps, 88.4999998 of the scale with nine digits
+    spark.createDataFrame([(1, [127 * scale, x])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in search.quantize_int8(spark, str(tmp_path)).collect()] == [(1, round(scale, 9), "127,89")]
