@@ -139,3 +139,30 @@ def test_graphs_are_published_whole_or_not(spark, tmp_path):
     assert rows(store.read(two, "symbols")) == [("b", "g", 3, 3)] and store.read(two, "relations").count() == 0 and two["note"]["revision"] != one["note"]["revision"]
     again, _ = publication.publish_graph(store, files, symbols.repartition(3), relations)
     assert again["note"]["revision"] == one["note"]["revision"]
+
+
+def test_related_meets_all_rows_block_by_block(spark, monkeypatch):
+    import numpy as np
+
+    vectors = np.random.default_rng(5).normal(size=(2100, 3))
+    vectors[7] = 0
+    names = [f"s{i // 2}" for i in range(1900)] + [f"s{i}" for i in range(1900, 2100)]
+    odd = [("s1", [1.0, None, 0.0]), ("s2", [1.0]), ("s2001", [float("nan"), 0.0, 1.0]), (None, [1.0, 0.0, 0.0])]
+    records = spark.createDataFrame([(n, "p", "section", v) for n, v in [*zip(names, vectors.tolist(), strict=True), *odd]], "section string, page string, kind string, embedding array<double>")
+    targets = spark.createDataFrame([(f"s{i}",) for i in range(3, 2100)], "section string")  # 1147 of them have a record
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(retrieval, "BLOCK_TARGETS", 500)
+    got = {}
+    for r in retrieval.related(records, targets, spark.createDataFrame([], "source string, target string"), 3, 1).orderBy("target", "place").collect():
+        got.setdefault(r["target"], []).append((r["item"], r["score"]))
+    first = {}
+    for n, v in zip(names, vectors.tolist(), strict=True):
+        first[n] = min(first.get(n, v), v)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    for t in [*list(first)[3:950:40], "s2000", "s2099"]:
+        w = np.array(first[t])
+        best = {}
+        for n, c in zip(names, np.round(unit @ (w / max(np.linalg.norm(w), 1e-300)), 4).tolist(), strict=True):
+            best[n] = max(best.get(n, -2), c)
+        assert got[t] == sorted(((n, c) for n, c in best.items() if n != t), key=lambda x: (-x[1], x[0]))[:3], t
+    assert len(got) == 1147
