@@ -1,5 +1,7 @@
 """Python extraction, Markdown and publication against values worked out by hand, with nulls and odd inputs."""
 
+from pyspark.sql import functions as F
+
 from kbspark.functions import paths
 from kbspark.operators import extraction, markdown
 from kbspark.plans import codegraph
@@ -266,3 +268,28 @@ def test_old_links_become_markdown(spark):
     got = {r["slug"]: (r["changed"], r["markdown"]) for r in once.collect()}
     assert got == {"s": (4, "[a](a.md) [Some Part](a.md#some-part) [label](a.md#p) [é](b.md) `[[c]]` [m](x.md)"), "t": (0, None)}
     assert markdown.modern_links(once.drop("changed")).filter("changed > 0").count() == 0
+
+
+def test_matched_selectors_are_as_all_their_matches(spark):
+    from kbspark.operators import selectors as s
+
+    named = [(p, "source_glob", g) for p in ("a", "b", "c", None) for g in ("x/*.py", "x/1*.py", "none/*")] + [("a", "file", "x/11.py"), ("a", "file", "x/2.py"), ("c", "file", "gone"), ("d", "symbol", "f"), ("d", "file", "x/2.py"), (None, "file", "x/11.py")]
+    selectors = spark.createDataFrame(named, "page string, kind string, selector string")
+    files = spark.range(30).selectExpr("concat('x/', id, '.py') as path")
+    symbols = spark.createDataFrame([("f", "s1"), ("f", "s2")], "qualified_name string, entity_id string")
+    matched, every = s.Matched(selectors, files, symbols), s.matches(selectors, files, symbols)
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert rows(matched.links()) == rows(s.links(every)) and rows(matched.page_links()) == rows(s.page_links(s.links(every)))
+    assert rows(matched.conflicts()) == rows(every.filter("target_type = 'file'").groupBy("page", "target").agg(F.count("*").alias("n")).filter("n > 1"))
+
+
+def test_links_of_pages_with_the_same_globs_are_not_shuffled(spark):
+    from kbspark.operators import selectors as s
+
+    from .test_resolution import shuffled
+
+    named = spark.range(800).selectExpr("concat('p', id) as page", "'source_glob' as kind", "'x/*' as selector")
+    files = spark.range(800).selectExpr("concat('x/', id) as path")
+    symbols = spark.createDataFrame([], "qualified_name string, entity_id string")
+    n, written = shuffled(spark, s.Matched(named, files, symbols).links())
+    assert n == 640_000 and written < 200_000
