@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versioned import staged
+
 #: Severities from the worst down, and the losses of a relevant item in the order in which they are told.
 SEVERITIES = ("high", "medium", "low")
 LOSSES = ("missing_from_chunks", "missing_from_index", "stale_index_chunk", "signal_recall_miss", "lost_during_fusion", "lost_after_fusion_topk", "hydration_drop", "rerank_worsened_order")
@@ -89,17 +91,25 @@ def quota_ranking(fused: DataFrame, direct: DataFrame, k: int) -> DataFrame:
     """
     first = lambda df: df.groupBy("case_id", "key").agg(F.min("rank").alias("rank"))
     place = lambda *by: F.row_number().over(Window.partitionBy("case_id").orderBy(*by))
+    ranked = staged(first(fused).withColumn("n", place("rank", "key")).select("case_id", "key", "n"))
     reserved = first(direct).withColumn("turn", place("rank", "key")).filter(F.col("turn") <= k).select("case_id", "key", "turn")
-    ranked = first(fused).withColumn("n", place("rank", "key")).select("case_id", "key", "n")
-    both = ranked.join(reserved, ["case_id", "key"], "full_outer")
-    in_top = F.coalesce(F.col("n") <= k, F.lit(False))
-    late = F.col("turn").isNotNull() & ~in_top
-    per_case = Window.partitionBy("case_id")
-    both = both.withColumn("newcomers", F.sum(late.cast("int")).over(per_case)).withColumn("in_top", F.sum(in_top.cast("int")).over(per_case)).withColumn("late", late)
-    free = Window.partitionBy("case_id", (in_top & F.col("turn").isNull()).cast("int")).orderBy(F.desc("n"))
-    out = in_top & F.col("turn").isNull() & (F.row_number().over(free) <= F.col("newcomers"))
-    block = F.when(late, 1).when(in_top & ~out, 0).otherwise(2)
-    return both.withColumn("block", block).select("case_id", "key", place("block", F.when(F.col("late"), F.col("turn")).otherwise(F.col("n"))).alias("place"))
+    reserved = staged(reserved.join(ranked, ["case_id", "key"], "left"))
+    is_late = F.col("n").isNull() | (F.col("n") > k)
+
+    # the head of a case, of 2 k rows at most, is ordered by itself; what follows moves by the rows that leave and pass it
+    late = reserved.filter(is_late)
+    moved = late.groupBy(F.col("case_id").alias("_case")).agg(F.count("*").alias("late"), F.collect_list("n").alias("from"))
+    top = ranked.filter(F.col("n") <= k)
+    kept = reserved.filter(~is_late).select("case_id", "key", F.lit(True).alias("kept"))
+    top = top.join(kept, ["case_id", "key"], "left").join(moved, F.col("case_id").eqNullSafe(F.col("_case")), "left")
+    free = Window.partitionBy("case_id", F.col("kept").isNull()).orderBy(F.desc("n"))
+    out = F.col("kept").isNull() & (F.row_number().over(free) <= F.coalesce("late", F.lit(0)))
+    head = top.select("case_id", "key", F.when(out, 2).otherwise(0).alias("block"), F.col("n").alias("at"))
+    head = head.union(late.select("case_id", "key", F.lit(1), "turn")).select("case_id", "key", place("block", "at").alias("place"))
+    tail = ranked.filter(F.col("n") > k).join(moved, F.col("case_id").eqNullSafe(F.col("_case")), "left")
+    before = F.size(F.filter(F.coalesce("from", F.array().cast("array<int>")), lambda x: x < F.col("n")))
+    tail = tail.filter(~F.coalesce(F.array_contains("from", F.col("n")), F.lit(False)))
+    return head.union(tail.select("case_id", "key", (F.col("n") + F.coalesce("late", F.lit(0)) - before).cast("int")))
 
 
 def rerank_merge(scored: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

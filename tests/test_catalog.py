@@ -166,3 +166,16 @@ def test_related_meets_all_rows_block_by_block(spark, monkeypatch):
             best[n] = max(best.get(n, -2), c)
         assert got[t] == sorted(((n, c) for n, c in best.items() if n != t), key=lambda x: (-x[1], x[0]))[:3], t
     assert len(got) == 1147
+
+
+def test_quota_ranking_sorts_a_case_once(spark):
+    """Whole cases stand in few sorts of a task: the windows over them are of their first rows only."""
+    from kbspark.operators import evaluation
+
+    fused = spark.range(40).selectExpr("'c' as case_id", "id as key", "id as rank")
+    direct = spark.createDataFrame([("c", 30, 1), ("c", 1, 2), ("c", 99, 3), ("d", 5, 1)], "case_id string, key long, rank long")
+    out = evaluation.quota_ranking(fused, direct, 4)
+    places = [r["key"] for r in out.filter("case_id = 'c'").orderBy("place").collect()]
+    assert places == [0, 1, 30, 99, 2, 3, *range(4, 30), *range(31, 40)] and out.count() == 42
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3 and "FullOuter" not in plan
