@@ -324,17 +324,21 @@ def extract(files: DataFrame, path: str = "path", source: str = "source") -> Dat
 
 
 def symbols(extracted: DataFrame) -> DataFrame:
-    """Declared symbols, once each, with a stable id."""
-    own = extracted.filter(F.col("kind").isin("class", "function", "async_function", "method"))
+    """Declared symbols, once each, with a stable id.
+
+    Equal ids are of one file, so rows are dealt out by files: a file's rows stay together, which compresses well.
+    """
+    own = extracted.filter(F.col("kind").isin("class", "function", "async_function", "method")).select("kind", "path", "name", "local", "signature", "start", "stop").repartition("path")
     out = own.select(entity_id("symbol", F.col("path"), F.col("name"), F.col("signature")).alias("entity_id"), "kind", "path", F.col("name").alias("qualified_name"), F.col("local").alias("local_name"), "signature", F.when(F.startswith("local", F.lit("_")), "private").otherwise("public").alias("visibility"), "start", "stop")
-    return out.dropDuplicates(["entity_id"])
+    return out.dropDuplicates(["path", "entity_id"])
 
 
 def references(extracted: DataFrame) -> DataFrame:
-    """Imports, calls and bases as unresolved relations with a stable id."""
-    own = extracted.filter(F.col("kind").isin("IMPORTS", "CALLS", "INHERITS"))
+    """Imports, calls and bases as unresolved relations with a stable id, dealt out by files like ``symbols``."""
+    own = extracted.filter(F.col("kind").isin("IMPORTS", "CALLS", "INHERITS")).select("kind", "path", "name", "local", "target", "start", "binding").repartition("path")
     key = [F.col("path"), F.col("name"), F.coalesce("target", F.concat(F.lit("?"), "local")), F.col("start"), F.col("binding")]
-    return own.select(entity_id("relation", F.col("kind"), *key).alias("ref_id"), F.col("kind").alias("relation_type"), F.col("name").alias("source"), "target", "start", "binding").dropDuplicates(["ref_id"])
+    out = own.select("path", entity_id("relation", F.col("kind"), *key).alias("ref_id"), F.col("kind").alias("relation_type"), F.col("name").alias("source"), "target", "start", "binding")
+    return out.dropDuplicates(["path", "ref_id"]).drop("path")
 
 
 def overridable_calls(refs: DataFrame, declared: DataFrame) -> DataFrame:
@@ -373,32 +377,45 @@ def alias_bindings(extracted: DataFrame, declared: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         reach = restaged(reach.union(found), reach, found)
+    if reach.isEmpty():  # without star imports no declaration is asked for
+        return plain.distinct()
     starred = reach.join(public.union(bound).distinct(), "of").select(F.concat_ws(".", "module", "local_name").alias("name"), F.concat_ws(".", "of", "local_name").alias("target"))
     shadowed = plain.select("name").union(declared.select(F.col("qualified_name").alias("name")))
     return plain.union(starred.join(shadowed, "name", "left_anti")).distinct()
 
 
 def _longest(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    """``(key, hit)``: the row of ``names(name, ..)`` whose name is the longest dotted prefix of a row's ``target``."""
-    prefixes = rows.filter("target is not null").select(key, "target", F.explode(F.sequence(F.lit(1), F.size(F.split("target", r"\.")))).alias("_n"))
-    prefixes = prefixes.withColumn("_via", F.array_join(F.slice(F.split("target", r"\."), F.lit(1), F.col("_n")), "."))
-    found = prefixes.join(names.select(F.struct(*names.columns).alias("_hit"), F.col("name").alias("_via")), "_via")
+    """``(key, hit)``: the row of ``names(name, ..)`` whose name is the longest dotted prefix of a row's ``target``.
+
+    Prefixes are told apart first and names kept that are one. Both are tables, whose sizes Spark knows: as long as the
+    names that are hit are few, the prefixes of all rows meet them where they are and are not shuffled.
+    """
+    cut = F.explode(F.sequence(F.lit(1), F.size(F.split("target", r"\."))))
+    via = F.array_join(F.slice(F.split("target", r"\."), F.lit(1), F.col("_n")), ".")
+    asked = staged(rows.filter("target is not null").select("target", cut.alias("_n")).select(via.alias("_via")).distinct())
+    hits = staged(names.join(asked, F.col("name") == F.col("_via"), "left_semi"))
+    prefixes = rows.filter("target is not null").select(key, "target", cut.alias("_n")).select(key, "_n", via.alias("_via"))
+    found = prefixes.join(hits.select(F.struct(*names.columns).alias("_hit"), F.col("name").alias("_via")), "_via")
     return found.groupBy(key).agg(F.max_by("_hit", "_n").alias("hit"))
 
 
 def _circular(links: DataFrame) -> DataFrame:
     """Names of ``links(name, via)`` whose chain never ends.
 
-    A round doubles how far a pointer reaches and leaves out names whose chain ends before. A chain of some length has
-    names of every shorter length, so once a round leaves out none, those that are left go round in circles.
+    Only names that others point to make up the way of a chain; the others go round if what they point to does. A round
+    doubles how far a pointer reaches and leaves out names whose chain ends before. A chain of some length has names of
+    every shorter length, so once a round leaves out none, those that are left go round in circles.
     """
-    ends = staged(links)
+    links = staged(links)
+    passed = staged(links.select(F.col("via").alias("name")).distinct())
+    ends = staged(links.join(passed, "name", "left_semi"))
     before, now = None, ends.count()
     while now and now != before:
         onward = ends.select(F.col("name").alias("via"), F.col("via").alias("far"))
         ends = restaged(ends.join(onward, "via").select("name", F.col("far").alias("via")), ends)
         before, now = now, ends.count()
-    return ends.select("name")
+    round_ = ends.select(F.col("name").alias("via"))
+    return links.join(round_, "via", "left_semi").select("name")
 
 
 def resolve_aliases(bindings: DataFrame) -> DataFrame:

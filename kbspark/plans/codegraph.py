@@ -89,11 +89,20 @@ def python_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_references(extracted: DataFrame) -> DataFrame:
-    refs, declared = extraction.references(extracted), extraction.symbols(extracted)
-    modules = extracted.select("module").distinct()
-    meant = extraction.dealiased(refs.select("ref_id", "target"), _aliases(extracted))
-    resolved = code.resolve_references(meant, declared.select("qualified_name", "entity_id"), modules)
-    return refs.join(resolved, "ref_id").join(extraction.overridable_calls(refs, declared), "ref_id", "left").withColumn("state", F.when(F.col("overrides") > 0, "ambiguous").otherwise(F.col("state"))).drop("overrides")
+    """What references resolve to depends on their targets alone: each target is resolved once, as a reference whose id it
+    is, and references themselves are only shuffled to be told apart and for the last join."""
+    own = extracted.filter(F.col("kind").isin("IMPORTS", "CALLS", "INHERITS")).select(F.col("kind").alias("relation_type"), F.col("name").alias("source"), "target").filter("target is not null")
+    targets = staged(own.select(F.col("target").alias("ref_id"), "target").distinct())
+    meant = staged(extraction.dealiased(targets, staged(_aliases(extracted))))
+    resolved = code.resolve_once(meant, extraction.symbols(extracted).select("qualified_name", "entity_id"), extracted.select("module").distinct())
+    calls = own.filter("relation_type = 'CALLS'").select("relation_type", F.lit(None).cast("string").alias("source"), "target").distinct()
+    links = calls.unionByName(own.filter("relation_type = 'INHERITS'")).withColumn("ref_id", F.col("target"))
+    methods = extracted.filter("kind = 'method'").select("kind", F.col("name").alias("qualified_name"))
+    told = resolved.select(F.col("ref_id").alias("target"), "entity_id", F.col("state").alias("_state"))
+    uncertain = extraction.overridable_calls(links, methods).select(F.col("ref_id").alias("target"), F.lit(True).alias("_over"))
+    told = staged(told.join(uncertain, "target", "left"))
+    state = F.when(F.col("_over") & (F.col("relation_type") == "CALLS"), "ambiguous").otherwise(F.coalesce("_state", F.lit("unresolved")))
+    return extraction.references(extracted).join(told, "target", "left").select("ref_id", "relation_type", "source", "target", "start", "binding", "entity_id", state.alias("state"))
 
 
 _ENTITIES = """e AS (SELECT 'symbol:' || o_orderkey AS entity_id, CASE WHEN o_orderkey % 3 = 0 THEN 'class' ELSE 'function' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 'typescript' WHEN o_orderkey % 5 = 1 THEN 'javascript' ELSE 'python' END AS language,

@@ -48,6 +48,18 @@ def test_overridden_calls_and_ids(spark):
     assert state["app.core.Base.step", "json.dumps"] == "unresolved" and extraction.extract(files_of(spark).limit(0)).count() == 0
 
 
+def test_targets_are_resolved_not_references(spark):
+    """References of a file twice given are one each, a target's candidates meet all of them, and no join deals out their ids."""
+    files = spark.createDataFrame([("p/__init__.py", ""), ("p/a.py", "from .b import go as run\ndef one(): run(); x.y()\ndef two(): run(); run()"), ("p/b.py", "def go(): pass\ndef go(*a): pass\nz()()")], "path string, source string")
+    extracted = extraction.extract(files.union(files))
+    out = codegraph.resolved_references(extracted)
+    got = sorted((r["source"], r["target"] or "", r["start"], r["state"]) for r in out.collect())
+    twice = [(n, "p.b.go", i, "ambiguous") for n, i in (("p.a", 1), ("p.a.one", 2), ("p.a.two", 3)) for _ in range(2)]
+    assert got == sorted([*twice, ("p.a.one", "x.y", 2, "unresolved"), ("p.b", "", 3, "unresolved"), ("p.b", "z", 3, "unresolved")])
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("ref_id" in line for line in joins)
+
+
 def test_relative_modules():
     r = extraction.relative_module
     assert [r(0, "x", "a.b", False), r(1, "x", "a.b", False), r(1, None, "a.b", True), r(2, "x", "a.b", True), r(2, "x", "a.b", False), r(3, "x", "a.b", True)] == ["x", "a.x", "a.b", "a.x", None, None]
