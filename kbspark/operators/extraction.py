@@ -309,6 +309,9 @@ def extract(files: DataFrame, path: str = "path", source: str = "source") -> Dat
     named = files.select(path, source).filter(F.col(path).isNotNull()).join(module_names(files, path), path)
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.py$", "")
     named = named.select(F.col(path).alias("path"), F.coalesce("module", stem).alias("module"), F.endswith(path, F.lit("__init__.py")).alias("package"), F.col(source).alias("source"))
+    # Files are small and parsing is slow: without a number Spark puts thousands of files into one task by their bytes, and
+    # by the path alone the repartition is left out, as the join has dealt by it.
+    named = named.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "module")
     columns = [c.split()[0] for c in ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

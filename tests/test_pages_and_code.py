@@ -60,6 +60,11 @@ def test_targets_are_resolved_not_references(spark):
     assert joins and not any("ref_id" in line for line in joins)
 
 
+def test_small_files_are_parsed_in_several_tasks(spark):
+    files = spark.range(40).selectExpr("concat('f', id, '.py') as path", "'def f(): pass' as source")
+    assert extraction.extract(files).select(F.spark_partition_id().alias("at")).distinct().count() > 1
+
+
 def test_relative_modules():
     r = extraction.relative_module
     assert [r(0, "x", "a.b", False), r(1, "x", "a.b", False), r(1, None, "a.b", True), r(2, "x", "a.b", True), r(2, "x", "a.b", False), r(3, "x", "a.b", True)] == ["x", "a.x", "a.b", "a.x", None, None]
