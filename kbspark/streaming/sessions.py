@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections import namedtuple
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,6 +21,25 @@ UNAUTHORIZED, EXPIRED, CONFLICT, BATCH_CONFLICT, INVALID, INCOMPLETE = "unauthor
 EVENT = "domain string, ts timestamp, seq long, op string, session string, owner string, revision string, expected long, kind string, ordinal int, hash string, n_rows long"
 ANSWER = "domain string, session string, op string, ts timestamp, seq long, result string, revision string, generation long"
 EPOCH = dt.datetime(1970, 1, 1)
+#: Events that are Python objects at once.
+CHUNK = 10_000
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us")}
+_FIELDS = {c.split()[0]: _KINDS[c.split()[1]] for c in EVENT.split(", ")[1:]}
+_Event = namedtuple("_Event", _FIELDS)
+
+
+def _ordered(batches: Iterable[pd.DataFrame]) -> Iterator[list[_Event]]:
+    """A domain's events in their order, CHUNK at a time; meanwhile they are Arrow columns, about 100 bytes an event."""
+    parts: dict[str, list[pa.Array]] = {c: [] for c in _FIELDS}
+    for b in batches:
+        for c, kind in _FIELDS.items():
+            parts[c].append(pa.array(b[c], kind, from_pandas=True))
+    # one column after the other, so that never all of them are there twice
+    held = pa.table({c: pa.chunked_array(parts.pop(c), kind).combine_chunks() for c, kind in _FIELDS.items()})
+    order = pc.sort_indices(held, [(c, "ascending") for c in ("ts", "seq", "op", "session")], null_placement="at_start")
+    for at in range(0, len(order), CHUNK):
+        rows = held.take(order.slice(at, CHUNK))
+        yield list(map(_Event, *(c.to_pylist() for c in rows.columns)))
 
 
 class _Domain:
@@ -96,28 +118,31 @@ def publication_sessions(stream: DataFrame, *, ttl: dt.timedelta, retention: dt.
     ``dropped`` if it was still open. Events without domain or time are left out, as are those behind the watermark.
 
     All state is in the checkpoint: per domain its pointer and the hashes of the batches of open sessions. A domain's
-    events of one micro-batch are in memory at once.
+    events of one micro-batch are in memory at once as Arrow columns, and CHUNK of them as Python objects.
     """
     ttl_us, retention_us = (int(x / dt.timedelta(microseconds=1)) for x in (ttl, retention))
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         domain = _Domain(state.get[0] if state.exists else None, ttl_us)
-        out: list[tuple] = []
-        if not state.hasTimedOut:
-            events = pd.concat(list(batches)).sort_values(["ts", "seq", "op", "session"], na_position="first")
-            for e in events.astype(object).where(events.notna(), None).itertuples(index=False):
-                now = int((e.ts.to_pydatetime() - EPOCH) / dt.timedelta(microseconds=1))
-                result = domain.answer(e, now)
+        columns = [c.split()[0] for c in ANSWER.split(", ")]
+
+        def table(out: list[tuple]) -> pd.DataFrame:
+            made = pd.DataFrame(out, columns=columns)
+            return made.assign(ts=pd.to_datetime(made["ts"]), seq=made["seq"].astype("Int64"), generation=made["generation"].astype("int64"))
+
+        for events in [] if state.hasTimedOut else _ordered(batches):
+            out: list[tuple] = []
+            for e in events:
+                result = domain.answer(e, int((e.ts - EPOCH) / dt.timedelta(microseconds=1)))
                 out.append((key[0], e.session, e.op, e.ts, e.seq, result, domain.revision, domain.generation))
+            yield table(out)
         passed = state.getCurrentWatermarkMs() * 1000
-        out += [(key[0], s, "timer", None, None, DROPPED, domain.revision, domain.generation) for s in domain.drop(passed, retention_us)]
+        dropped = [(key[0], s, "timer", None, None, DROPPED, domain.revision, domain.generation) for s in domain.drop(passed, retention_us)]
         state.update((domain.text(),))
         due = domain.due(retention_us)
         if due is not None:
             state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
-        columns = [c.split()[0] for c in ANSWER.split(", ")]
-        made = pd.DataFrame(out, columns=columns)
-        yield made.assign(ts=pd.to_datetime(made["ts"]), seq=made["seq"].astype("Int64"), generation=made["generation"].astype("int64"))
+        yield table(dropped)
 
     known = stream.filter(F.col("domain").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay)
     return known.groupBy("domain").applyInPandasWithState(step, ANSWER, "sessions string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -55,6 +55,19 @@ def test_leases_run_out_and_timers_drop(spark, tmp_path):
     assert ("timer", "s", "dropped") not in of("elsewhere")
 
 
+def test_events_are_ordered_in_chunks_of_plain_values(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(sessions, "CHUNK", 3)
+    names = [c.split()[0] for c in sessions.EVENT.split(", ")]
+    rows = [event(5 - i // 2, "batch", seq=i, ordinal=None if i == 3 else 0) for i in range(8)]
+    made = pd.DataFrame(rows, columns=names)  # a null makes the column of ordinals one of floats
+    chunks = list(sessions._ordered(iter([made[:5], made[5:]])))
+    assert [len(c) for c in chunks] == [3, 3, 2] and [e.seq for c in chunks for e in c] == [6, 7, 4, 5, 2, 3, 0, 1]
+    assert {e.seq: e.ordinal for c in chunks for e in c} == {i: None if i == 3 else 0 for i in range(8)} and all(type(e.ordinal) is int for c in chunks for e in c if e.seq != 3)
+    assert chunks[0][0].ts == at(2) and list(sessions._ordered(iter([made[:0]]))) == []
+
+
 def replayed(events):
     """Each answer from all events before it, without a state that moves on."""
     out = []
