@@ -106,23 +106,32 @@ def render(meta: Column, body: Column) -> Column:
     return F.when(F.size(lines) == 0, body).otherwise(F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), body))
 
 
+def _once(value: Column, made) -> Column:
+    """``made(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def page_findings(text: Column) -> Column:
     """What is wrong with a page's form: array of (finding, severity, detail); ``block`` findings refuse an edit."""
     meta, body = front_matter(text)
-    own = sections(body)
-    pre = F.get(F.split(body, _H2), F.lit(0))
-    pre = F.when(F.startswith(pre, F.lit("##")), F.lit("")).otherwise(pre)
-    prose = F.filter(own, lambda s: ~F.lower(s["heading"]).isin(*RESERVED))
     # the first paragraph, its lines trimmed and joined
     lead = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_extract(s["body"], r"(?s)\A\s*(.*?)(?:\n\s*\n|\z)", 1), r"\s*\n\s*", " "), r"\s+$", "")
+    prose = lambda b: F.transform(F.filter(sections(b), lambda s: ~F.lower(s["heading"]).isin(*RESERVED)), lambda s: F.struct(s["heading"].alias("heading"), lead(s).alias("lead")))
+    # nothing around an explode is computed once by itself, and each use of a part would go through the text anew
+    return _once(F.struct(meta.alias("meta"), body.alias("body")), lambda p: _once(prose(p["body"]), lambda own: _findings(p["meta"], p["body"], own)))
+
+
+def _findings(meta: Column, body: Column, prose: Column) -> Column:
+    pre = F.get(F.split(body, _H2), F.lit(0))
+    pre = F.when(F.startswith(pre, F.lit("##")), F.lit("")).otherwise(pre)
     finding = lambda name, severity, detail="": F.struct(F.lit(name).alias("finding"), F.lit(severity).alias("severity"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"))
     one = lambda cond, *what: F.when(cond, F.array(finding(*what))).otherwise(F.array().cast("array<struct<finding:string,severity:string,detail:string>>"))
     known = F.size(F.map_keys(meta)) > 0
     return F.concat(
         one(F.regexp_like(body, F.lit(r"(?md)^#{3,}[ \t]+\S")), "deep_heading", "block"),
         one(F.exists(F.split(pre, "\n"), lambda x: (F.trim(x) != "") & ~F.regexp_like(x, F.lit(r"^#[ \t]"))), "pre_h2_text", "block"),
-        F.transform(F.filter(prose, lambda s: lead(s) == ""), lambda s: finding("missing_lead", "advisory", s["heading"])),
-        F.transform(F.filter(prose, lambda s: F.length(lead(s)) > LEAD_MAX), lambda s: finding("long_lead", "advisory", s["heading"])),
+        F.transform(F.filter(prose, lambda s: s["lead"] == ""), lambda s: finding("missing_lead", "advisory", s["heading"])),
+        F.transform(F.filter(prose, lambda s: F.length(s["lead"]) > LEAD_MAX), lambda s: finding("long_lead", "advisory", s["heading"])),
         one(known & (_text(meta["type"]) == ""), "missing_type", "advisory"),
         one(known & (_text(meta["type"]) != "") & ~meta["type"].isin(*TYPES), "unknown_type", "advisory", meta["type"]),
         one(known & (_text(meta["description"]) == ""), "missing_description", "advisory"),

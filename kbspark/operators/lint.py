@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
+from ..sources.versioned import staged
 from . import markdown, quality
 from .catalog import RESERVED_FILES
 
@@ -33,9 +34,11 @@ def lint_findings(pages: DataFrame, domain: str, visible: DataFrame, states: Dat
     an empty one.
     """
     own = pages.select("slug", F.coalesce("markdown", F.lit("")).alias("markdown"))
-    inner = markdown.link_targets(own).select("slug", F.lit(domain).alias("to"), F.col("target").alias("page"), "anchor", F.lit(True).alias("inner"))
+    # links are tables: five findings read them, each of which would go through all texts again
+    targets = staged(markdown.link_targets(own))
+    inner = targets.select("slug", F.lit(domain).alias("to"), F.col("target").alias("page"), "anchor", F.lit(True).alias("inner"))
     outer = cross_links(own, scheme).select("slug", F.col("domain").alias("to"), "page", "anchor", F.lit(False).alias("inner"))
-    links = inner.union(outer)
+    links = inner.union(staged(outer))
     reserved = F.element_at(F.split("page", "/"), -1).isin(*[f.removesuffix(".md") for f in RESERVED_FILES])
     ref = F.concat(F.when(F.col("to") == domain, F.lit("")).otherwise(F.concat("to", F.lit("/"))), "page", F.when(F.col("anchor") != "", F.concat(F.lit("#"), "anchor")).otherwise(""))
     row = lambda df, kind, page, detail: df.select(F.lit(kind).alias("kind"), F.col(page).alias("page") if page else F.lit(None).cast("string").alias("page"), detail.alias("detail"))
@@ -55,7 +58,7 @@ def lint_findings(pages: DataFrame, domain: str, visible: DataFrame, states: Dat
         row(links.filter(reserved), "reserved_target", "slug", ref),
         row(plain.join(domains, "to", "left_anti"), "unavailable_domain", "slug", ref),
         row(own.join(linked, "slug", "left_anti"), "orphan", "slug", F.lit("")),
-        row(markdown.link_targets(own).filter("legacy").select("slug").distinct(), "legacy_link", "slug", F.lit("")),
+        row(targets.filter("legacy").select("slug").distinct(), "legacy_link", "slug", F.lit("")),
         row(sections, "section", "slug", F.concat_ws(" ", "f.finding", "f.detail")),
         row(fields.filter(F.size("meta") == 0), "missing_front_matter", "slug", F.lit("")),
         row(quality.tag_drift(tags), "tag_drift", None, F.concat_ws(" ", "a", "b")),

@@ -115,6 +115,14 @@ def test_lint_findings(spark):
     assert got == {("broken", "a", "c"), ("broken", "a", "far/q#z"), ("unavailable_domain", "a", "hid/q"), ("reserved_target", "b", "sub/index"), ("orphan", "a", ""), ("orphan", "null", ""), ("stale", "a", ""), ("missing_source", "null", "")}
 
 
+def test_lint_reads_links_once(spark):
+    """Links are tables to the findings: of the passes over texts only that over the caller's anchors may be left."""
+    pages = spark.createDataFrame([("a", "[b](b.md)")], "slug string, markdown string")
+    visible = spark.createDataFrame([("d", "a", "")], "domain string, page string, anchor string")
+    states = spark.createDataFrame([], "page string, state string")
+    assert "MapInArrow" not in lint.lint_findings(pages, "d", visible, states)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_related_falls_back_on_links(spark, monkeypatch):
     records = spark.createDataFrame([("s1", "p1", "section", [1.0, 0.0]), ("s2", "p2", "section", [1.0, 0.1]), ("s2", "p2", "section", [0.0, 1.0]), ("s3", "p3", "summary", [1.0, 0.0]), ("s4", "p4", "section", None)], "section string, page string, kind string, embedding array<double>")
     links = spark.createDataFrame([("p4", "x"), ("x", "y"), ("y", "p4"), ("p4", "a"), (None, "b")], "source string, target string")
