@@ -119,17 +119,13 @@ def publish_graph(store: Snapshots, files: DataFrame, symbols: DataFrame, relati
     three in one version, with the revision of what they hold in its note; returns the version and what is wrong.
 
     Rows that break a rule (``row_violations``) refuse the whole: the version stays the one before. Relations are kept by
-    their source, so those of a symbol are replaced together; what is not among the new rows goes.
+    their source, so those of a symbol lie together; what is not among the new rows goes, so older rows are not read.
     """
     base = store.manifest()
     wrong = staged(row_violations(symbols, files, relations))
     if not wrong.isEmpty():
         return base, wrong
-    tables = {}
-    for name, key, rows in (("files", "path", files), ("symbols", "entity_id", symbols), ("relations", "src", relations)):
-        old = store.read(base, name)
-        gone = None if old is None else old.select(key).distinct().join(rows.select(key).distinct(), key, "left_anti")
-        tables[name] = store.replaced(base, name, key, rows, gone)
+    tables = {name: store.whole(name, key, rows) for name, key, rows in (("files", "path", files), ("symbols", "entity_id", symbols), ("relations", "src", relations))}
     whole = {"tables": tables}
     line = lambda t: F.to_json(F.struct(*sorted(store.read(whole, t).columns)))
     parts = [set_revision(store.read(whole, t).withColumn("_line", line(t)), "_line", F.lit(t)).first() for t in ("files", "symbols", "relations")]

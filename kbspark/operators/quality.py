@@ -42,9 +42,13 @@ def set_revision(rows: DataFrame, key: str, value: Column, by: tuple[str, ...] =
     rows do not cancel.
     """
     line = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.sha2(value, 256)), 256)
-    part = lambda k: F.sum(F.conv(F.substring("line", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)"))
-    sums = rows.select(*by, line.alias("line")).groupBy(*by).agg(F.count("*").alias("n_rows"), *[part(k).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)])
-    whole = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("n_rows", "s0", "s1", "s2", "s3")])
+    number = lambda k: F.conv(F.substring("line", 15 * k + 1, 15), 16, 10).cast("long").alias(f"l{k}")
+    # Sums of 20 bits fit longs for 2^43 rows and take half the time of sums of decimals.
+    bits = lambda k, j: F.sum(F.shiftright(f"l{k}", 20 * j).bitwiseAND(F.lit((1 << 20) - 1))).alias(f"l{k}_{j}")
+    numbers = rows.select(*by, line.alias("line")).select(*by, *map(number, range(4)))
+    sums = numbers.groupBy(*by).agg(F.count("*").alias("n_rows"), *[bits(k, j) for k in range(4) for j in range(3)])
+    joined = lambda k: F.expr(" + ".join(f"l{k}_{j}::decimal(38,0) * {1 << 20 * j}" for j in range(3))).cast("decimal(38,0)")
+    whole = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("0")) for c in (F.col("n_rows"), *map(joined, range(4)))])
     return sums.select(*by, F.sha2(whole, 256).alias("revision"), "n_rows")
 
 

@@ -21,8 +21,9 @@ class Conflict(RuntimeError):
 
 
 def slot(key: Column, n: int) -> Column:
-    """The bucket or leaf of a key, of ``n``: the first digits of its MD5."""
-    return (F.conv(F.substring(F.md5(key.cast("string")), 1, _DIGITS), 16, 10).cast("long") % n).cast("int")
+    """The bucket or leaf of a key, of ``n``: the first digits of its MD5 modulo ``n``."""
+    last = next((d for d in range(1, _DIGITS) if 16**d % n == 0), _DIGITS)  # the digits that the remainder depends on
+    return (F.conv(F.substring(F.md5(key.cast("string")), _DIGITS + 1 - last, last), 16, 10).cast("long") % n).cast("int")
 
 
 def _row_hash(columns: list[str]) -> Column:
@@ -141,7 +142,9 @@ class Snapshots:
 
         Only buckets that hold such a key are read and written; Spark splits large ones over tasks. Null keys are left out.
         """
-        entry = manifest["tables"].get(table) or {"schema": _ddl(rows), "key": key, "folders": {}}
+        entry = manifest["tables"].get(table)
+        if entry is None:
+            return self.whole(table, key, rows)
         rows = staged(rows.filter(F.col(key).isNotNull()).withColumn("_bucket", slot(F.col(key), self.buckets)))
         changed = rows.select(key)
         if gone is not None:
@@ -151,14 +154,23 @@ class Snapshots:
         if not touched:
             return entry
         old = self.read(manifest, table, touched)
-        if old is not None:
-            kept = old.join(changed, key, "left_anti").select(*[c for c in rows.columns if c != "_bucket"])
-            rows = rows.unionByName(kept.withColumn("_bucket", slot(F.col(key), self.buckets)))
+        kept = old.join(changed, key, "left_anti").select(*[c for c in rows.columns if c != "_bucket"])
+        rows = rows.unionByName(kept.withColumn("_bucket", slot(F.col(key), self.buckets)))
+        folders = {b: f for b, f in entry["folders"].items() if int(b) not in touched}
+        return {**entry, "folders": folders | self._written(table, rows)}
+
+    def whole(self, table: str, key: str, rows: DataFrame) -> dict:
+        """The entry of ``table`` with ``rows`` and nothing else, whatever it held before; rows are computed and shuffled
+        once, and older ones are not read. Null keys are left out."""
+        own = rows.filter(F.col(key).isNotNull()).withColumn("_bucket", slot(F.col(key), self.buckets))
+        return {"schema": _ddl(rows), "key": key, "folders": self._written(table, own)}
+
+    def _written(self, table: str, rows: DataFrame) -> dict[str, str]:
+        """The folder of each bucket that ``rows`` with a ``_bucket`` have a row in."""
         folder = f"{table}-{uuid.uuid4().hex}"
         rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
-        written = {str(r[0]) for r in self.spark.read.parquet(f"{self.path}/data/{folder}").select("_bucket").distinct().collect()} if not rows.isEmpty() else set()
-        folders = {b: f for b, f in entry["folders"].items() if int(b) not in touched}
-        return {**entry, "folders": folders | dict.fromkeys(sorted(written), folder)}
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop.Path(f"{self.path}/data/{folder}"))]
+        return dict.fromkeys(sorted(n.removeprefix("_bucket=") for n in names if n.startswith("_bucket=")), folder)
 
     def import_once(self, fingerprint: str, tables: dict[str, tuple[str, DataFrame]]) -> dict:
         """Load ``{table: (key, rows)}`` into an empty store, or tell that the same load was made: its counts.

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from kbspark.operators import catalog, code, lint, publication, retrieval
 from kbspark.operators.ordering import ranked
@@ -149,6 +150,21 @@ def test_graphs_are_published_whole_or_not(spark, tmp_path):
     assert again["note"]["revision"] == one["note"]["revision"]
 
 
+def test_a_graph_is_published_without_the_one_before(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path), buckets=4)
+    files = spark.createDataFrame([("f",)], "path string")
+    symbols = spark.createDataFrame([(f"s{i}", "f", 1, 2) for i in range(40)], "entity_id string, path string, start int, stop int")
+    relations = spark.createDataFrame([(f"s{i}", f"s{j}") for i in range(40) for j in (0, 7)] + [("s1", "s1"), ("s1", "s1")], "src string, dst string")
+    one, _ = publication.publish_graph(store, files, symbols, relations)
+    for f in (tmp_path / "data").rglob("*.parquet"):  # whoever reads older rows now fails
+        f.write_bytes(b"spoilt")
+    kept = symbols.filter("entity_id <> 's1'").withColumn("doc", F.lit(None).cast("string"))  # with a column that is new
+    two, wrong = publication.publish_graph(store, files, kept, relations.filter("src <> 's1' and dst <> 's1'"))
+    assert two["version"] == 2 and wrong.count() == 0 and two["note"]["counts"] == {"files": 1, "symbols": 39, "relations": 78}
+    assert rows(store.read(two, "symbols")) == rows(kept) and rows(store.read(two, "relations")) == sorted((f"s{i}", f"s{j}") for i in range(40) for j in (0, 7) if i != 1)
+    assert not {f for e in one["tables"].values() for f in e["folders"].values()} & {f for e in two["tables"].values() for f in e["folders"].values()}
+
+
 def test_related_meets_all_rows_block_by_block(spark, monkeypatch):
     import numpy as np
 

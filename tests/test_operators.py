@@ -1,5 +1,7 @@
 """Small cases of the operators: ties, nulls, empty tables."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import normalise_tag, query_terms, slugify, term_score, tokens
@@ -91,6 +93,17 @@ def test_revision_is_order_free(spark):
     assert revision(a) == revision(a.orderBy(F.desc("k"))) != revision(a.filter("k < 49"))
 
 
+def test_revision_is_the_one_by_hand(spark):
+    a = spark.createDataFrame([(i, str(i)) for i in range(50)], "k int, v string")
+    revision = lambda d: quality.set_revision(d, "k", F.col("v")).first()["revision"]
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    lines = [digest(f"{i}:{digest(str(i))}") for i in range(50)]
+    by_hand = lambda own: digest(":".join([str(len(own)), *[str(sum(int(h[15 * k : 15 * k + 15], 16) for h in own)) for k in range(4)]]))
+    assert revision(a) == by_hand(lines) and revision(a.limit(0)) == by_hand([])
+    grouped = quality.set_revision(a.withColumn("g", F.col("k") % 2), "k", F.col("v"), by=("g",))
+    assert rows(grouped) == [(g, by_hand(lines[g::2]), 25) for g in (0, 1)]
+
+
 def test_unresolved_and_ambiguous_references(spark):
     refs = spark.createDataFrame([(1, "m.f"), (2, "m.x"), (3, "n")], "ref_id int, target string")
     symbols = spark.createDataFrame([("m.f", "s1"), ("m.f", "s2")], "qualified_name string, entity_id string")

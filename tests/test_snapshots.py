@@ -1,5 +1,6 @@
 """Versions of tables: commits, untouched buckets, readers, corruption, imports, hash trees, links kept up to date."""
 
+import hashlib
 import random
 from pathlib import Path
 
@@ -41,6 +42,13 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert store.read(new, "none") is None and store.replaced(new, "t", "k", changes.limit(0)) == new["tables"]["t"]
 
 
+def test_slots_are_first_digits_modulo_any_number(spark):
+    keys = table(spark, [(f"k{i}", i) for i in range(40)])
+    for n in (1, 8, 12, 16, 100, 256, 4096):
+        want = [int(hashlib.md5(f"k{i}".encode()).hexdigest()[:8], 16) % n for i in range(40)]
+        assert [r[0] for r in keys.orderBy("v").select(slot(F.col("k"), n)).collect()] == want, n
+
+
 def test_one_of_two_writers_commits(spark, tmp_path):
     store = filled(spark, tmp_path)
     base = store.manifest()
